@@ -38,9 +38,9 @@ def _dialog_rows_sql(style: str = "tsv", skip: bool = False, first_run: str = "m
     order = "ORDER BY created_at NULLS FIRST, comment_id NULLS FIRST"
     contents = squash("contents")
     if skip:
-        t2 = f"SELECT * FROM (SELECT gallery_id, document_id, root_id, comment_id, author, created_at, {contents} AS contents FROM t1 WHERE n > 1) WHERE NOT starts_with(contents, '<')"
+        t2 = f"SELECT * FROM (SELECT gallery_id, document_id, document_author, root_id, comment_id, author, created_at, {contents} AS contents FROM t1 WHERE n > 1) WHERE NOT starts_with(contents, '<')"
     else:
-        t2 = f"SELECT gallery_id, document_id, root_id, comment_id, author, created_at, {media(contents, legacy=(style == 'legacy'))} AS contents FROM t1 WHERE n > 1"
+        t2 = f"SELECT gallery_id, document_id, document_author, root_id, comment_id, author, created_at, {media(contents, legacy=(style == 'legacy'))} AS contents FROM t1 WHERE n > 1"
     run = "sum(chg) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     if first_run == "merged":
         run = f"COALESCE({run}, 0)"
@@ -133,3 +133,171 @@ def set_union_lines(spark, sf_dir):
 @register("job_parlai_legacy", _union(_pairs_sql("legacy"), _dialogs_sql("legacy")))
 def job_parlai_legacy(spark, sf_dir):
     return D.conversation_corpus(_docs(spark, sf_dir), style="legacy")
+
+
+# --------------------------------------------------------------------------
+# building blocks of the jobs, each checked on its own
+# --------------------------------------------------------------------------
+
+def _comments(spark, sf_dir):
+    return D.thread_comments(_docs(spark, sf_dir))
+
+
+_CC = "SELECT {cols} FROM conv_comment {where}"
+
+
+def _cc(cols: str, where: str = "") -> str:
+    return with_views(["conv_comment"], _CC.format(cols=cols, where=where))
+
+
+@register("prj_explode_comments", _cc("gallery_id, document_id, comment_id, contents"))
+def prj_explode_comments(spark, sf_dir):
+    e = D.explode_comments(_docs(spark, sf_dir))
+    return e.select("gallery_id", "document_id", F.col("comment.id").alias("comment_id"),
+                    F.col("comment.contents").alias("contents"))
+
+
+@register("prj_nested_fields", _cc(
+    "document_id, comment_id, author AS author_nickname, CAST(CASE WHEN comment_id = 1 THEN 0 ELSE 1 END AS BIGINT) AS depth, "
+    "CASE WHEN starts_with(contents, '<img') THEN 'con' WHEN starts_with(contents, 'vr/') THEN 'voice' ELSE 'text' END AS kind, "
+    "created_at"))
+def prj_nested_fields(spark, sf_dir):
+    e = D.explode_comments(_docs(spark, sf_dir))
+    return e.select("document_id", F.col("comment.id").alias("comment_id"),
+                    F.col("comment.author.nickname").alias("author_nickname"),
+                    F.col("comment.depth").alias("depth"), F.col("comment.kind").alias("kind"),
+                    F.col("comment.created_at").alias("created_at"))
+
+
+@register("prj_root_id", _cc("document_id, comment_id, CAST(parent_id AS BIGINT) AS parent_id, CAST(root_id AS BIGINT) AS root_id"))
+def prj_root_id(spark, sf_dir):
+    e = D.explode_comments(_docs(spark, sf_dir))
+    return e.select("document_id", F.col("comment.id").alias("comment_id"),
+                    F.col("comment.parent_id").alias("parent_id"), D.root_id().alias("root_id"))
+
+
+@register("flt_other_author", _cc("document_id, comment_id", "WHERE document_author <> author"))
+def flt_other_author(spark, sf_dir):
+    c = _comments(spark, sf_dir).withColumnRenamed("author", "comm_author")
+    return D.other_authors(c).select("document_id", "comment_id")
+
+
+@register("flt_ads", _cc("document_id, comment_id", "WHERE NOT starts_with(contents, '<div') AND contents IS NOT NULL"))
+def flt_ads(spark, sf_dir):
+    return D.drop_ads(_comments(spark, sf_dir), "contents").select("document_id", "comment_id")
+
+
+@register("flt_non_text", _cc("document_id, comment_id", "WHERE NOT starts_with(contents, '<')"))
+def flt_non_text(spark, sf_dir):
+    return D.filter_non_text(_comments(spark, sf_dir), "contents").select("document_id", "comment_id")
+
+
+@register("prj_media_token", _cc(f"document_id, comment_id, {media('contents')} AS token"))
+def prj_media_token(spark, sf_dir):
+    return _comments(spark, sf_dir).select("document_id", "comment_id", media_token("contents").alias("token"))
+
+
+@register("prj_media_token_legacy", _cc(f"document_id, comment_id, {media('contents', legacy=True)} AS token"))
+def prj_media_token_legacy(spark, sf_dir):
+    return _comments(spark, sf_dir).select("document_id", "comment_id",
+                                           media_token("contents", legacy=True).alias("token"))
+
+
+@register("prj_squash_ws", _cc(f"document_id, comment_id, {squash('contents')} AS contents"))
+def prj_squash_ws(spark, sf_dir):
+    return _comments(spark, sf_dir).select("document_id", "comment_id", squash_ws("contents").alias("contents"))
+
+
+@register("prj_gallery_tag", with_views(["conv_comment"],
+          "SELECT DISTINCT document_id, '<gallery ' || gallery_id || '> ' || title AS line FROM conv_comment"))
+def prj_gallery_tag(spark, sf_dir):
+    from threadlake.functions.text import gallery_tag
+    d = _docs(spark, sf_dir).filter(F.size("comments") > 0)
+    return d.select(F.col("id").alias("document_id"), gallery_tag("gallery_id", "title").alias("line"))
+
+
+@register("agg_distinct_lines", _cc(f"DISTINCT {media(squash('contents'))} AS line",
+                                    "WHERE NOT starts_with(contents, '<div') AND contents IS NOT NULL"))
+def agg_distinct_lines(spark, sf_dir):
+    c = D.drop_ads(_comments(spark, sf_dir), "contents")
+    return c.select(media_token(squash_ws("contents")).alias("line")).distinct()
+
+
+def _rows_sql(cols: str, first_run: str = "merged", where: str = "") -> str:
+    return (with_views(["conv_comment"], "").rstrip() + _dialog_rows_sql(first_run=first_run)
+            + f"SELECT {cols} FROM t5 {where}")
+
+
+def _runs(spark, sf_dir, first_run="merged"):
+    return D.speaker_runs(_comments(spark, sf_dir), first_run=first_run)
+
+
+@register("win_thread_size", with_views(["conv_comment"], """
+SELECT document_id, root_id, comment_id, count(*) OVER (PARTITION BY gallery_id, document_id, root_id) AS dialog_size
+FROM conv_comment WHERE NOT starts_with(contents, '<div') AND contents IS NOT NULL"""))
+def win_thread_size(spark, sf_dir):
+    from pyspark.sql import Window
+    c = D.drop_ads(_comments(spark, sf_dir), "contents")
+    w = Window.partitionBy(*D.THREAD_KEYS)
+    return c.select("document_id", "root_id", "comment_id", F.count(F.lit(1)).over(w).alias("dialog_size"))
+
+
+@register("win_root_author", _rows_sql("document_id, root_id, comment_id, is_root AS is_root_author"))
+def win_root_author(spark, sf_dir):
+    return _runs(spark, sf_dir).select("document_id", "root_id", "comment_id", "is_root_author")
+
+
+@register("win_doc_author", _rows_sql("document_id, root_id, comment_id, author = document_author AS is_document_author"))
+def win_doc_author(spark, sf_dir):
+    return _runs(spark, sf_dir).select("document_id", "root_id", "comment_id", "is_document_author")
+
+
+@register("win_change_flag", _rows_sql("document_id, root_id, comment_id, chg AS change_flag"))
+def win_change_flag(spark, sf_dir):
+    return _runs(spark, sf_dir).select("document_id", "root_id", "comment_id", "change_flag")
+
+
+@register("win_run_id", _rows_sql("document_id, root_id, comment_id, dialog_id", first_run="reference"))
+def win_run_id(spark, sf_dir):
+    return _runs(spark, sf_dir, "reference").select("document_id", "root_id", "comment_id", "dialog_id")
+
+
+@register("dlg_runs", (with_views(["conv_comment"], "").rstrip() + _dialog_rows_sql() + """
+SELECT document_id, root_id, dialog_id, is_root AS is_root_author,
+       CASE WHEN is_root THEN '<gallery ' || gallery_id || '> ' ELSE '' END
+       || string_agg(contents, '. ' ORDER BY created_at NULLS FIRST, comment_id NULLS FIRST) AS contents,
+       min(created_at) AS created_at
+FROM t5 GROUP BY gallery_id, document_id, root_id, dialog_id, is_root"""))
+def dlg_runs(spark, sf_dir):
+    return D.merge_runs(_runs(spark, sf_dir)).select("document_id", "root_id", "dialog_id", "is_root_author",
+                                                      "contents", "created_at")
+
+
+@register("dlg_threads", (with_views(["conv_comment"], "").rstrip() + _dialog_rows_sql() + f"""
+SELECT * FROM (
+  SELECT document_id, root_id, max(dialog_id) AS dialog_real_size,
+         string_agg(contents, {TAB} ORDER BY dialog_id NULLS FIRST, contents) AS line
+  FROM (SELECT gallery_id, document_id, root_id, dialog_id, is_root,
+               CASE WHEN is_root THEN '<gallery ' || gallery_id || '> ' ELSE '' END
+               || string_agg(contents, '. ' ORDER BY created_at NULLS FIRST, comment_id NULLS FIRST) AS contents
+        FROM t5 GROUP BY gallery_id, document_id, root_id, dialog_id, is_root) r
+  GROUP BY gallery_id, document_id, root_id) th WHERE dialog_real_size > 1"""))
+def dlg_threads(spark, sf_dir):
+    th = D.merge_threads(D.merge_runs(_runs(spark, sf_dir)))
+    return th.select("document_id", "root_id", "dialog_real_size", "line")
+
+
+@register("job_tokenizer", with_views(["conv_comment"], f"""
+SELECT '<gallery ' || gallery_id || '> ' || title AS text FROM (SELECT DISTINCT gallery_id, document_id, title FROM conv_comment) d
+UNION ALL
+SELECT {media('contents')} AS text FROM conv_comment"""))
+def job_tokenizer(spark, sf_dir):
+    return D.tokenizer_corpus(_docs(spark, sf_dir).filter(F.size("comments") > 0))
+
+
+@register("job_tokenizer_skip", with_views(["conv_comment"], """
+SELECT '<gallery ' || gallery_id || '> ' || title AS text FROM (SELECT DISTINCT gallery_id, document_id, title FROM conv_comment) d
+UNION ALL
+SELECT contents AS text FROM conv_comment WHERE NOT starts_with(contents, '<') AND contents IS NOT NULL"""))
+def job_tokenizer_skip(spark, sf_dir):
+    return D.tokenizer_corpus(_docs(spark, sf_dir).filter(F.size("comments") > 0), skip_non_text=True)
