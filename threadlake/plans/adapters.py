@@ -97,3 +97,62 @@ def conv_documents(spark: SparkSession, sf_dir: str, media: bool = True) -> Data
         F.when(F.col("role0").isNotNull(), _author(F.col("role0"))).alias("author"),
         "comments",
     )
+
+
+# --------------------------------------------------------------------------
+# search store: nation -> gallery, orders x customer -> document
+# --------------------------------------------------------------------------
+
+def v_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    kind = F.when(F.col("n_regionkey") % 3 == 0, "major").when(F.col("n_regionkey") % 3 == 1, "minor").otherwise("mini")
+    return n.select(_gid(F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), kind.alias("kind"))
+
+
+def v_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat search-store documents.
+
+    Shared rules: author_id = 'u'||(custkey%97) for even custkeys, author_ip =
+    '10.0.'||(custkey%61) for odd ones; counts from key residues; kind from
+    the order status; recommended when the total price exceeds 300000.
+    """
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"], "inner")
+    ck = F.col("c_custkey")
+    return j.select(
+        _gid(F.col("c_nationkey")).alias("gallery_id"),
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderpriority").alias("title"),
+        F.col("o_orderstatus").alias("subject"),
+        F.col("c_name").alias("author_nickname"),
+        F.when(ck % 2 == 0, F.concat(F.lit("u"), (ck % 97).cast("string"))).alias("author_id"),
+        F.when(ck % 2 == 1, F.concat(F.lit("10.0."), (ck % 61).cast("string"))).alias("author_ip"),
+        (F.col("o_orderkey") % 13).alias("comment_count"),
+        (F.col("o_custkey") % 50).alias("like_count"),
+        (F.col("o_orderkey") % 1000).alias("view_count"),
+        F.when(F.col("o_orderstatus") == "F", "text").when(F.col("o_orderstatus") == "O", "picture")
+         .otherwise("video").alias("kind"),
+        (F.col("o_totalprice") > 300000).alias("is_recommend"),
+        F.col("o_orderdate").alias("created_at"),
+    )
+
+
+# --------------------------------------------------------------------------
+# titles for the n-gram index: the <title> element of crawled pages
+# --------------------------------------------------------------------------
+
+TITLE_RE = r"<title>(.*?)</title>"
+HOST_RE = r"^[a-z]+://([^/:?#]+)"
+
+
+def v_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return p.select(
+        F.regexp_extract("url", HOST_RE, 1).alias("gallery_id"),
+        F.col("page_id").alias("id"),
+        F.regexp_extract("html", TITLE_RE, 1).alias("title"),
+        F.expr(f"TIMESTAMP_NTZ '{BASE_TS}' + make_dt_interval(0, CAST(page_id % 997 AS INT), 0, 0)").alias("created_at"),
+        (F.col("page_id") % 17).alias("comment_count"),
+        (F.col("page_id") % 29).alias("like_count"),
+    )

@@ -83,3 +83,29 @@ def media(expr: str, legacy: bool = False) -> str:
         f"WHEN starts_with({expr}, '<img') THEN {open_} || {img} || ' ' || {title} || {close} "
         f"ELSE {expr} END"
     )
+
+
+VIEWS["v_gallery"] = r"""
+SELECT 'g' || CAST(n_nationkey AS VARCHAR) AS id, n_name AS name,
+  CASE n_regionkey % 3 WHEN 0 THEN 'major' WHEN 1 THEN 'minor' ELSE 'mini' END AS kind
+FROM nation
+"""
+
+VIEWS["v_document"] = r"""
+SELECT 'g' || CAST(c_nationkey AS VARCHAR) AS gallery_id, o_orderkey AS id, o_orderpriority AS title,
+  o_orderstatus AS subject, c_name AS author_nickname,
+  CASE WHEN c_custkey % 2 = 0 THEN 'u' || CAST(c_custkey % 97 AS VARCHAR) END AS author_id,
+  CASE WHEN c_custkey % 2 = 1 THEN '10.0.' || CAST(c_custkey % 61 AS VARCHAR) END AS author_ip,
+  o_orderkey % 13 AS comment_count, o_custkey % 50 AS like_count, o_orderkey % 1000 AS view_count,
+  CASE o_orderstatus WHEN 'F' THEN 'text' WHEN 'O' THEN 'picture' ELSE 'video' END AS kind,
+  o_totalprice > 300000 AS is_recommend, o_orderdate AS created_at
+FROM orders JOIN customer ON o_custkey = c_custkey
+"""
+
+VIEWS["v_title"] = r"""
+SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS gallery_id, page_id AS id,
+  regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
+  TIMESTAMP '2024-01-01 00:00:00' + (page_id % 997) * INTERVAL 1 HOUR AS created_at,
+  page_id % 17 AS comment_count, page_id % 29 AS like_count
+FROM pages
+"""
