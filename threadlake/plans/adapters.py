@@ -156,3 +156,70 @@ def v_title(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("page_id") % 17).alias("comment_count"),
         (F.col("page_id") % 29).alias("like_count"),
     )
+
+
+# --------------------------------------------------------------------------
+# crawl directory: customers -> galleries and ranking feeds, events -> reports
+# --------------------------------------------------------------------------
+
+PRIOR_TS = "2023-12-01 00:00:00"
+PRIOR_PUB_TS = "2023-12-20 00:00:00"
+REFRESH_TS = "2024-01-01 00:00:00"
+
+# Error class of an error event: event_id % 6 indexes ERROR_CLASSES.
+from threadlake.functions.classify import ERROR_CLASSES  # noqa: E402
+
+
+def v_state_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory state before the refresh: customers with a positive balance."""
+    c = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 0)
+    ck = F.col("c_custkey")
+    return c.select(
+        _gid(ck).alias("id"), F.col("c_name").alias("name"), F.lit("major").alias("kind"),
+        (ck % 100).cast("int").alias("rank"),
+        F.lit(PRIOR_TS).cast("timestamp_ntz").alias("last_ranked"),
+        F.lit(PRIOR_PUB_TS).cast("timestamp_ntz").alias("last_crawled_at"),
+        ck.alias("last_crawled_document_id"),
+        (ck % 10 != 0).alias("visible"),
+        F.lit(None).cast("string").alias("last_error"),
+        (F.lit(100.0) + (ck % 50).cast("double")).alias("publish_duration_in_seconds"),
+        F.lit(PRIOR_PUB_TS).cast("timestamp_ntz").alias("last_published_at"),
+        F.lit(PRIOR_TS).cast("timestamp_ntz").alias("registered_at"),
+    )
+
+
+def v_rank_feed(spark: SparkSession, sf_dir: str, segment: str) -> DataFrame:
+    """JSONP ranking bodies, one per nation, for the customers of a segment.
+
+    Entries are ``{"id": "g<custkey>", "ko_name": c_name, "rank": r}`` in
+    custkey order; r = custkey % 100, quoted for even custkeys.
+    """
+    c = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == segment)
+    ck = F.col("c_custkey")
+    rank = (ck % 100).cast("string")
+    rank_json = F.when(ck % 2 == 0, F.concat(F.lit('"'), rank, F.lit('"'))).otherwise(rank)
+    entry = F.concat(F.lit('{"id":"g'), ck.cast("string"), F.lit('","ko_name":"'), F.col("c_name"),
+                     F.lit('","rank":'), rank_json, F.lit("}"))
+    bodies = c.groupBy("c_nationkey").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ck.alias("k"), entry.alias("e")))),
+                                 lambda x: x["e"]), ",").alias("items"))
+    return bodies.select(F.col("c_nationkey").alias("feed"),
+                         F.concat(F.lit("callback(["), F.col("items"), F.lit("]);")).alias("body"))
+
+
+def v_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl reports from events: errors from error events, the rest succeed.
+
+    count = 2 * floor(value); error class = ERROR_CLASSES[event_id % 6].
+    """
+    e = table(spark, sf_dir, "events")
+    err = F.element_at(F.array(*[F.lit(x) for x in ERROR_CLASSES]), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.select(
+        _gid(F.col("user_id")).alias("id"),
+        (F.col("user_id") % 8).alias("worker_part"),
+        F.col("ts").alias("at"),
+        F.col("event_id").alias("last_doc_id"),
+        (F.floor("value").cast("long") * 2).alias("count"),
+        F.when(F.col("event_type") == "error", err).alias("error"),
+        F.col("event_id").alias("seq"),
+    )

@@ -109,3 +109,53 @@ SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS gallery_id, page_id AS
   page_id % 17 AS comment_count, page_id % 29 AS like_count
 FROM pages
 """
+
+
+VIEWS["v_state_prior"] = r"""
+SELECT 'g' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'major' AS kind, CAST(c_custkey % 100 AS INTEGER) AS rank,
+  TIMESTAMP '2023-12-01 00:00:00' AS last_ranked, TIMESTAMP '2023-12-20 00:00:00' AS last_crawled_at,
+  c_custkey AS last_crawled_document_id, c_custkey % 10 <> 0 AS visible, CAST(NULL AS VARCHAR) AS last_error,
+  100.0::DOUBLE + CAST(c_custkey % 50 AS DOUBLE) AS publish_duration_in_seconds,
+  TIMESTAMP '2023-12-20 00:00:00' AS last_published_at, TIMESTAMP '2023-12-01 00:00:00' AS registered_at
+FROM customer WHERE c_acctbal > 0
+"""
+
+VIEWS["rt_feed"] = r"""
+SELECT 'g' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'major' AS kind, CAST(c_custkey % 100 AS INTEGER) AS rank
+FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
+"""
+
+VIEWS["wk_feed"] = r"""
+SELECT 'g' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'major' AS kind, CAST(c_custkey % 100 AS INTEGER) AS rank
+FROM customer WHERE c_mktsegment = 'BUILDING'
+"""
+
+# directory after the refresh at 2024-01-01
+VIEWS["v_state"] = r"""
+SELECT r.id, r.name, r.kind, r.rank, TIMESTAMP '2024-01-01 00:00:00' AS last_ranked,
+  s.last_crawled_at, s.last_crawled_document_id, TRUE AS visible, s.last_error,
+  CASE WHEN s.id IS NULL THEN 0.0::DOUBLE END AS publish_duration_in_seconds,
+  CAST(NULL AS TIMESTAMP) AS last_published_at,
+  COALESCE(s.registered_at, TIMESTAMP '2024-01-01 00:00:00') AS registered_at
+FROM rt_feed r LEFT JOIN v_state_prior s ON s.id = r.id
+UNION ALL
+SELECT s.* FROM v_state_prior s WHERE s.id NOT IN (SELECT id FROM rt_feed)
+UNION ALL
+SELECT w.id, w.name, w.kind, w.rank, TIMESTAMP '2024-01-01 00:00:00', CAST(NULL AS TIMESTAMP), CAST(NULL AS BIGINT),
+  TRUE, CAST(NULL AS VARCHAR), 0.0::DOUBLE, CAST(NULL AS TIMESTAMP), TIMESTAMP '2024-01-01 00:00:00'
+FROM wk_feed w WHERE w.id NOT IN (SELECT id FROM rt_feed) AND w.id NOT IN (SELECT id FROM v_state_prior)
+"""
+
+VIEWS["v_report"] = r"""
+SELECT 'g' || CAST(user_id AS VARCHAR) AS id, user_id % 8 AS worker_part, ts AS at, event_id AS last_doc_id,
+  CAST(floor(value) AS BIGINT) * 2 AS count,
+  CASE WHEN event_type = 'error' THEN
+    ['Unknown', 'AdultPage', 'MinorGalleryAccessNotAllowed', 'MinorGalleryClosed', 'MinorGalleryPromoted', 'PageNotFound'][event_id % 6 + 1]
+  END AS error,
+  event_id AS seq
+FROM events
+"""
+
+DEPENDS.update({
+    "v_state": ["v_state_prior", "rt_feed", "wk_feed"],
+})
