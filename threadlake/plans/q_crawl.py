@@ -195,12 +195,13 @@ def agg_hist_docs(spark, sf_dir):
 
 @register("agg_hist_wait", _fold_sql(", w AS (SELECT CASE WHEN COALESCE(last_published_at, registered_at) IS NULL "
                                      f"THEN CAST(0.0 AS DOUBLE) ELSE {WAIT_SQL} END AS wait FROM folded WHERE visible)\n"
-                                     + _hist_sql("w", "wait", C.WAIT_BUCKETS)))
+                                     "SELECT le, round(value, 6) AS value FROM (" + _hist_sql("w", "wait", C.WAIT_BUCKETS) + ") h"))
 def agg_hist_wait(spark, sf_dir):
     s = _folded(spark, sf_dir).filter(F.col("visible"))
     t = F.coalesce(F.col("last_published_at"), F.col("registered_at"))
     w = s.select(F.when(t.isNull(), F.lit(0.0)).otherwise(C.wait_seconds()).alias("wait"))
-    return C.histogram(w, "wait", C.WAIT_BUCKETS)
+    # a float sum depends on the summation order: compare it at 6 decimals
+    return C.histogram(w, "wait", C.WAIT_BUCKETS).withColumn("value", F.round("value", 6))
 
 
 @register("agg_report_counters", with_views(["v_state", "v_report"], """
