@@ -75,9 +75,8 @@ def doc_kind(has_video, has_picture) -> Column:
 def gallery_kind(c, strict: bool = True) -> Column:
     """major / minor / mini; missing -> major; anything else -> error (or NULL if not strict)."""
     c = as_col(c)
-    k = F.lower(c)
     bad = F.raise_error(F.concat(F.lit("unsupported gallery kind: "), c)) if strict else F.lit(None)
-    return F.when(c.isNull(), "major").when(k.isin(*GALLERY_KINDS), k).otherwise(bad)
+    return F.when(c.isNull(), "major").when(c.isin(*GALLERY_KINDS), c).otherwise(bad)
 
 
 def page_state(html) -> Column:

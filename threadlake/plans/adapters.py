@@ -223,3 +223,60 @@ def v_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", err).alias("error"),
         F.col("event_id").alias("seq"),
     )
+
+
+# --------------------------------------------------------------------------
+# raw crawled text fields (orders) and crawled pages with page-state variants
+# --------------------------------------------------------------------------
+
+def v_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text as a crawler sees it, with blanks, malformed values and both time forms.
+
+    Shared rules (k = o_orderkey, ck = o_custkey, t = o_orderdate + k%86400 s).
+    """
+    o = table(spark, sf_dir, "orders")
+    k, ck = F.col("o_orderkey"), F.col("o_custkey")
+    t = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k % 86400).cast("decimal(18,6)"))
+    s = lambda c: c.cast("string")
+    return o.select(
+        k.alias("id"),
+        F.when(k % 17 == 0, F.lit("not a date")).otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss")).alias("list_time"),
+        F.when(k % 9 == 0, F.lit("")).when(k % 2 == 1, F.date_format(t, "yyyy.MM.dd HH:mm:ss"))
+         .otherwise(F.date_format(t, "MM.dd HH:mm:ss")).alias("comment_time"),
+        F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 7 == 0, F.lit("[3/1]"))
+         .otherwise(F.concat(F.lit("["), s(k % 30), F.lit("]"))).alias("reply_text"),
+        F.when(k % 23 == 0, F.concat(F.lit("x"), s(ck))).when(k % 19 == 0, F.concat(F.lit(" "), s(ck % 50)))
+         .otherwise(s(ck % 50)).alias("like_text"),
+        F.when(k % 4 == 1, F.lit("")).when(k % 4 == 2, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("u"), s(ck))).alias("uid"),
+        F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.concat(F.lit("10.1."), s(ck % 256)))
+         .otherwise(F.lit(None).cast("string")).alias("ip"),
+        (k % 2 == 1).alias("has_video"),
+        (k % 4 >= 2).alias("has_picture"),
+        F.element_at(F.array(F.lit("major"), F.lit("minor"), F.lit("mini"), F.lit(None).cast("string"),
+                             F.lit("Minor"), F.lit("weird")), (k % 6 + 1).cast("int")).alias("kind_text"),
+        F.when(k % 13 == 0, F.concat(F.lit("x"), s(k))).when(k % 2 == 0, F.concat(F.lit("+"), s(k)))
+         .otherwise(s(k)).alias("id_text"),
+    )
+
+
+# Page-state variants: page_id % 6 picks the prefix put before the page.
+from threadlake.functions import classify as _cls  # noqa: E402
+
+PAGE_PREFIXES = [
+    _cls.PAGE_ADULT_PREFIX + '/");</script>',
+    _cls.PAGE_CLOSED_PREFIX + '");</script>',
+    _cls.PAGE_VIOLATION_PREFIX + '으로 폐쇄되었습니다.");</script>',
+    _cls.PAGE_VIOLATION_PREFIX + '으로 접근이 제한되었습니다.");</script>',
+    _cls.PAGE_PROMOTED_PREFIX + 'id=x");</script>',
+    "",
+]
+RESTRICTION_DIV = '<div class="migall_state restriction"></div>'
+
+
+def v_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    pid = F.col("page_id")
+    prefix = F.element_at(F.array(*[F.lit(x) for x in PAGE_PREFIXES]), (pid % 6 + 1).cast("int"))
+    prefix = F.when(pid % 12 == 11, F.lit(RESTRICTION_DIV)).otherwise(prefix)
+    return p.select("page_id", "url", F.concat(prefix, F.col("html")).alias("html"))

@@ -159,3 +159,24 @@ FROM events
 DEPENDS.update({
     "v_state": ["v_state_prior", "rt_feed", "wk_feed"],
 })
+
+
+VIEWS["v_page"] = r"""
+SELECT page_id, url,
+  CASE WHEN page_id % 12 = 11 THEN '<div class="migall_state restriction"></div>' ELSE ['<script type="text/javascript">location.replace("/error/adult/");</script>', '<script type="text/javascript">alert("해당 마이너 갤러리는 매니저의 요청으로 폐쇄되었습니다.");</script>', '<script type="text/javascript">alert("해당 마이너 갤러리는 운영원칙 위반으로 폐쇄되었습니다.");</script>', '<script type="text/javascript">alert("해당 마이너 갤러리는 운영원칙 위반으로 접근이 제한되었습니다.");</script>', '<script type="text/javascript">location.replace("https://gall.dcinside.com/board/lists?id=x");</script>', ''][page_id % 6 + 1] END || html AS html
+FROM pages
+"""
+
+VIEWS["v_raw"] = r"""
+SELECT id,
+  CASE WHEN k % 17 = 0 THEN 'not a date' ELSE strftime(t, '%Y-%m-%d %H:%M:%S') END AS list_time,
+  CASE WHEN k % 9 = 0 THEN '' WHEN k % 2 = 1 THEN strftime(t, '%Y.%m.%d %H:%M:%S') ELSE strftime(t, '%m.%d %H:%M:%S') END AS comment_time,
+  CASE WHEN k % 5 = 0 THEN NULL WHEN k % 7 = 0 THEN '[3/1]' ELSE '[' || CAST(k % 30 AS VARCHAR) || ']' END AS reply_text,
+  CASE WHEN k % 23 = 0 THEN 'x' || CAST(ck AS VARCHAR) WHEN k % 19 = 0 THEN ' ' || CAST(ck % 50 AS VARCHAR) ELSE CAST(ck % 50 AS VARCHAR) END AS like_text,
+  CASE WHEN k % 4 = 1 THEN '' WHEN k % 4 = 2 THEN NULL ELSE 'u' || CAST(ck AS VARCHAR) END AS uid,
+  CASE WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN '10.1.' || CAST(ck % 256 AS VARCHAR) ELSE NULL END AS ip,
+  k % 2 = 1 AS has_video, k % 4 >= 2 AS has_picture,
+  ['major', 'minor', 'mini', NULL, 'Minor', 'weird'][k % 6 + 1] AS kind_text,
+  CASE WHEN k % 13 = 0 THEN 'x' || CAST(k AS VARCHAR) WHEN k % 2 = 0 THEN '+' || CAST(k AS VARCHAR) ELSE CAST(k AS VARCHAR) END AS id_text
+FROM (SELECT o_orderkey AS id, o_orderkey AS k, o_custkey AS ck, o_orderdate + (o_orderkey % 86400) * INTERVAL 1 SECOND AS t FROM orders) o
+"""
