@@ -280,3 +280,49 @@ def v_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix = F.element_at(F.array(*[F.lit(x) for x in PAGE_PREFIXES]), (pid % 6 + 1).cast("int"))
     prefix = F.when(pid % 12 == 11, F.lit(RESTRICTION_DIV)).otherwise(prefix)
     return p.select("page_id", "url", F.concat(prefix, F.col("html")).alias("html"))
+
+
+# --------------------------------------------------------------------------
+# lineitems as comments of the search-store documents
+# --------------------------------------------------------------------------
+
+def li_author(suppkey: Column) -> Column:
+    """Comment author from a supplier: even keys have an id, odd keys an ip."""
+    from threadlake.functions.classify import user_kind
+    uid = F.when(suppkey % 2 == 0, F.concat(F.lit("s"), suppkey.cast("string"))).otherwise(F.lit(""))
+    ip = F.when(suppkey % 2 == 1, F.concat(F.lit("10.2."), (suppkey % 256).cast("string"))).otherwise(F.lit(""))
+    return F.struct(uid.alias("id"), ip.alias("ip"), F.concat(F.lit("n"), suppkey.cast("string")).alias("nickname"),
+                    user_kind(uid, ip).alias("kind"))
+
+
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+              "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def li_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitems with ``line_no``: their rank inside the order (line numbers repeat).
+
+    The window is per order, so a partition holds one order's lines.
+    """
+    from pyspark.sql import Window
+    li = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    return li.withColumn("line_no", F.row_number().over(w).cast("long"))
+
+
+def v_li_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat comment rows: one per lineitem, keyed by its order's document."""
+    li = li_lines(spark, sf_dir)
+    docs = v_document(spark, sf_dir).select("gallery_id", F.col("id").alias("_doc"))
+    j = li.join(docs, li["l_orderkey"] == docs["_doc"], "inner")
+    contents = F.concat(F.col("l_returnflag"), F.col("l_linestatus"), F.lit(" p"), F.col("l_partkey").cast("string"))
+    return j.select(
+        "gallery_id", F.col("l_orderkey").alias("document_id"),
+        (F.col("l_orderkey") * 1000 + F.col("line_no")).alias("id"),
+        li_author(F.col("l_suppkey")).alias("author"),
+        F.lit(0).cast("long").alias("depth"),
+        contents.alias("contents"),
+        comment_kind(contents).alias("kind"),
+        F.lit(None).cast("long").alias("parent_id"),
+        F.col("l_shipdate").alias("created_at"),
+    )

@@ -180,3 +180,9 @@ SELECT id,
   CASE WHEN k % 13 = 0 THEN 'x' || CAST(k AS VARCHAR) WHEN k % 2 = 0 THEN '+' || CAST(k AS VARCHAR) ELSE CAST(k AS VARCHAR) END AS id_text
 FROM (SELECT o_orderkey AS id, o_orderkey AS k, o_custkey AS ck, o_orderdate + (o_orderkey % 86400) * INTERVAL 1 SECOND AS t FROM orders) o
 """
+
+VIEWS["li_lines"] = r"""
+SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+  l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS line_no
+FROM lineitem
+"""
