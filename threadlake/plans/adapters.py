@@ -8,7 +8,7 @@ step (the comments name the shared rules).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.classify import comment_kind
@@ -326,3 +326,55 @@ def v_li_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("long").alias("parent_id"),
         F.col("l_shipdate").alias("created_at"),
     )
+
+
+# --------------------------------------------------------------------------
+# comment feeds: each order's lineitems as a JSON comment feed (pages of 4)
+# --------------------------------------------------------------------------
+
+AD_JSON = '{"no":0,"user_id":"","ip":"","name":"","depth":0,"memo":"<div class=\\"ad\\">ad</div>","reg_date":""}'
+
+
+def v_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed pages ``(gallery_id, document_id, page, body)``.
+
+    Shared rules: page = 1 for line_no <= 4 else 2; no = orderkey*1000 +
+    line_no, quoted for even line_no; depth 0 when line_no % 3 = 0; authors
+    from the supplier (blank for partkey % 10 = 0); memo an image tag for
+    partkey % 7 = 0, a voice clip for partkey % 11 = 0, else text; reg_date
+    full for odd line_no, year-less for even, empty for line_no 7; orders
+    with orderkey % 4 = 0 end page 1 with an ad row.
+    """
+    li = li_lines(spark, sf_dir)
+    ln, pk, sk = F.col("line_no"), F.col("l_partkey"), F.col("l_suppkey")
+    s = lambda c: c.cast("string")
+    no = F.col("l_orderkey") * 1000 + ln
+    no_json = F.when(ln % 2 == 0, F.concat(F.lit('"'), s(no), F.lit('"'))).otherwise(s(no))
+    blank = pk % 10 == 0
+    uid = F.when(~blank & (sk % 2 == 0), F.concat(F.lit("s"), s(sk))).otherwise(F.lit(""))
+    ip = F.when(~blank & (sk % 2 == 1), F.concat(F.lit("10.2."), s(sk % 256))).otherwise(F.lit(""))
+    memo = (F.when(pk % 7 == 0, F.concat(F.lit('<img src=\\"https://e.example/d.php?no='), s(pk), F.lit('\\" title=\\"p\\">')))
+            .when(pk % 11 == 0, F.concat(F.lit("vr/"), s(pk)))
+            .otherwise(F.concat(F.col("l_returnflag"), F.col("l_linestatus"), F.lit(" p"), s(pk))))
+    t = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), ln.cast("int"))
+    reg = (F.when(ln == 7, F.lit("")).when(ln % 2 == 1, F.date_format(t, "yyyy.MM.dd HH:mm:ss"))
+           .otherwise(F.date_format(t, "MM.dd HH:mm:ss")))
+    obj = F.concat(F.lit('{"no":'), no_json, F.lit(',"user_id":"'), uid, F.lit('","ip":"'), ip,
+                   F.lit('","name":"n'), s(sk), F.lit('","depth":'), F.when(ln % 3 == 0, F.lit("0")).otherwise(F.lit("1")),
+                   F.lit(',"memo":"'), memo, F.lit('","reg_date":"'), reg, F.lit('"}'))
+    lines = li.select("l_orderkey", ln.alias("line_no"), F.when(ln <= 4, 1).otherwise(2).alias("page"), obj.alias("obj"))
+    pages = lines.groupBy("l_orderkey", "page").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "obj"))), lambda x: x["obj"]), ",")
+        .alias("items"))
+    n_pages = F.max("page").over(Window.partitionBy("l_orderkey"))
+    pages = pages.withColumn("n_pages", n_pages)
+    pager = F.concat(
+        F.when(F.col("page") == 1, F.lit("<em>1</em>")).otherwise(F.lit("<a>1</a>")),
+        F.when(F.col("n_pages") == 2, F.when(F.col("page") == 2, F.lit("<em>2</em>")).otherwise(F.lit("<a>2</a>")))
+         .otherwise(F.lit("")),
+        F.lit("<a>next</a>"))
+    items = F.when((F.col("page") == 1) & (F.col("l_orderkey") % 4 == 0),
+                   F.concat(F.col("items"), F.lit("," + AD_JSON))).otherwise(F.col("items"))
+    body = F.concat(F.lit('{"comments":['), items, F.lit('],"pagination":"'), pager, F.lit('"}'))
+    return pages.select(_gid(F.col("l_orderkey") % 25).alias("gallery_id"), F.col("l_orderkey").alias("document_id"),
+                        "page", body.alias("body"))

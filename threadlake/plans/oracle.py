@@ -186,3 +186,28 @@ SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_pa
   l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS line_no
 FROM lineitem
 """
+
+# flat comment-feed rows (the JSON is only built on the Spark side)
+VIEWS["feed_rows"] = r"""
+SELECT gallery_id, document_id, page, id, uid, ip, nickname, depth, memo, reg_date,
+  CAST(row_number() OVER (PARTITION BY document_id, page ORDER BY line_no) - 1 AS INTEGER) AS pos,
+  max(page) OVER (PARTITION BY document_id) AS n_pages
+FROM (
+  SELECT 'g' || CAST(l_orderkey % 25 AS VARCHAR) AS gallery_id, l_orderkey AS document_id,
+    CASE WHEN line_no <= 4 THEN 1 ELSE 2 END AS page, line_no, l_orderkey * 1000 + line_no AS id,
+    CASE WHEN l_partkey % 10 <> 0 AND l_suppkey % 2 = 0 THEN 's' || CAST(l_suppkey AS VARCHAR) ELSE '' END AS uid,
+    CASE WHEN l_partkey % 10 <> 0 AND l_suppkey % 2 = 1 THEN '10.2.' || CAST(l_suppkey % 256 AS VARCHAR) ELSE '' END AS ip,
+    'n' || CAST(l_suppkey AS VARCHAR) AS nickname,
+    CASE WHEN line_no % 3 = 0 THEN 0 ELSE 1 END AS depth,
+    CASE WHEN l_partkey % 7 = 0 THEN '<img src="https://e.example/d.php?no=' || CAST(l_partkey AS VARCHAR) || '" title="p">'
+         WHEN l_partkey % 11 = 0 THEN 'vr/' || CAST(l_partkey AS VARCHAR)
+         ELSE l_returnflag || l_linestatus || ' p' || CAST(l_partkey AS VARCHAR) END AS memo,
+    CASE WHEN line_no = 7 THEN '' WHEN line_no % 2 = 1 THEN strftime(l_shipdate + line_no * INTERVAL 1 HOUR, '%Y.%m.%d %H:%M:%S')
+         ELSE strftime(l_shipdate + line_no * INTERVAL 1 HOUR, '%m.%d %H:%M:%S') END AS reg_date
+  FROM li_lines
+  UNION ALL
+  SELECT 'g' || CAST(l_orderkey % 25 AS VARCHAR), l_orderkey, 1, 1000, 0, '', '', '', 0, '<div class="ad">ad</div>', ''
+  FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 4 = 0) a
+) f
+"""
+DEPENDS["feed_rows"] = ["li_lines"]
