@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     # importing the modules fills the registry
-    from threadlake.plans import q_crawl, q_dialogs, q_feeds, q_normalize, q_search, q_sources, q_store  # noqa: F401
+    from threadlake.plans import q_crawl, q_dialogs, q_feeds, q_normalize, q_search, q_sources, q_store, q_streams  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
