@@ -242,16 +242,29 @@ def wait_seconds(docs_per_crawl: int = DOCS_PER_CRAWL, max_wait: int = MAX_WAIT)
                    F.lit(float(max_wait)))
 
 
+def wait_over(now, docs_per_crawl: int = DOCS_PER_CRAWL, max_wait: int = MAX_WAIT) -> Column:
+    """True when the wait since the last publish (or registration) is over; no time -> True."""
+    t = F.coalesce(F.col("last_published_at"), F.col("registered_at"))
+    since = _div(F.unix_micros(_ts(now).cast("timestamp")) - F.unix_micros(t.cast("timestamp")), 1_000_000).cast("double")
+    return t.isNull() | (since >= wait_seconds(docs_per_crawl, max_wait))
+
+
+def observed_wait(docs_per_crawl: int = DOCS_PER_CRAWL, max_wait: int = MAX_WAIT) -> Column:
+    """Wait time recorded for the histogram: 0 when the gallery has no time."""
+    t = F.coalesce(F.col("last_published_at"), F.col("registered_at"))
+    return F.when(t.isNull(), F.lit(0.0)).otherwise(wait_seconds(docs_per_crawl, max_wait))
+
+
 def due_galleries(state: DataFrame, now, total: int = 1, part: int = 0, docs_per_crawl: int = DOCS_PER_CRAWL,
                   max_wait: int = MAX_WAIT) -> DataFrame:
     """Visible galleries of one part whose wait since the last publish is over.
 
-    A gallery with no publish/registration time is always due.
+    A gallery with no publish/registration time is always due.  The part is
+    a filter on a hash of the id, so every worker reads the same state and
+    keeps a disjoint share; all parts together cover every gallery.
     """
-    t = F.coalesce(F.col("last_published_at"), F.col("registered_at"))
-    since = _div(F.unix_micros(_ts(now).cast("timestamp")) - F.unix_micros(t.cast("timestamp")), 1_000_000).cast("double")
     s = state.filter(part_of("id", total) == part).filter(F.col("visible"))
-    return s.filter(t.isNull() | (since >= wait_seconds(docs_per_crawl, max_wait)))
+    return s.filter(wait_over(now, docs_per_crawl, max_wait))
 
 
 def work_order(df: DataFrame) -> DataFrame:

@@ -167,13 +167,10 @@ SELECT id, {_part_sql(TOTAL)} AS part,
   COALESCE(visible AND (COALESCE(last_published_at, registered_at) IS NULL OR {_since_sql(NOW_SQL)} >= {WAIT_SQL}), FALSE) AS due
 FROM folded"""))
 def job_crawl_state(spark, sf_dir):
+    """Refresh -> fold reports -> per-gallery part, wait and due flag (one pass over the new state)."""
     s = _folded(spark, sf_dir)
-    t = F.coalesce(F.col("last_published_at"), F.col("registered_at"))
-    due = C.due_galleries(s, NOW, 1, 0).select("id", F.lit(True).alias("_due"))
-    return s.join(due, "id", "left").select(
-        "id", C.part_of("id", TOTAL).alias("part"),
-        F.when(t.isNull(), F.lit(0.0)).otherwise(C.wait_seconds()).alias("wait_seconds"),
-        F.coalesce(F.col("_due"), F.lit(False)).alias("due"))
+    return s.select("id", C.part_of("id", TOTAL).alias("part"), C.observed_wait().alias("wait_seconds"),
+                    F.coalesce(F.col("visible") & C.wait_over(NOW), F.lit(False)).alias("due"))
 
 
 # ------------------------------------------------------------------ metrics
@@ -197,9 +194,7 @@ def agg_hist_docs(spark, sf_dir):
                                      f"THEN CAST(0.0 AS DOUBLE) ELSE {WAIT_SQL} END AS wait FROM folded WHERE visible)\n"
                                      "SELECT le, round(value, 6) AS value FROM (" + _hist_sql("w", "wait", C.WAIT_BUCKETS) + ") h"))
 def agg_hist_wait(spark, sf_dir):
-    s = _folded(spark, sf_dir).filter(F.col("visible"))
-    t = F.coalesce(F.col("last_published_at"), F.col("registered_at"))
-    w = s.select(F.when(t.isNull(), F.lit(0.0)).otherwise(C.wait_seconds()).alias("wait"))
+    w = _folded(spark, sf_dir).filter(F.col("visible")).select(C.observed_wait().alias("wait"))
     # a float sum depends on the summation order: compare it at 6 decimals
     return C.histogram(w, "wait", C.WAIT_BUCKETS).withColumn("value", F.round("value", 6))
 
