@@ -37,9 +37,10 @@ def decode_feed(feeds: DataFrame, body: str = "body") -> DataFrame:
     """
     j = feeds.withColumn("_j", F.from_json(F.col(body), FEED_SCHEMA))
     keep = [c for c in feeds.columns if c != body]
-    j = j.select(*keep, F.col("_j.pagination").alias("pagination"),
+    # page-level values are computed once per page, before the comments are exploded
+    j = j.select(*keep, max_page(F.col("_j.pagination")).alias("max_page"),
                  F.when(F.col("_j.pagination").isNotNull(), F.col("_j.comments")).alias("_c"))
-    return j.select(*keep, "pagination", F.posexplode("_c").alias("pos", "c"))
+    return j.select(*keep, "max_page", F.posexplode("_c").alias("pos", "c"))
 
 
 def fill_parents(rows: DataFrame, keys=("gallery_id", "document_id", "page")) -> DataFrame:
@@ -68,7 +69,7 @@ def comment_rows(feeds: DataFrame, as_of, body: str = "body") -> DataFrame:
     c = F.col("c")
     uid, ip = c["user_id"], c["ip"]
     rows = d.select(
-        "gallery_id", "document_id", "page", "pos", max_page("pagination").alias("max_page"),
+        "gallery_id", "document_id", "page", "pos", "max_page",
         flex_id(c["no"]).alias("id"),
         blank_to_null(uid).alias("author_id"), blank_to_null(ip).alias("author_ip"),
         c["name"].alias("nickname"), user_kind(uid, ip).alias("user_kind"),

@@ -50,3 +50,158 @@ def extract_body(pages: DataFrame, tag: str = "article", html: str = "html") ->
         F.regexp_extract(html, pat, 1).alias("body"),
         F.when(~found, F.lit(f"Select {tag}")).alias("error"),
     )
+
+
+# --------------------------------------------------------------------------
+# board list pages: rows of class ``us-post`` -> document index rows
+# --------------------------------------------------------------------------
+
+# Fixed values that must equal the reference's behaviour: element classes and
+# the error paths reported for a row that cannot be read.
+ROW_CLASS = "us-post"
+P_NUM, P_TIT, P_WRITER, P_NICK = ".us-post .gall_num", ".us-post .gall_tit", ".us-post .gall_writer", \
+    ".us-post .gall_writer@data-nick"
+P_RECOMMEND_SELECT, P_RECOMMEND = ".us-post .gall_recommned", ".us-post .gall_recommend"
+P_COUNT, P_DATE, P_DATE_TITLE = ".us-post .gall_count", ".us-post .gall_date", ".us-post .gall_date@title"
+
+_ROW_RE = r'(?s)<tr\b[^>]*\bclass="[^"]*\bus-post\b[^"]*"[^>]*>.*?</tr>'
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
+def _has_class(html: F.Column, cls: str) -> F.Column:
+    return html.rlike(rf'\bclass="[^"]*\b{cls}\b[^"]*"')
+
+
+def _inner(html: F.Column, cls: str) -> F.Column:
+    """Inner HTML of the first element carrying ``cls`` (closed by the same tag name)."""
+    return F.regexp_extract(html, rf'(?s)<(\w+)\b[^>]*\bclass="[^"]*\b{cls}\b[^"]*"[^>]*>(.*?)</\1>', 2)
+
+
+def _tag(html: F.Column, cls: str) -> F.Column:
+    return F.regexp_extract(html, rf'<\w+\b[^>]*\bclass="[^"]*\b{cls}\b[^"]*"[^>]*>', 0)
+
+
+def _attr(tag: F.Column, name: str) -> F.Column:
+    return F.when(tag.rlike(rf'\s{name}="'), F.regexp_extract(tag, rf'\s{name}="([^"]*)"', 1))
+
+
+def html_text(inner: F.Column) -> F.Column:
+    """Text content: tags removed, the five basic entities decoded (work only where needed)."""
+    t = F.when(F.instr(inner, "<") > 0, F.regexp_replace(inner, r"<[^>]*>", "")).otherwise(inner)
+    d = t
+    for ent, ch in _ENTITIES:
+        d = F.replace(d, F.lit(ent), F.lit(ch))
+    return F.when(F.instr(t, "&") > 0, d).otherwise(t)
+
+
+def parse_list_pages(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("gallery_id", "page_no")) -> DataFrame:
+    """List pages -> one row per ``us-post`` row (fields or an error), or one error row per unreadable page.
+
+    Field rules: id = text of ``.gall_num`` (unsigned integer); title = text of
+    the first link in ``.gall_tit``; subject = ``.gall_subject`` text when
+    present; author from ``.gall_writer`` ``data-nick`` / ``data-uid`` /
+    ``data-ip`` (blank -> NULL); comment count = ``.reply_numbox`` as ``[n]``
+    (missing or malformed -> 0); like / view counts strict; kind from the
+    picture / movie icons; recommended when ``.icon_recom`` is present;
+    created_at = ``.gall_date@title`` (KST) in UTC.  A row that fails one of
+    these reports the first failing path and carries no fields.
+    """
+    from threadlake.functions.classify import blank_to_null, doc_kind, user_kind
+    from threadlake.functions.parse import parse_kst, strict_int, bracket_int, UINT_RE
+
+    # one pass over the pages: an unreadable page yields a single error row
+    st = page_state(html)
+    page_err = F.lit(None).cast("string")
+    for state, cls in PAGE_STATE_TO_ERROR.items():
+        page_err = F.when(F.col("_state") == state, cls).otherwise(page_err)
+    # the state is computed once per page, before the rows are exploded
+    staged = pages.select(*keys, html, st.alias("_state"))
+    found = F.when(F.col("_state") == "ok", F.regexp_extract_all(F.col(html), F.lit(_ROW_RE), F.lit(0))) \
+        .otherwise(F.array(F.lit(None).cast("string")))
+    rows = staged.select(*keys, "_state", F.posexplode(found).alias("row_pos", "row"))
+    r = F.col("row")
+
+    def cells(cls: str) -> F.Column:
+        # every element carrying the class, as inner HTML (one regex pass per class)
+        return F.regexp_extract_all(r, F.lit(rf'(?s)<(\w+)\b[^>]*\bclass="[^"]*\b{cls}\b[^"]*"[^>]*>(.*?)</\1>'),
+                                    F.lit(2))
+
+    def tags(cls: str) -> F.Column:
+        return F.regexp_extract_all(r, F.lit(rf'<\w+\b[^>]*\bclass="[^"]*\b{cls}\b[^"]*"[^>]*>'), F.lit(0))
+
+    arrays = rows.select(
+        *keys, "_state", F.when(F.col("_state") == "ok", F.col("row_pos")).alias("row_pos"),
+        cells("gall_num").alias("a_num"), cells("gall_tit").alias("a_tit"), cells("gall_subject").alias("a_subject"),
+        tags("gall_writer").alias("a_writer"), cells("reply_numbox").alias("a_reply"),
+        cells("gall_recommend").alias("a_rec"), cells("gall_count").alias("a_cnt"), tags("gall_date").alias("a_date"),
+        _has_class(r, "icon_pic").alias("pic"), _has_class(r, "icon_movie").alias("movie"),
+        _has_class(r, "icon_recom").alias("recom"),
+    )
+
+    def first(a: str) -> F.Column:
+        return F.try_element_at(F.col(a), F.lit(1))
+
+    def has(a: str) -> F.Column:
+        return F.coalesce(F.size(F.col(a)) > 0, F.lit(False))
+
+    pieces = arrays.select(
+        *keys, "_state", "row_pos",
+        has("a_num").alias("has_num"), html_text(first("a_num")).alias("num_txt"),
+        has("a_tit").alias("has_tit"), first("a_tit").rlike(r"<a\b").alias("has_a"),
+        F.regexp_extract(first("a_tit"), r"(?s)<a\b[^>]*>(.*?)</a>", 1).alias("title_a"),
+        has("a_subject").alias("has_subject"), first("a_subject").alias("subject_html"),
+        has("a_writer").alias("has_writer"), first("a_writer").alias("wtag"),
+        has("a_reply").alias("has_reply"), first("a_reply").alias("reply_html"),
+        has("a_rec").alias("has_rec"), html_text(first("a_rec")).alias("rec_txt"),
+        has("a_cnt").alias("has_cnt"), html_text(first("a_cnt")).alias("cnt_txt"),
+        has("a_date").alias("has_date"), first("a_date").alias("dtag"),
+        "pic", "movie", "recom",
+    )
+    c = F.col
+    pieces = pieces.select(
+        "*", _attr(c("wtag"), "data-nick").alias("nick"), _attr(c("wtag"), "data-uid").alias("uid"),
+        _attr(c("wtag"), "data-ip").alias("ip"), _attr(c("dtag"), "title").alias("dtitle"),
+        strict_int(c("rec_txt")).alias("likes"), strict_int(c("cnt_txt")).alias("views"))
+    pieces = pieces.withColumn("created", parse_kst(c("dtitle")))
+
+    def err(kind: str, path: str) -> F.Column:
+        return F.lit(f"{kind} {path}")
+
+    error = (
+        F.when(c("_state") != "ok", page_err)
+        .when(~c("has_num"), err("Select", P_NUM))
+        .when(~c("num_txt").rlike(UINT_RE), err("NumberParse", P_NUM))
+        .when(~(c("has_tit") & c("has_a")), err("Select", P_TIT))
+        .when(~c("has_writer"), err("Select", P_WRITER))
+        .when(c("nick").isNull(), err("Select", P_NICK))
+        .when(~c("has_rec"), err("Select", P_RECOMMEND_SELECT))
+        .when(c("likes").isNull(), err("NumberParse", P_RECOMMEND))
+        .when(~c("has_cnt"), err("Select", P_COUNT))
+        .when(c("views").isNull(), err("NumberParse", P_COUNT))
+        .when(~c("has_date"), err("Select", P_DATE))
+        .when(c("dtitle").isNull(), err("Select", P_DATE_TITLE))
+        .when(c("created").isNull(), err("DatetimeParse", P_DATE_TITLE))
+    )
+    ok = c("error").isNull()
+
+    def field(x: F.Column) -> F.Column:
+        return F.when(ok, x)
+
+    parsed = pieces.withColumn("error", error).select(
+        *keys, "row_pos",
+        field(c("num_txt").try_cast("long")).alias("id"),
+        field(html_text(c("title_a"))).alias("title"),
+        field(F.when(c("has_subject"), html_text(c("subject_html")))).alias("subject"),
+        field(c("nick")).alias("author_nickname"),
+        field(blank_to_null(c("uid"))).alias("author_id"),
+        field(blank_to_null(c("ip"))).alias("author_ip"),
+        field(user_kind(c("uid"), c("ip"))).alias("author_kind"),
+        field(bracket_int(F.when(c("has_reply"), html_text(c("reply_html"))))).alias("comment_count"),
+        field(c("likes")).alias("like_count"),
+        field(c("views")).alias("view_count"),
+        field(doc_kind(c("movie"), c("pic"))).alias("kind"),
+        field(c("recom")).alias("is_recommend"),
+        field(c("created")).alias("created_at"),
+        "error",
+    )
+    return parsed

@@ -378,3 +378,61 @@ def v_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit('{"comments":['), items, F.lit('],"pagination":"'), pager, F.lit('"}'))
     return pages.select(_gid(F.col("l_orderkey") % 25).alias("gallery_id"), F.col("l_orderkey").alias("document_id"),
                         "page", body.alias("body"))
+
+
+# --------------------------------------------------------------------------
+# board list pages rendered from the search-store documents
+# --------------------------------------------------------------------------
+
+LIST_PAGE_DOCS = 500   # documents of a gallery with id // 500 equal share a list page
+
+
+def v_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List-page HTML ``(gallery_id, page_no, html)``, newest row first.
+
+    Shared rules (id = order key): the number cell reads 'x<id>' when id %
+    101 = 0; the like cell reads 'n/a' when id % 97 = 0; the date cell has no
+    title when id % 89 = 0; no data-ip attribute when id % 5 = 0; both media
+    icons when id % 31 = 0; ' &amp; co' ends the title when id % 7 = 0; no
+    subject cell for status 'P'; a reply box when comment_count > 0; pages
+    with page_no % 13 = 7 are adult-gated.
+    """
+    d = v_document(spark, sf_dir)
+    i = F.col("id")
+    s = lambda c: c.cast("string")
+    num = F.when(i % 101 == 0, F.concat(F.lit("x"), s(i))).otherwise(s(i))
+    icons = F.concat(
+        F.when((F.col("kind") == "picture") | (i % 31 == 0), F.lit('<em class="icon_img icon_pic"></em>')).otherwise(F.lit("")),
+        F.when((F.col("kind") == "video") | (i % 31 == 0), F.lit('<em class="icon_img icon_movie"></em>')).otherwise(F.lit("")),
+        F.when(F.col("is_recommend"), F.lit('<em class="icon_recom"></em>')).otherwise(F.lit("")))
+    title = F.when(i % 7 == 0, F.concat(F.col("title"), F.lit(" &amp; co"))).otherwise(F.col("title"))
+    reply = F.when(F.col("comment_count") > 0, F.concat(
+        F.lit('<a class="reply_numbox" href="#"><span class="reply_num">['), s(F.col("comment_count")),
+        F.lit("]</span></a>"))).otherwise(F.lit(""))
+    subject = F.when(F.col("subject") != "P", F.concat(F.lit('<td class="gall_subject">'), F.col("subject"),
+                                                       F.lit("</td>"))).otherwise(F.lit(""))
+    ip_attr = F.when(i % 5 == 0, F.lit("")).otherwise(
+        F.concat(F.lit(' data-ip="'), F.coalesce(F.col("author_ip"), F.lit("")), F.lit('"')))
+    kst = F.date_format(F.col("created_at") + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd HH:mm:ss")
+    date = F.when(i % 89 == 0, F.lit('<td class="gall_date">?</td>')).otherwise(
+        F.concat(F.lit('<td class="gall_date" title="'), kst, F.lit('">'),
+                 F.date_format(F.col("created_at"), "MM.dd"), F.lit("</td>")))
+    like = F.when(i % 97 == 0, F.lit("n/a")).otherwise(s(F.col("like_count")))
+    row = F.concat(
+        F.lit('<tr class="ub-content us-post" data-no="'), s(i), F.lit('">'),
+        F.lit('<td class="gall_num">'), num, F.lit("</td>"), subject,
+        F.lit('<td class="gall_tit ub-word"><a href="/board/view/?id='), F.col("gallery_id"), F.lit("&amp;no="), s(i),
+        F.lit('">'), icons, title, F.lit("</a>"), reply, F.lit("</td>"),
+        F.lit('<td class="gall_writer ub-writer" data-nick="'), F.col("author_nickname"), F.lit('" data-uid="'),
+        F.coalesce(F.col("author_id"), F.lit("")), F.lit('"'), ip_attr, F.lit('><span class="nickname">'),
+        F.col("author_nickname"), F.lit("</span></td>"), date,
+        F.lit('<td class="gall_count">'), s(F.col("view_count")), F.lit("</td>"),
+        F.lit('<td class="gall_recommend">'), like, F.lit("</td></tr>"))
+    rows = d.select("gallery_id", (i / LIST_PAGE_DOCS).cast("long").alias("page_no"), i, row.alias("row"))
+    pages = rows.groupBy("gallery_id", "page_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("id")).alias("k"), "row"))),
+                                 lambda x: x["row"]), "").alias("rows"))
+    gate = F.when(F.col("page_no") % 13 == 7, F.lit(PAGE_PREFIXES[0])).otherwise(F.lit(""))
+    html = F.concat(gate, F.lit('<html><body><table class="gall_list"><tbody>'), F.col("rows"),
+                    F.lit("</tbody></table></body></html>"))
+    return pages.select("gallery_id", "page_no", html.alias("html"))

@@ -129,3 +129,36 @@ SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body,
 FROM v_page"""))
 def job_extract_body(spark, sf_dir):
     return PG.extract_body(v_page(spark, sf_dir), "article")
+
+
+@register("job_extract_list_pages", with_views(["v_document"], """
+SELECT gallery_id, page_no, CAST(NULL AS INTEGER) AS row_pos, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS title,
+  CAST(NULL AS VARCHAR) AS subject, CAST(NULL AS VARCHAR) AS author_nickname, CAST(NULL AS VARCHAR) AS author_id,
+  CAST(NULL AS VARCHAR) AS author_ip, CAST(NULL AS VARCHAR) AS author_kind, CAST(NULL AS BIGINT) AS comment_count,
+  CAST(NULL AS BIGINT) AS like_count, CAST(NULL AS BIGINT) AS view_count, CAST(NULL AS VARCHAR) AS kind,
+  CAST(NULL AS BOOLEAN) AS is_recommend, CAST(NULL AS TIMESTAMP) AS created_at, 'AdultPage' AS error
+FROM (SELECT DISTINCT gallery_id, id // 500 AS page_no FROM v_document) p WHERE page_no % 13 = 7
+UNION ALL
+SELECT gallery_id, page_no, CAST(row_pos AS INTEGER),
+  CASE WHEN err IS NULL THEN id END, CASE WHEN err IS NULL THEN title || CASE WHEN id % 7 = 0 THEN ' & co' ELSE '' END END,
+  CASE WHEN err IS NULL AND subject <> 'P' THEN subject END,
+  CASE WHEN err IS NULL THEN author_nickname END, CASE WHEN err IS NULL THEN author_id END,
+  CASE WHEN err IS NULL AND id % 5 <> 0 THEN author_ip END,
+  CASE WHEN err IS NULL THEN
+    CASE WHEN author_id IS NOT NULL AND (id % 5 = 0 OR author_ip IS NULL) THEN 'static'
+         WHEN author_id IS NULL AND id % 5 <> 0 AND author_ip IS NOT NULL THEN 'dynamic' ELSE 'unknown' END END,
+  CASE WHEN err IS NULL THEN comment_count END, CASE WHEN err IS NULL THEN like_count END,
+  CASE WHEN err IS NULL THEN view_count END,
+  CASE WHEN err IS NULL THEN CASE WHEN id % 31 = 0 THEN 'text' ELSE kind END END,
+  CASE WHEN err IS NULL THEN is_recommend END, CASE WHEN err IS NULL THEN created_at END, err
+FROM (
+  SELECT *, id // 500 AS page_no,
+    row_number() OVER (PARTITION BY gallery_id, id // 500 ORDER BY id DESC) - 1 AS row_pos,
+    CASE WHEN id % 101 = 0 THEN 'NumberParse .us-post .gall_num'
+         WHEN id % 97 = 0 THEN 'NumberParse .us-post .gall_recommend'
+         WHEN id % 89 = 0 THEN 'Select .us-post .gall_date@title' END AS err
+  FROM v_document) d
+WHERE page_no % 13 <> 7"""))
+def job_extract_list_pages(spark, sf_dir):
+    from threadlake.plans.adapters import v_list_page
+    return PG.parse_list_pages(v_list_page(spark, sf_dir))
