@@ -15,23 +15,52 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.functions.grams import ngram_tokens, ngrams
+from threadlake.functions.grams import NGRAM_CLEAN_RE, NGRAM_MAX, NGRAM_MIN, ngrams
 from threadlake.operators.search import TITLE_PAGE, keyset_page, with_gallery
 
 
-def gram_tokens(docs: DataFrame, field: str = "title", lower: bool = True) -> DataFrame:
-    """One row per token: ``gallery_id, doc_id, pos, gram``."""
-    return docs.select("gallery_id", F.col("id").alias("doc_id"),
-                       F.inline(ngram_tokens(F.col(field), lower=lower)))
+def gram_tokens(docs: DataFrame, field: str = "title", lower: bool = True, min_gram: int = NGRAM_MIN,
+                max_gram: int = NGRAM_MAX, drop_empty: bool = True, partitions: int | None = None) -> DataFrame:
+    """One row per token: ``gallery_id, doc_id, pos, gram``.
+
+    Same tokens as ``functions.grams.ngram_tokens``, generated with two
+    explodes (start position, then length) so each gram is a plain row
+    expression inside whole-stage codegen rather than a lambda over an array.
+
+    With ``partitions`` the compact input ``(gallery_id, doc_id, text)`` is
+    hash-partitioned by document first: token generation runs on every
+    partition whatever the input file layout, and a later grouping whose key
+    contains the document needs no shuffle of the (~10x larger) tokens.
+    """
+    t = docs.select("gallery_id", F.col("id").alias("doc_id"), F.col(field).alias("_t"))
+    if partitions:
+        t = t.repartition(partitions, "gallery_id", "doc_id")
+    n = F.length("_t")
+    t = t.select("*", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("pos"))
+    t = t.select("*", F.explode(F.sequence(F.lit(min_gram), F.least(F.lit(max_gram), n - F.col("pos") + 1)))
+                 .alias("_len"))
+    g = F.regexp_replace(F.col("_t").substr(F.col("pos"), F.col("_len")), NGRAM_CLEAN_RE, "")
+    if lower:
+        g = F.lower(g)
+    out = t.select("gallery_id", "doc_id", "pos", g.alias("gram"))
+    return out.filter(F.length("gram") > 0) if drop_empty else out
 
 
 def build_postings(docs: DataFrame, field: str = "title", lower: bool = True) -> DataFrame:
-    """Per gram and document: term frequency and sorted positions."""
-    toks = gram_tokens(docs, field, lower)
-    return toks.groupBy("gram", "gallery_id", "doc_id").agg(
+    """Per gram and document: term frequency and sorted positions.
+
+    Documents are partitioned once (by gallery and document); the tokens
+    are generated and grouped inside those partitions, so the token volume
+    is never shuffled.  Tokens left empty by the character filter are
+    grouped and dropped afterwards (one check per group, not per token).
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    toks = gram_tokens(docs, field, lower, drop_empty=False, partitions=n)
+    post = toks.groupBy("gram", "gallery_id", "doc_id").agg(
         F.count(F.lit(1)).alias("tf"),
         F.array_sort(F.collect_list("pos")).alias("positions"),
     )
+    return post.filter(F.col("gram") != "")
 
 
 def query_grams(spark: SparkSession, query: str, lower: bool = True) -> list[str]:
