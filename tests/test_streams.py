@@ -2,6 +2,8 @@ import datetime as dt
 import tempfile
 import uuid
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from threadlake.operators import crawlstate as C
@@ -31,7 +33,7 @@ def test_stream_fold_equals_batch_fold(spark):
     streamed = {r.id: r for r in ST.final_states(spark.read.parquet(out)).collect()}
     batch = {r.id: r for r in C.fold_reports(s, reports).collect()}
     for g in ("g1", "g2"):
-        assert streamed[g].publish_duration_in_seconds == batch[g].publish_duration_in_seconds
+        assert streamed[g].publish_duration_in_seconds == pytest.approx(batch[g].publish_duration_in_seconds, rel=1e-12)
         assert streamed[g].last_published_at == batch[g].last_published_at
         assert streamed[g].last_crawled_at == batch[g].last_crawled_at
         assert streamed[g].visible == batch[g].visible

@@ -9,11 +9,10 @@ Reports are rows ``id, worker_part, at, last_doc_id, count, error, seq``
 (``error`` NULL for a success report; ``seq`` breaks ties on ``at``).
 
 Shuffles: reports are hash-partitioned once by gallery id; the ordered
-window, the per-gallery aggregation and the join back to the state all
-reuse that partitioning.  A gallery's reports are bounded by its crawl
-cadence (one crawl per wait period), so a per-gallery group is bounded by
-the time range folded; long ranges are folded day by day, the output state
-of one day being the input state of the next.
+windows, the per-gallery aggregation and the join back to the state all
+reuse that partitioning.  The fold keeps no per-gallery arrays: the ordered
+windows stream over a gallery's sorted reports (spilling like any sort) and
+the recurrence is evaluated as a weighted partial sum.
 """
 
 from __future__ import annotations
@@ -194,13 +193,24 @@ def fold_reports(state: DataFrame, reports: DataFrame, w1: float = W1, w2: float
     ``last_published_at`` (when their count is positive) and the last
     crawled document id; every report sets ``last_crawled_at``; error
     reports set ``last_error`` and visibility.  Unknown reports are ignored.
+
+    The recurrence is linear, so after N reports
+    ``d_N = k^N * d_0 + sum_i term_i * k^(N - i)``: each report's weight is
+    ``k`` to the power of the number of reports after it (a descending
+    row number).  Everything is a window or a partial aggregation - no
+    gallery's reports are ever gathered into one array - and old terms fade
+    to zero (``k^age`` underflows) instead of overflowing.  The sum order
+    differs from a sequential fold only in the last bits of the double.
     """
     k = 1.0 - w1 - w2
     t = report_terms(reports, state, w1, w2)
+    newest_first = Window.partitionBy("id").orderBy(F.col("at").desc_nulls_last(), F.col("seq").desc_nulls_last())
+    t = t.withColumn("_age", F.row_number().over(newest_first) - 1)
     is_err = F.col("error").isNotNull()
     key = F.struct(F.col("at"), F.col("seq"))
     agg = t.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("at"), F.col("seq"), F.col("term")))).alias("_terms"),
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(F.col("term") * F.pow(F.lit(k), F.col("_age"))).alias("_weighted"),
         F.max_by(F.col("at"), key).alias("_last_at"),
         F.max_by(F.col("last_doc_id"), F.when(~is_err, key)).alias("_last_doc"),
         F.max(F.when(~is_err, 1).otherwise(0)).alias("_has_ok"),
@@ -209,9 +219,8 @@ def fold_reports(state: DataFrame, reports: DataFrame, w1: float = W1, w2: float
     )
     s = state.select(*STATE_COLS)
     j = s.join(agg, "id", "left")
-    has = F.col("_terms").isNotNull()
-    d = F.aggregate(F.col("_terms"), F.coalesce(F.col("publish_duration_in_seconds"), F.lit(0.0)),
-                    lambda acc, e: F.lit(k) * acc + e["term"])
+    has = F.col("_n").isNotNull()
+    d = F.pow(F.lit(k), F.col("_n")) * F.coalesce(F.col("publish_duration_in_seconds"), F.lit(0.0)) + F.col("_weighted")
     out = j.select(
         "id", "name", "kind", "rank", "last_ranked",
         F.when(has, F.col("_last_at")).otherwise(F.col("last_crawled_at")).alias("last_crawled_at"),

@@ -39,6 +39,14 @@ def _folded(spark, sf_dir, errors_only=False):
 
 STATE_SQL_COLS = ("id, name, kind, rank, last_ranked, last_crawled_at, last_crawled_document_id, visible, "
                   "last_error, publish_duration_in_seconds, last_published_at, registered_at")
+# folded durations are compared at 6 decimals (the batch fold sums weighted terms,
+# the oracle folds sequentially: they agree to ~1e-12)
+FOLDED_SQL_COLS = STATE_SQL_COLS.replace("publish_duration_in_seconds",
+                                         "round(publish_duration_in_seconds, 6) AS publish_duration_in_seconds")
+
+
+def _r6(df):
+    return df.withColumn("publish_duration_in_seconds", F.round("publish_duration_in_seconds", 6))
 
 
 def _fold_ctes(report_filter: str = "") -> str:
@@ -141,19 +149,19 @@ def reports_unknown(spark, sf_dir):
     return unknown.select("id", "seq")
 
 
-@register("fold_publish_duration", _fold_sql(f"SELECT {STATE_SQL_COLS} FROM folded"))
+@register("fold_publish_duration", _fold_sql(f"SELECT {FOLDED_SQL_COLS} FROM folded"))
 def fold_publish_duration(spark, sf_dir):
-    return _folded(spark, sf_dir)
+    return _r6(_folded(spark, sf_dir))
 
 
-@register("fold_error_reports", _fold_sql(f"SELECT {STATE_SQL_COLS} FROM folded", "WHERE error IS NOT NULL"))
+@register("fold_error_reports", _fold_sql(f"SELECT {FOLDED_SQL_COLS} FROM folded", "WHERE error IS NOT NULL"))
 def fold_error_reports(spark, sf_dir):
-    return _folded(spark, sf_dir, errors_only=True)
+    return _r6(_folded(spark, sf_dir, errors_only=True))
 
 
-@register("due_galleries", _fold_sql(f"SELECT {STATE_SQL_COLS} FROM folded {_due_where(TOTAL, PART)}"))
+@register("due_galleries", _fold_sql(f"SELECT {FOLDED_SQL_COLS} FROM folded {_due_where(TOTAL, PART)}"))
 def due_galleries(spark, sf_dir):
-    return C.due_galleries(_folded(spark, sf_dir), NOW, TOTAL, PART)
+    return _r6(C.due_galleries(_folded(spark, sf_dir), NOW, TOTAL, PART))
 
 
 @register("sort_work_order", _fold_sql(f"SELECT id, last_crawled_at FROM folded {_due_where(1, 0)}"))
@@ -163,13 +171,13 @@ def sort_work_order(spark, sf_dir):
 
 @register("job_crawl_state", _fold_sql(f"""
 SELECT id, {_part_sql(TOTAL)} AS part,
-  CASE WHEN COALESCE(last_published_at, registered_at) IS NULL THEN CAST(0.0 AS DOUBLE) ELSE {WAIT_SQL} END AS wait_seconds,
+  round(CASE WHEN COALESCE(last_published_at, registered_at) IS NULL THEN CAST(0.0 AS DOUBLE) ELSE {WAIT_SQL} END, 6) AS wait_seconds,
   COALESCE(visible AND (COALESCE(last_published_at, registered_at) IS NULL OR {_since_sql(NOW_SQL)} >= {WAIT_SQL}), FALSE) AS due
 FROM folded"""))
 def job_crawl_state(spark, sf_dir):
     """Refresh -> fold reports -> per-gallery part, wait and due flag (one pass over the new state)."""
     s = _folded(spark, sf_dir)
-    return s.select("id", C.part_of("id", TOTAL).alias("part"), C.observed_wait().alias("wait_seconds"),
+    return s.select("id", C.part_of("id", TOTAL).alias("part"), F.round(C.observed_wait(), 6).alias("wait_seconds"),
                     F.coalesce(F.col("visible") & C.wait_over(NOW), F.lit(False)).alias("due"))
 
 

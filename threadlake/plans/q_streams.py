@@ -77,7 +77,7 @@ REPORT_SPLIT = dt.datetime(2024, 1, 15)
 
 
 @register("stream_fold_reports", _fold_sql("""
-SELECT id, publish_duration_in_seconds, last_published_at, last_crawled_at, last_crawled_document_id, last_error, visible
+SELECT id, round(publish_duration_in_seconds, 6) AS publish_duration_in_seconds, last_published_at, last_crawled_at, last_crawled_document_id, last_error, visible
 FROM folded WHERE id IN (SELECT id FROM k3)"""))
 def stream_fold_reports(spark, sf_dir):
     r = v_report(spark, sf_dir)
@@ -95,4 +95,5 @@ def stream_fold_reports(spark, sf_dir):
     run()
     r.filter(F.col("at") >= split).write.parquet(f"{src}/a2")
     run()
-    return ST.final_states(spark.read.parquet(out))
+    return ST.final_states(spark.read.parquet(out)).withColumn(
+        "publish_duration_in_seconds", F.round("publish_duration_in_seconds", 6))
