@@ -93,10 +93,16 @@ def new_state(feed: DataFrame, now) -> DataFrame:
     )
 
 
-def _dedupe(feed: DataFrame, order: list[Column]) -> DataFrame:
-    # one row per gallery; feeds are small (a ranking page), the window is per id
-    w = Window.partitionBy("id").orderBy(*order)
-    return feed.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def _dedupe(feed: DataFrame, last: bool) -> DataFrame:
+    """One row per gallery: the last (or first) in feed order ``(feed, pos)``.
+
+    A partial aggregation (``max_by`` / ``min_by``), so a gallery listed many
+    times is reduced map-side.
+    """
+    order = F.struct(*[F.col(c) for c in ("feed", "pos") if c in feed.columns])
+    row = F.struct("name", "kind", "rank")
+    pick = F.max_by(row, order) if last else F.min_by(row, order)
+    return feed.groupBy("id").agg(pick.alias("_r")).select("id", "_r.name", "_r.kind", "_r.rank")
 
 
 def refresh_directory(state: DataFrame, realtime: DataFrame, weekly: DataFrame, now) -> DataFrame:
@@ -105,11 +111,11 @@ def refresh_directory(state: DataFrame, realtime: DataFrame, weekly: DataFrame,
     An updated gallery gets the feed's name/kind/rank, ``last_ranked = now``,
     ``visible = true`` and loses its publish estimate (``last_published_at``
     and ``publish_duration_in_seconds`` set to NULL); its crawl history stays.
-    Within a feed the last row of a gallery wins for realtime, the first for
-    weekly (sequential application).
+    Within a feed (ordered by ``feed`` then ``pos``) the last row of a
+    gallery wins for realtime, the first for weekly (sequential application).
     """
-    rt = _dedupe(realtime.select("id", "name", "kind", "rank", "pos"), [F.col("pos").desc()])
-    wk = _dedupe(weekly.select("id", "name", "kind", "rank", "pos"), [F.col("pos").asc()])
+    rt = _dedupe(realtime, last=True)
+    wk = _dedupe(weekly, last=False)
     now_c = _ts(now)
     s = state.select(*STATE_COLS).alias("s")
     r = rt.alias("r")

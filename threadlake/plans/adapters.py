@@ -189,10 +189,12 @@ def v_state_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_rank_feed(spark: SparkSession, sf_dir: str, segment: str) -> DataFrame:
-    """JSONP ranking bodies, one per nation, for the customers of a segment.
+    """JSONP ranking pages for the customers of a segment.
 
-    Entries are ``{"id": "g<custkey>", "ko_name": c_name, "rank": r}`` in
-    custkey order; r = custkey % 100, quoted for even custkeys.
+    A page holds the segment's customers of one block of 1000 custkeys (so
+    a page is bounded whatever the table size); entries are
+    ``{"id": "g<custkey>", "ko_name": c_name, "rank": r}`` in custkey order,
+    r = custkey % 100, quoted for even custkeys.
     """
     c = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == segment)
     ck = F.col("c_custkey")
@@ -200,11 +202,10 @@ def v_rank_feed(spark: SparkSession, sf_dir: str, segment: str) -> DataFrame:
     rank_json = F.when(ck % 2 == 0, F.concat(F.lit('"'), rank, F.lit('"'))).otherwise(rank)
     entry = F.concat(F.lit('{"id":"g'), ck.cast("string"), F.lit('","ko_name":"'), F.col("c_name"),
                      F.lit('","rank":'), rank_json, F.lit("}"))
-    bodies = c.groupBy("c_nationkey").agg(
+    bodies = c.groupBy((ck / 1000).cast("long").alias("feed")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ck.alias("k"), entry.alias("e")))),
                                  lambda x: x["e"]), ",").alias("items"))
-    return bodies.select(F.col("c_nationkey").alias("feed"),
-                         F.concat(F.lit("callback(["), F.col("items"), F.lit("]);")).alias("body"))
+    return bodies.select("feed", F.concat(F.lit("callback(["), F.col("items"), F.lit("]);")).alias("body"))
 
 
 def v_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,8 +175,14 @@ SELECT id, {_part_sql(TOTAL)} AS part,
   COALESCE(visible AND (COALESCE(last_published_at, registered_at) IS NULL OR {_since_sql(NOW_SQL)} >= {WAIT_SQL}), FALSE) AS due
 FROM folded"""))
 def job_crawl_state(spark, sf_dir):
-    """Refresh -> fold reports -> per-gallery part, wait and due flag (one pass over the new state)."""
-    s = _folded(spark, sf_dir)
+    """Refresh -> fold reports -> per-gallery part, wait and due flag (one pass over the new state).
+
+    The refreshed directory is read twice by the fold (report times, final
+    merge), so it is checkpointed once into the shared checkpoint folder.
+    """
+    from threadlake.session import cut_lineage
+    state = cut_lineage(_state(spark, sf_dir))
+    s = C.fold_reports(state, v_report(spark, sf_dir))
     return s.select("id", C.part_of("id", TOTAL).alias("part"), F.round(C.observed_wait(), 6).alias("wait_seconds"),
                     F.coalesce(F.col("visible") & C.wait_over(NOW), F.lit(False)).alias("due"))
 

@@ -63,3 +63,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder, for materialised tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def cut_lineage(df, eager: bool = True):
+    """Reliable checkpoint into ``spark.checkpoint.dir`` (never a local checkpoint).
+
+    For an intermediate that is read more than once or sits at the end of a
+    long lineage: a lost executor then re-reads the checkpoint instead of
+    recomputing the whole chain.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
