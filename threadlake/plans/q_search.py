@@ -228,3 +228,30 @@ FROM v_title t LEFT JOIN (
 def job_title_index(spark, sf_dir):
     t = v_title(spark, sf_dir)
     return X.index_rows(t, X.build_postings(t))
+
+
+@register("fn_sql_functions", with_views(["v_title"], f"""
+SELECT t.id,
+  CAST(CAST(CAST(('0x' || substr(md5(t.gallery_id), 1, 8)) AS BIGINT) AS HUGEINT) * 4294967296
+       + CAST(round_even(epoch(t.created_at), 0) AS BIGINT)
+       - CASE WHEN CAST(('0x' || substr(md5(t.gallery_id), 1, 8)) AS BIGINT) >= 2147483648
+              THEN CAST('18446744073709551616' AS HUGEINT) ELSE 0 END AS BIGINT) AS cat_time,
+  array_to_string(g.grams, ' ') AS grams
+FROM v_title t LEFT JOIN (
+  SELECT id, list_sort(list(DISTINCT gram)) AS grams FROM (
+    SELECT id, substr(w, pos, l) AS gram FROM (
+      SELECT id, w, pos, unnest(generate_series(2, least(20, length(w) - pos + 1))) AS l FROM (
+        SELECT id, w, unnest(generate_series(1, length(w))) AS pos FROM (
+          SELECT id, unnest(string_split(regexp_replace(title, '{VCLEAN}', '', 'g'), ' ')) AS w FROM v_title) a) b) c) d
+  GROUP BY id) g ON g.id = t.id"""))
+def fn_sql_functions(spark, sf_dir):
+    """The store's SQL functions used from Spark SQL on a temporary view."""
+    import uuid
+
+    from threadlake.functions import sqlfuncs
+
+    sqlfuncs.register(spark)
+    view = f"v_title_{uuid.uuid4().hex[:8]}"
+    v_title(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT id, cat_and_time(gallery_id, CAST(created_at AS TIMESTAMP)) AS cat_time, "
+                     f"array_join(vgram(title), ' ') AS grams FROM {view}")
