@@ -163,33 +163,59 @@ def split_reports(reports: DataFrame, state: DataFrame) -> tuple[DataFrame, Data
     return reports.join(ids, "id", "left_semi"), reports.join(ids, "id", "left_anti")
 
 
-def report_terms(reports: DataFrame, state: DataFrame, w1: float = W1, w2: float = W2) -> DataFrame:
-    """Known reports with the additive term of the publish-duration recurrence.
+REPORT_COLS = ["at", "seq", "count", "error", "last_doc_id"]
+
+
+def _term(at: Column, o: Column, count: Column, is_err: Column, w1: float, w2: float) -> Column:
+    """Additive term of one report: ``w1*min(x, 3600) + w2*min(x, 86400)``.
 
-    For each report: ``o = last published (by an earlier report with a
-    positive count, else the state's) or registered_at``; elapsed whole
-    seconds ``at - o`` (floored at 0) divided by the document count (0 for
-    error reports, which then take both caps) gives ``x``; the term is
-    ``w1*min(x, 3600) + w2*min(x, 86400)``, or 0 when a time is missing.
+    ``x`` = whole seconds from ``o`` to ``at`` (floored at 0) per document;
+    an error report counts 0 documents and takes both caps; a missing time
+    adds 0.
     """
-    s = state.select("id", F.col("registered_at").alias("_reg"), F.col("last_published_at").alias("_lp0"))
-    r = reports.join(s, "id", "inner")
-    w = Window.partitionBy("id").orderBy(F.col("at").asc_nulls_first(), F.col("seq").asc_nulls_first())
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    is_err = F.col("error").isNotNull()
-    published = F.when(~is_err & (F.col("count") > 0), F.col("at"))
-    r = r.withColumn("_lp_before", F.last(published, ignorenulls=True).over(before))
-    o = F.coalesce(F.col("_lp_before"), F.col("_lp0"), F.col("_reg"))
-    c = F.when(is_err, F.lit(0)).otherwise(F.col("count")).cast("double")
-    elapsed = F.greatest(_div(F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(o.cast("timestamp")),
-                              1_000_000), F.lit(0)).cast("double")
+    c = F.when(is_err, F.lit(0)).otherwise(count).cast("double")
+    elapsed = F.greatest(_div(F.unix_micros(at.cast("timestamp")) - F.unix_micros(o.cast("timestamp")), 1_000_000),
+                         F.lit(0)).cast("double")
     x = elapsed / c
-    term = (
-        F.when(F.col("at").isNull() | o.isNull(), F.lit(0.0))
+    return (
+        F.when(at.isNull() | o.isNull(), F.lit(0.0))
         .when(c == 0, F.lit(w1) * F.lit(CAP1) + F.lit(w2) * F.lit(CAP2))
         .otherwise(F.lit(w1) * F.least(x, F.lit(CAP1)) + F.lit(w2) * F.least(x, F.lit(CAP2)))
     )
-    return r.withColumn("term", term).drop("_lp_before", "_reg", "_lp0")
+
+
+def report_terms(reports: DataFrame, state: DataFrame, w1: float = W1, w2: float = W2) -> DataFrame:
+    """Known reports in gallery order with their recurrence term and ``_age``.
+
+    State rows and report rows are unioned and partitioned once by gallery
+    id.  In ``(state row, at, seq)`` order each report sees its gallery's
+    registration and last-published time (the state row comes first) and
+    the last earlier report that published (``o``); ``_age`` counts the
+    reports after it.  Reports of galleries without state are dropped.
+    """
+    st = state.select("id", F.col("registered_at").alias("_reg"), F.col("last_published_at").alias("_lp0"),
+                      F.lit(0).alias("_src"))
+    rp = reports.select("id", *REPORT_COLS, F.lit(1).alias("_src"))
+    u = st.unionByName(rp, allowMissingColumns=True)
+    order = [F.col("_src"), F.col("at").asc_nulls_first(), F.col("seq").asc_nulls_first()]
+    w = Window.partitionBy("id").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    is_state = F.col("_src") == 0
+    is_err = F.col("error").isNotNull()
+    published = F.when(~is_state & ~is_err & (F.col("count") > 0), F.col("at"))
+    u = u.select(
+        "id", "_src", *REPORT_COLS,
+        F.max(is_state.cast("int")).over(upto).alias("_known"),
+        F.first(F.when(is_state, F.col("_reg")), ignorenulls=True).over(upto).alias("_reg"),
+        F.first(F.when(is_state, F.col("_lp0")), ignorenulls=True).over(upto).alias("_lp0"),
+        F.last(published, ignorenulls=True).over(before).alias("_lp_before"),
+    )
+    r = u.filter((F.col("_src") == 1) & (F.col("_known") == 1))
+    o = F.coalesce(F.col("_lp_before"), F.col("_lp0"), F.col("_reg"))
+    r = r.withColumn("term", _term(F.col("at"), o, F.col("count"), F.col("error").isNotNull(), w1, w2))
+    newest_first = Window.partitionBy("id").orderBy(F.col("at").desc_nulls_last(), F.col("seq").desc_nulls_last())
+    return r.withColumn("_age", F.row_number().over(newest_first) - 1).drop("_lp_before", "_reg", "_lp0", "_known")
 
 
 def fold_reports(state: DataFrame, reports: DataFrame, w1: float = W1, w2: float = W2) -> DataFrame:
@@ -202,32 +228,36 @@ def fold_reports(state: DataFrame, reports: DataFrame, w1: float = W1, w2: float
 
     The recurrence is linear, so after N reports
     ``d_N = k^N * d_0 + sum_i term_i * k^(N - i)``: each report's weight is
-    ``k`` to the power of the number of reports after it (a descending
-    row number).  Everything is a window or a partial aggregation - no
-    gallery's reports are ever gathered into one array - and old terms fade
-    to zero (``k^age`` underflows) instead of overflowing.  The sum order
-    differs from a sequential fold only in the last bits of the double.
+    ``k`` to the power of the number of reports after it.  The state and
+    the reports are read once and shuffled once (by gallery id); windows
+    stream over each gallery's sorted rows and a partial aggregation sums
+    the weighted terms - no gallery's reports are gathered into one array,
+    and old terms fade to zero (``k^age`` underflows) instead of
+    overflowing.  The sum order differs from a sequential fold only in the
+    last bits of the double.
     """
     k = 1.0 - w1 - w2
-    t = report_terms(reports, state, w1, w2)
-    newest_first = Window.partitionBy("id").orderBy(F.col("at").desc_nulls_last(), F.col("seq").desc_nulls_last())
-    t = t.withColumn("_age", F.row_number().over(newest_first) - 1)
+    terms = report_terms(reports, state, w1, w2).withColumn("_src", F.lit(1))
+    rows = state.select(*STATE_COLS, F.lit(0).alias("_src")).unionByName(terms, allowMissingColumns=True)
+    is_state = F.col("_src") == 0
+    rep = F.col("_src") == 1
     is_err = F.col("error").isNotNull()
     key = F.struct(F.col("at"), F.col("seq"))
-    agg = t.groupBy("id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.col("term") * F.pow(F.lit(k), F.col("_age"))).alias("_weighted"),
-        F.max_by(F.col("at"), key).alias("_last_at"),
-        F.max_by(F.col("last_doc_id"), F.when(~is_err, key)).alias("_last_doc"),
-        F.max(F.when(~is_err, 1).otherwise(0)).alias("_has_ok"),
-        F.max_by(F.col("at"), F.when(~is_err & (F.col("count") > 0), key)).alias("_last_pub"),
-        F.max_by(F.col("error"), F.when(is_err, key)).alias("_last_err"),
-    )
-    s = state.select(*STATE_COLS)
-    j = s.join(agg, "id", "left")
-    has = F.col("_n").isNotNull()
+    state_first = [F.first(F.when(is_state, F.col(c)), ignorenulls=True).alias(c) for c in STATE_COLS if c != "id"]
+    agg = rows.groupBy("id").agg(
+        F.max(is_state.cast("int")).alias("_known"),
+        *state_first,
+        F.count(F.when(rep, F.lit(1))).alias("_n"),
+        F.sum(F.when(rep, F.col("term") * F.pow(F.lit(k), F.col("_age")))).alias("_weighted"),
+        F.max_by(F.col("at"), F.when(rep, key)).alias("_last_at"),
+        F.max_by(F.col("last_doc_id"), F.when(rep & ~is_err, key)).alias("_last_doc"),
+        F.max(F.when(rep & ~is_err, 1).otherwise(0)).alias("_has_ok"),
+        F.max_by(F.col("at"), F.when(rep & ~is_err & (F.col("count") > 0), key)).alias("_last_pub"),
+        F.max_by(F.col("error"), F.when(rep & is_err, key)).alias("_last_err"),
+    ).filter(F.col("_known") == 1)
+    has = F.col("_n") > 0
     d = F.pow(F.lit(k), F.col("_n")) * F.coalesce(F.col("publish_duration_in_seconds"), F.lit(0.0)) + F.col("_weighted")
-    out = j.select(
+    return agg.select(
         "id", "name", "kind", "rank", "last_ranked",
         F.when(has, F.col("_last_at")).otherwise(F.col("last_crawled_at")).alias("last_crawled_at"),
         F.when(F.col("_has_ok") == 1, F.col("_last_doc")).otherwise(F.col("last_crawled_document_id"))
@@ -239,7 +269,6 @@ def fold_reports(state: DataFrame, reports: DataFrame, w1: float = W1, w2: float
         F.coalesce(F.col("_last_pub"), F.col("last_published_at")).alias("last_published_at"),
         "registered_at",
     )
-    return out
 
 
 # --------------------------------------------------------------------------
