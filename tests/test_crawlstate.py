@@ -105,3 +105,50 @@ def test_parse_ranking(spark):
         "feed int, body string")
     rows = sorted((r.id, r.name, r.kind, r.rank) for r in C.parse_ranking(bodies).collect())
     assert rows == [("a", "A", "major", 7), ("b", "B", "minor", 2)]
+
+
+def _sequential_fold(d0, lp0, reg, reports):
+    """Brute force: apply reports one by one in (at, seq) order."""
+    k = 1.0 - C.W1 - C.W2
+    d, lp = d0, lp0
+    for at, seq, count, err in sorted(reports, key=lambda r: (r[0] is not None, r[0] or T0, r[1])):
+        o = lp if lp is not None else reg
+        c = 0 if err else count
+        if at is None or o is None:
+            term = 0.0
+        elif c == 0:
+            term = C.W1 * C.CAP1 + C.W2 * C.CAP2
+        else:
+            x = max(int((at - o).total_seconds()), 0) / c
+            term = C.W1 * min(x, C.CAP1) + C.W2 * min(x, C.CAP2)
+        d = k * d + term
+        if not err and count > 0:
+            lp = at
+    return d, lp
+
+
+def test_hot_gallery_fold_is_chunked_and_exact(spark):
+    """One gallery holds most reports, over many hour buckets: same result as a sequential fold."""
+    import random
+    rnd = random.Random(7)
+    rows, seq = [], 0
+    for g, n in (("hot", 600), ("g2", 5), ("g3", 1)):
+        for _ in range(n):
+            seq += 1
+            at = None if rnd.random() < 0.02 else T0 + dt.timedelta(seconds=rnd.randrange(0, 40 * 3600))
+            err = "Unknown" if rnd.random() < 0.1 else None
+            rows.append((g, 0, at, seq, rnd.choice([0, 1, 3, 10]), err, seq))
+    s = state(spark, [{"id": "hot", "publish_duration_in_seconds": 50.0},
+                      {"id": "g2", "last_published_at": T0 - dt.timedelta(hours=2)}, {"id": "g3"}])
+    r = spark.createDataFrame(rows, REPORT)
+    got = {x.id: x for x in C.fold_reports(s, r).collect()}
+    seed = {"hot": (50.0, None), "g2": (0.0, T0 - dt.timedelta(hours=2)), "g3": (0.0, None)}
+    for g, (d0, lp0) in seed.items():
+        want_d, want_lp = _sequential_fold(d0, lp0, T0, [(x[2], x[3], x[4], x[5]) for x in rows if x[0] == g])
+        assert got[g].publish_duration_in_seconds == pytest.approx(want_d, rel=1e-12), g
+        assert got[g].last_published_at == want_lp, g
+    # the hot gallery's reports are ordered in (gallery, hour) chunks, not as one window partition
+    terms = C.report_terms(r, s)
+    assert terms.filter("id = 'hot'").select("_age").distinct().count() == 600
+    p = terms._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in p and "_b#" in p

@@ -47,3 +47,21 @@ def test_page_head_reply_is_orphan_and_pages_reverse(spark):
     assert out[2].parent_id is None           # parents restart on every page
     assert out[2].feed_order == 1 and out[1].feed_order == 2
     assert out[1].max_page == 2
+
+
+def test_hot_document_feed_order_matches_row_number(spark):
+    """One document with many pages holds most rows: the page-wise order equals a plain row_number."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = [("g", 1, p, i) for p in range(1, 41) for i in range(0, 25 + p % 7)]
+    rows += [("g", 2, p, i) for p in (1, 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "gallery_id string, document_id long, page int, pos int")
+    got = FD.feed_order(df)
+    want = df.withColumn("want", F.row_number().over(
+        Window.partitionBy("gallery_id", "document_id").orderBy(F.col("page").desc(), "pos")))
+    bad = got.join(want, ["gallery_id", "document_id", "page", "pos"]).filter("feed_order <> want")
+    assert got.count() == len(rows) and bad.count() == 0
+    # the rows are ranked per page; only the page counts cross pages
+    p = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(gallery_id#" in p and "page#" in p

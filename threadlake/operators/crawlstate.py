@@ -8,11 +8,12 @@ State is one row per gallery::
 Reports are rows ``id, worker_part, at, last_doc_id, count, error, seq``
 (``error`` NULL for a success report; ``seq`` breaks ties on ``at``).
 
-Shuffles: reports are hash-partitioned once by gallery id; the ordered
-windows, the per-gallery aggregation and the join back to the state all
-reuse that partitioning.  The fold keeps no per-gallery arrays: the ordered
-windows stream over a gallery's sorted reports (spilling like any sort) and
-the recurrence is evaluated as a weighted partial sum.
+Shuffles: reports are hash-partitioned once by ``(gallery id, time
+bucket)``, so a gallery with a third of all reports still spreads over many
+tasks.  Ordered windows run inside those chunks; one summary row per chunk
+carries the prefix values (last publish time, reports after) across a
+gallery's chunks.  The fold keeps no per-gallery arrays: the recurrence is
+evaluated as a weighted partial sum, a map-side combined aggregation.
 """
 
 from __future__ import annotations
@@ -184,38 +185,64 @@ def _term(at: Column, o: Column, count: Column, is_err: Column, w1: float, w2: f
     )
 
 
-def report_terms(reports: DataFrame, state: DataFrame, w1: float = W1, w2: float = W2) -> DataFrame:
-    """Known reports in gallery order with their recurrence term and ``_age``.
+REPORT_BUCKET_SECONDS = 3600
 
-    State rows and report rows are unioned and partitioned once by gallery
-    id.  In ``(state row, at, seq)`` order each report sees its gallery's
-    registration and last-published time (the state row comes first) and
-    the last earlier report that published (``o``); ``_age`` counts the
-    reports after it.  Reports of galleries without state are dropped.
+
+def report_bucket(at: Column, seconds: int = REPORT_BUCKET_SECONDS) -> Column:
+    """Time bucket of a report; a report without a time sorts before every bucket."""
+    b = F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(float(seconds) * 1e6)).cast("long")
+    return F.coalesce(b, F.lit(-(2 ** 62)))
+
+
+def report_terms(reports: DataFrame, state: DataFrame, w1: float = W1, w2: float = W2,
+                 bucket_seconds: int = REPORT_BUCKET_SECONDS) -> DataFrame:
+    """Known reports with their recurrence term and ``_age``, in chunks.
+
+    In ``(at, seq)`` order each report needs the last earlier report that
+    published (else the state's last-published, else its registration time:
+    ``o``) and the number of reports after it (``_age``).  Both are prefix
+    values over the gallery's ordered reports, computed without putting a
+    gallery's reports in one task:
+
+    * reports are cut into ``(gallery, time bucket)`` chunks - a bucket is a
+      contiguous range of the order, and a gallery reports at most once per
+      crawl, so a hot gallery spreads over as many chunks (and tasks) as its
+      history has buckets;
+    * ordered windows run inside each chunk;
+    * one summary row per chunk (report count, latest publish time) is
+      carried across the gallery's chunks by a window over the summaries
+      only, and the state's times are joined at summary level;
+    * the summaries are joined back on the chunk key (the rows keep their
+      partitioning; the summary side is small and broadcast when its
+      measured size allows).
+
+    Reports of galleries without state are dropped.
     """
-    st = state.select("id", F.col("registered_at").alias("_reg"), F.col("last_published_at").alias("_lp0"),
-                      F.lit(0).alias("_src"))
-    rp = reports.select("id", *REPORT_COLS, F.lit(1).alias("_src"))
-    u = st.unionByName(rp, allowMissingColumns=True)
-    order = [F.col("_src"), F.col("at").asc_nulls_first(), F.col("seq").asc_nulls_first()]
-    w = Window.partitionBy("id").orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    is_state = F.col("_src") == 0
-    is_err = F.col("error").isNotNull()
-    published = F.when(~is_state & ~is_err & (F.col("count") > 0), F.col("at"))
-    u = u.select(
-        "id", "_src", *REPORT_COLS,
-        F.max(is_state.cast("int")).over(upto).alias("_known"),
-        F.first(F.when(is_state, F.col("_reg")), ignorenulls=True).over(upto).alias("_reg"),
-        F.first(F.when(is_state, F.col("_lp0")), ignorenulls=True).over(upto).alias("_lp0"),
-        F.last(published, ignorenulls=True).over(before).alias("_lp_before"),
+    at, seq = F.col("at"), F.col("seq")
+    published = F.when(F.col("error").isNull() & (F.col("count") > 0), at)
+    r = reports.select("id", *REPORT_COLS, report_bucket(at, bucket_seconds).alias("_b"))
+    chunk = Window.partitionBy("id", "_b")
+    ordered = chunk.orderBy(at.asc_nulls_first(), seq.asc_nulls_first())
+    r = r.select(
+        "*",
+        F.max(published).over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("_lp_local"),
+        (F.count(F.lit(1)).over(chunk) - F.row_number().over(ordered)).alias("_age_local"),
+    )
+    summary = r.groupBy("id", "_b").agg(F.count(F.lit(1)).alias("_n"), F.max(published).alias("_pub"))
+    st = state.select("id", F.col("registered_at").alias("_reg"), F.col("last_published_at").alias("_lp0"))
+    gallery = Window.partitionBy("id").orderBy("_b")
+    summary = summary.join(st, "id", "inner").select(
+        "id", "_b", "_reg", "_lp0",
+        F.max("_pub").over(gallery.rowsBetween(Window.unboundedPreceding, -1)).alias("_lp_prev"),
+        F.coalesce(F.sum("_n").over(gallery.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("_n_after"),
+    )
+    r = r.join(summary, ["id", "_b"], "inner")
+    o = F.coalesce(F.col("_lp_local"), F.col("_lp_prev"), F.col("_lp0"), F.col("_reg"))
+    return r.select(
+        "id", *REPORT_COLS,
+        _term(at, o, F.col("count"), F.col("error").isNotNull(), w1, w2).alias("term"),
+        (F.col("_n_after") + F.col("_age_local")).alias("_age"),
     )
-    r = u.filter((F.col("_src") == 1) & (F.col("_known") == 1))
-    o = F.coalesce(F.col("_lp_before"), F.col("_lp0"), F.col("_reg"))
-    r = r.withColumn("term", _term(F.col("at"), o, F.col("count"), F.col("error").isNotNull(), w1, w2))
-    newest_first = Window.partitionBy("id").orderBy(F.col("at").desc_nulls_last(), F.col("seq").desc_nulls_last())
-    return r.withColumn("_age", F.row_number().over(newest_first) - 1).drop("_lp_before", "_reg", "_lp0", "_known")
 
 
 def fold_reports(state: DataFrame, reports: DataFrame, w1: float = W1, w2: float = W2) -> DataFrame:
@@ -229,9 +256,9 @@ def fold_reports(state: DataFrame, reports: DataFrame, w1: float = W1, w2: float
     The recurrence is linear, so after N reports
     ``d_N = k^N * d_0 + sum_i term_i * k^(N - i)``: each report's weight is
     ``k`` to the power of the number of reports after it.  The state and
-    the reports are read once and shuffled once (by gallery id); windows
-    stream over each gallery's sorted rows and a partial aggregation sums
-    the weighted terms - no gallery's reports are gathered into one array,
+    the reports are shuffled once by ``(gallery, time bucket)``
+    (``report_terms``) and a map-side combined aggregation sums the weighted
+    terms - no gallery's reports are gathered into one task or array,
     and old terms fade to zero (``k^age`` underflows) instead of
     overflowing.  The sum order differs from a sequential fold only in the
     last bits of the double.

@@ -5,6 +5,8 @@ Decoding is ``from_json`` with a fixed schema (ids may come as numbers or
 strings and are read as text, then cast); the parent of a reply is the last
 root comment above it *on the same page* (a forward fill with a ROWS window
 partitioned by document and page, so one page is the largest group).
+Rows are partitioned by ``(gallery, document, page)`` once; the feed order
+across pages comes from one count per page.
 """
 
 from __future__ import annotations
@@ -57,15 +59,35 @@ def fill_parents(rows: DataFrame, keys=("gallery_id", "document_id", "page")) ->
                            .when(last_root > 0, last_root).cast("long"))
 
 
-def feed_order(rows: DataFrame, keys=("gallery_id", "document_id")) -> DataFrame:
-    """Order of the assembled feed: highest page first, page order kept inside."""
-    w = Window.partitionBy(*keys).orderBy(F.col("page").desc(), F.col("pos").asc())
-    return rows.withColumn("feed_order", F.row_number().over(w))
+def feed_order(rows: DataFrame, keys=("gallery_id", "document_id"), page: str = "page") -> DataFrame:
+    """Order of the assembled feed: highest page first, page order kept inside.
+
+    ``row_number`` over the document, computed per page: the rank inside the
+    page plus the number of rows on the document's later pages.  The rows
+    stay partitioned by page (a hot document spreads over its pages); only
+    one count per page crosses pages, in a window over the page summaries.
+    """
+    keys = list(keys)
+    in_page = Window.partitionBy(*keys, page).orderBy(F.col("pos").asc())
+    rows = rows.withColumn("_rank", F.row_number().over(in_page))
+    pages = rows.groupBy(*keys, page).agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy(*keys).orderBy(F.col(page).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.select(*keys, page, F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_offset"))
+    out = rows.join(pages, [*keys, page], "left")
+    return out.withColumn("feed_order", (F.col("_offset") + F.col("_rank")).cast("int")).drop("_rank", "_offset")
 
 
 def comment_rows(feeds: DataFrame, as_of, body: str = "body") -> DataFrame:
-    """The comment-feed job: decoded, classified, timed and parented comments."""
-    d = decode_feed(feeds, body)
+    """The comment-feed job: decoded, classified, timed and parented comments.
+
+    The fetched pages are hash-partitioned once by ``(gallery, document,
+    page)`` while still compact (one row per page).  The parent fill, the
+    in-page rank and the per-page counts all reuse that exchange (Spark
+    reuses it for the count branch too), so the input is read and shuffled
+    once and a hot document spreads over its pages.
+    """
+    n = int(feeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = decode_feed(feeds.repartition(n, "gallery_id", "document_id", "page"), body)
     c = F.col("c")
     uid, ip = c["user_id"], c["ip"]
     rows = d.select(

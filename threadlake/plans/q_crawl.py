@@ -31,10 +31,17 @@ def _state(spark, sf_dir):
 
 
 def _folded(spark, sf_dir, errors_only=False):
+    """Refresh, then fold the reports into the refreshed directory.
+
+    The fold reads the directory twice (state times per report chunk, final
+    merge), so it is checkpointed once into the shared checkpoint folder
+    instead of recomputing the refresh for each read.
+    """
+    from threadlake.session import cut_lineage
     r = v_report(spark, sf_dir)
     if errors_only:
         r = r.filter(F.col("error").isNotNull())
-    return C.fold_reports(_state(spark, sf_dir), r)
+    return C.fold_reports(cut_lineage(_state(spark, sf_dir)), r)
 
 
 STATE_SQL_COLS = ("id, name, kind, rank, last_ranked, last_crawled_at, last_crawled_document_id, visible, "
@@ -180,9 +187,7 @@ def job_crawl_state(spark, sf_dir):
     The refreshed directory is read twice by the fold (report times, final
     merge), so it is checkpointed once into the shared checkpoint folder.
     """
-    from threadlake.session import cut_lineage
-    state = cut_lineage(_state(spark, sf_dir))
-    s = C.fold_reports(state, v_report(spark, sf_dir))
+    s = _folded(spark, sf_dir)
     return s.select("id", C.part_of("id", TOTAL).alias("part"), F.round(C.observed_wait(), 6).alias("wait_seconds"),
                     F.coalesce(F.col("visible") & C.wait_over(NOW), F.lit(False)).alias("due"))
 

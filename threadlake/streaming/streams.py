@@ -16,10 +16,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+import sys
+
+from pyspark import cloudpickle
+
 from threadlake.functions.classify import HIDING_ERRORS
 from threadlake.operators import crawlstate as C
 from threadlake.operators.store import new_rows
 
+# The keyed-state function runs in Python workers.  It is shipped by value
+# (with the plain constants it reads), so a worker needs no copy of this
+# package on its path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+FOLD_WEIGHTS = (C.W1, C.W2, C.CAP1, C.CAP2)
+
 
 def _trigger(writer, available_now: bool, processing_time: str | None):
     if available_now:
@@ -80,7 +90,7 @@ FOLD_STATE = ("n long, d double, has_d boolean, lp long, reg long, lc long, ldoc
 
 
 def _fold_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    w1, w2, cap1, cap2 = C.W1, C.W2, C.CAP1, C.CAP2
+    w1, w2, cap1, cap2 = FOLD_WEIGHTS
     k = 1.0 - w1 - w2
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["at_us", "seq"], kind="mergesort")
     if state.exists:
