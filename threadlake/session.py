@@ -24,6 +24,24 @@ JOB_CONF = {
 }
 
 
+# Sizing for a large cluster (the deployment applies it; jobs never do).
+# Partitions are sized by bytes, not counts: scans split at 256 MiB, and the
+# shuffle starts from many partitions that AQE coalesces toward 256 MiB.  So
+# a 100 TB job and a small daily run share one setting.  A partition is
+# split for a skew join once it is 4x the median and above 512 MiB.
+CLUSTER_CONF = {
+    **JOB_CONF,
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "40000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "threadlake") -> SparkSession:
     """A local session for tests and the bench (never used inside jobs)."""
     b = (
