@@ -36,3 +36,19 @@ def test_no_python_udf_in_hot_paths(spark):
     for name in ["job_c2c_tsv", "idx_postings", "fold_publish_duration", "job_comment_feed", "search_title"]:
         p = plan(E.queries()[name](spark, SF_SMALL))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+def test_cluster_profile_names_known_settings(spark):
+    from threadlake.session import CLUSTER_CONF
+    known = {r[0] for r in spark.sql("SET -v").collect()}
+    assert [k for k in CLUSTER_CONF if k not in known] == []
+
+
+def test_fold_orders_reports_in_gallery_hour_chunks(spark):
+    import __spark_entry__ as E
+    df = E.queries()["fold_publish_duration"](spark, SF_SMALL)
+    df.write.format("noop").mode("overwrite").save()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    # the report rows are exchanged on (gallery, hour), never on the gallery alone
+    windows = [ln for ln in p.split("\n") if "Window [" in ln and "at#" in ln]
+    assert windows and all("_b#" in ln for ln in windows)
