@@ -86,8 +86,8 @@ def comment_rows(feeds: DataFrame, as_of, body: str = "body") -> DataFrame:
     reuses it for the count branch too), so the input is read and shuffled
     once and a hot document spreads over its pages.
     """
-    n = int(feeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = decode_feed(feeds.repartition(n, "gallery_id", "document_id", "page"), body)
+    # by columns only, so AQE sizes (coalesces) the partitions by bytes
+    d = decode_feed(feeds.repartition("gallery_id", "document_id", "page"), body)
     c = F.col("c")
     uid, ip = c["user_id"], c["ip"]
     rows = d.select(

@@ -20,21 +20,22 @@ from threadlake.operators.search import TITLE_PAGE, keyset_page, with_gallery
 
 
 def gram_tokens(docs: DataFrame, field: str = "title", lower: bool = True, min_gram: int = NGRAM_MIN,
-                max_gram: int = NGRAM_MAX, drop_empty: bool = True, partitions: int | None = None) -> DataFrame:
+                max_gram: int = NGRAM_MAX, drop_empty: bool = True, by_document: bool = False) -> DataFrame:
     """One row per token: ``gallery_id, doc_id, pos, gram``.
 
     Same tokens as ``functions.grams.ngram_tokens``, generated with two
     explodes (start position, then length) so each gram is a plain row
     expression inside whole-stage codegen rather than a lambda over an array.
 
-    With ``partitions`` the compact input ``(gallery_id, doc_id, text)`` is
+    With ``by_document`` the compact input ``(gallery_id, doc_id, text)`` is
     hash-partitioned by document first: token generation runs on every
     partition whatever the input file layout, and a later grouping whose key
-    contains the document needs no shuffle of the (~10x larger) tokens.
+    contains the document needs no shuffle of the (~10x larger) tokens.  The
+    repartition names columns only, so AQE sizes its partitions by bytes.
     """
     t = docs.select("gallery_id", F.col("id").alias("doc_id"), F.col(field).alias("_t"))
-    if partitions:
-        t = t.repartition(partitions, "gallery_id", "doc_id")
+    if by_document:
+        t = t.repartition("gallery_id", "doc_id")
     n = F.length("_t")
     t = t.select("*", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("pos"))
     t = t.select("*", F.explode(F.sequence(F.lit(min_gram), F.least(F.lit(max_gram), n - F.col("pos") + 1)))
@@ -54,8 +55,7 @@ def build_postings(docs: DataFrame, field: str = "title", lower: bool = True) ->
     is never shuffled.  Tokens left empty by the character filter are
     grouped and dropped afterwards (one check per group, not per token).
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    toks = gram_tokens(docs, field, lower, drop_empty=False, partitions=n)
+    toks = gram_tokens(docs, field, lower, drop_empty=False, by_document=True)
     post = toks.groupBy("gram", "gallery_id", "doc_id").agg(
         F.count(F.lit(1)).alias("tf"),
         F.array_sort(F.collect_list("pos")).alias("positions"),
