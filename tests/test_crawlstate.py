@@ -72,10 +72,13 @@ def test_refresh_directory(spark):
                        "last_crawled_document_id": 9, "visible": False}])
     feed = "id string, name string, kind string, rank int, pos int"
     rt = spark.createDataFrame([("g1", "new", "major", 3, 0), ("g2", "two", "minor", 1, 1)], feed)
-    wk = spark.createDataFrame([("g1", "x", "major", 9, 0), ("g3", "three", "major", 2, 1)], feed)
+    wk = spark.createDataFrame([("g1", "x", "major", 9, 0), ("g3", "three", "major", 2, 1),
+                                ("g2", "weekly two", "major", 5, 2)], feed)
     now = T0 + dt.timedelta(days=1)
-    out = {r.id: r for r in C.refresh_directory(s, rt, wk, now).collect()}
-    assert sorted(out) == ["g1", "g2", "g3"]
+    rows = C.refresh_directory(s, rt, wk, now).collect()
+    out = {r.id: r for r in rows}
+    assert len(rows) == 3 and sorted(out) == ["g1", "g2", "g3"]   # weekly never re-inserts a known id
+    assert out["g2"].name == "two"
     g1 = out["g1"]
     assert (g1.name, g1.rank, g1.visible, g1.last_published_at, g1.publish_duration_in_seconds,
             g1.last_crawled_document_id, g1.last_ranked) == ("new", 3, True, None, None, 9, now)

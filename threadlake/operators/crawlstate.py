@@ -141,8 +141,10 @@ def refresh_directory(state: DataFrame, realtime: DataFrame, weekly: DataFrame,
         pick("last_published_at", F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")),
         pick("registered_at", F.col("s.registered_at"), now_c),
     )
-    inserts = new_state(wk.join(merged.select("id"), "id", "left_anti"), now)
-    return merged.unionByName(inserts)
+    # the merged ids are the state's ids plus the realtime ids: anti-join those
+    # narrow sides instead of recomputing the merge
+    fresh = wk.join(state.select("id"), "id", "left_anti").join(rt.select("id"), "id", "left_anti")
+    return merged.unionByName(new_state(fresh, now))
 
 
 def upgrade_state(state: DataFrame, now) -> DataFrame:
