@@ -359,12 +359,10 @@ def histogram(df: DataFrame, value: str | Column, edges) -> DataFrame:
             for i, e in enumerate(edges)]
     aggs += [F.count(v).cast("double").alias("binf"), F.coalesce(F.sum(v.cast("double")), F.lit(0.0)).alias("bsum")]
     wide = df.agg(*aggs)
-    labels = [_edge_label(e) for e in edges] + ["+Inf", "_sum"]
-    cols = [f"b{i}" for i in range(len(edges))] + ["binf", "bsum"]
+    labels = [_edge_label(e) for e in edges] + ["+Inf", "_sum", "_count"]
+    cols = [f"b{i}" for i in range(len(edges))] + ["binf", "bsum", "binf"]
     pairs = ", ".join(f"'{lab}', {c}" for lab, c in zip(labels, cols))
-    long_ = wide.selectExpr(f"stack({len(cols)}, {pairs}) AS (le, value)")
-    count_row = wide.select(F.lit("_count").alias("le"), F.col("binf").alias("value"))
-    return long_.unionByName(count_row)
+    return wide.selectExpr(f"stack({len(cols)}, {pairs}) AS (le, value)")
 
 
 def _edge_label(e) -> str:
