@@ -53,10 +53,12 @@ def stream_upsert_documents(spark, sf_dir):
     old.withColumn("delivery", F.lit(1)).write.parquet(f"{src}/a1")
     schema = old.withColumn("delivery", F.lit(1)).schema
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
-    _run(ST.stream_upsert(stream, target, ["gallery_id", "id"], ["delivery"], ck, columns=cols, available_now=True))
+    _run(ST.stream_upsert(stream, target, ["gallery_id", "id"], ["delivery"], ck, columns=cols, available_now=True,
+                         partition_by=["gallery_id"]))
     d.withColumn("like_count", F.col("like_count") + 1).withColumn("delivery", F.lit(2)).write.parquet(f"{src}/a2")
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
-    _run(ST.stream_upsert(stream, target, ["gallery_id", "id"], ["delivery"], ck, columns=cols, available_now=True))
+    _run(ST.stream_upsert(stream, target, ["gallery_id", "id"], ["delivery"], ck, columns=cols, available_now=True,
+                         partition_by=["gallery_id"]))
     return spark.read.parquet(target)
 
 

@@ -48,24 +48,54 @@ def land_json(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", ava
     return _trigger(w, available_now, processing_time).start()
 
 
+PRUNE_MAX_PARTITIONS = 10_000
+
+
+def present_keys(batch: DataFrame, target_path: str, keys: list[str], partition_by: list[str] | None = None,
+                 target_format: str = "parquet") -> DataFrame:
+    """Keys already stored that a batch could collide with.
+
+    With ``partition_by`` (key columns the table is partitioned on) only the
+    directories of the partitions the batch touches are listed and read: the
+    batch's distinct values of the first partition column become a static
+    partition filter.  That value set is bounded by the table's partition
+    count, and it is plan input (like a dynamic-pruning broadcast), not data.
+    A batch touching more than ``PRUNE_MAX_PARTITIONS`` partitions reads
+    every key instead, which is the same answer.
+    """
+    spark = batch.sparkSession
+    try:
+        present = spark.read.format(target_format).load(target_path).select(*keys)
+    except Exception:  # noqa: BLE001 - first batch: the table does not exist yet
+        return batch.select(*keys).limit(0)
+    if partition_by:
+        part = partition_by[0]
+        touched = [r[0] for r in batch.select(part).distinct().limit(PRUNE_MAX_PARTITIONS + 1).collect()]
+        if len(touched) <= PRUNE_MAX_PARTITIONS:
+            present = present.filter(F.col(part).isin(touched))
+    return present
+
+
 def stream_upsert(stream: DataFrame, target_path: str, keys: list[str], order: list[str], checkpoint: str,
                   columns: list[str] | None = None, target_format: str = "parquet", available_now: bool = False,
-                  processing_time: str | None = None) -> StreamingQuery:
+                  processing_time: str | None = None, partition_by: list[str] | None = None) -> StreamingQuery:
     """At-least-once input -> insert-if-absent table (first write per key wins).
 
     Each micro-batch is reduced to one row per key, anti-joined against the
     keys already in the table and appended.  A replayed batch finds its keys
     present and appends nothing, so redelivery and restarts are harmless.
-    One query per target (a single writer).
+    One query per target (a single writer).  ``partition_by`` writes the
+    table partitioned on those key columns and limits each batch's lookup to
+    the partitions it touches (``present_keys``).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        batch = batch.persist()   # read twice (touched partitions, new rows); recomputable from the source
         try:
-            present = spark.read.format(target_format).load(target_path).select(*keys)
-        except Exception:  # noqa: BLE001 - first batch: the table does not exist yet
-            present = batch.select(*keys).limit(0)
-        fresh = new_rows(present, batch, keys, order)
-        fresh.select(*(columns or batch.columns)).write.format(target_format).mode("append").save(target_path)
+            fresh = new_rows(present_keys(batch, target_path, keys, partition_by, target_format), batch, keys, order)
+            w = fresh.select(*(columns or batch.columns)).write.format(target_format).mode("append")
+            (w.partitionBy(*partition_by) if partition_by else w).save(target_path)
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, processing_time).start()
