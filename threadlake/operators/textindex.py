@@ -31,11 +31,14 @@ def gram_tokens(docs: DataFrame, field: str = "title", lower: bool = True, min_g
     hash-partitioned by document first: token generation runs on every
     partition whatever the input file layout, and a later grouping whose key
     contains the document needs no shuffle of the (~10x larger) tokens.  The
-    repartition names columns only, so AQE sizes its partitions by bytes.
+    partition count is fixed (``spark.sql.shuffle.partitions``) rather than
+    coalesced by AQE: coalescing would size the partitions by the compact
+    titles, while the stage after the exchange emits ~10x more tokens.
     """
     t = docs.select("gallery_id", F.col("id").alias("doc_id"), F.col(field).alias("_t"))
     if by_document:
-        t = t.repartition("gallery_id", "doc_id")
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        t = t.repartition(n, "gallery_id", "doc_id")
     n = F.length("_t")
     t = t.select("*", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("pos"))
     t = t.select("*", F.explode(F.sequence(F.lit(min_gram), F.least(F.lit(max_gram), n - F.col("pos") + 1)))
