@@ -82,6 +82,17 @@ for _name, _field, _value, _gal in [
     register(_name, _author_sql(_field, _value, _gal))(_author_query(_field, _value, _gal))
 
 
+@register("search_store_table", _author_sql("author_ip", IP))
+def search_store_table(spark, sf_dir):
+    """Author lookup on a store table written with bloom filters and (gallery, time) clustering."""
+    from threadlake.plans.q_sources import scratch
+    from threadlake.sources import lake as L
+    d, g = _store(spark, sf_dir)
+    path = scratch(spark, "store-document")
+    L.write_store_table(d, path)
+    return S.documents(spark.read.parquet(path), g, last_created_at=CURSOR, author_ip=IP)
+
+
 @register("search_fast_fields", with_views(["v_document"], """
 SELECT * FROM v_document WHERE comment_count >= 3 AND comment_count <= 5 AND like_count >= 40
   AND created_at >= TIMESTAMP '1995-01-01 00:00:00'

@@ -85,3 +85,30 @@ def write_lake_json(df: DataFrame, path: str, ts: str = "ts", mode: str = "appen
     if dynamic_overwrite:
         w = w.option("partitionOverwriteMode", "dynamic")
     w.save(path)
+
+
+STORE_LOOKUPS = ("author_id", "author_ip", "author_nickname")
+STORE_CLUSTER = ("gallery_id", "created_at")
+
+
+def write_store_table(df: DataFrame, path: str, lookup=STORE_LOOKUPS, cluster=STORE_CLUSTER,
+                      mode: str = "overwrite") -> None:
+    """Search-store table laid out for point lookups and keyset pages.
+
+    The lake stand-in for the database's indexes:
+
+    * rows are range-partitioned and sorted by ``cluster`` (gallery, time), so
+      each file's row groups cover narrow (gallery, time) ranges.  Gallery and
+      cursor predicates then skip row groups by their min/max statistics, and
+      a hot gallery is split by time over several files (range bounds are
+      sampled, not hashed);
+    * parquet bloom filters on the ``lookup`` columns let an equality lookup
+      (author ip / id / nickname) skip the row groups that cannot hold the
+      value.  Parquet keeps a bloom filter only for a column chunk that
+      outgrew its dictionary; a fully dictionary-encoded chunk is pruned by
+      its dictionary instead.
+    """
+    w = df.repartitionByRange(*cluster).sortWithinPartitions(*cluster).write.format("parquet").mode(mode)
+    for c in lookup:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    w.save(path)
