@@ -65,6 +65,20 @@ def test_title_search_needs_every_gram(spark):
     assert [r.id for r in X.search_title(p, d, g, "title", gallery_id="g1", last_created_at=T).collect()] == [2, 1]
 
 
+def test_title_search_on_written_index_pushes_gram_filter(spark):
+    import tempfile
+    import uuid
+    d, g = _store(spark)
+    path = f"{tempfile.gettempdir()}/threadlake-index-{uuid.uuid4().hex}"
+    X.write_postings(X.build_postings(d), path)
+    idx = spark.read.parquet(path)
+    hits = X.search_title(idx, d, g, "title", gallery_id="g1", last_created_at=T)
+    assert [r.id for r in hits.collect()] == [2, 1]
+    scans = [ln for ln in hits._jdf.queryExecution().executedPlan().toString().split("\n")
+             if "FileScan parquet" in ln and "gram" in ln]
+    assert scans and "PushedFilters: [" in scans[0] and "In(gram, [" in scans[0]
+
+
 def test_store_table_has_bloom_filters_and_clustered_row_groups(spark):
     import glob
     import tempfile

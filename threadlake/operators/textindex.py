@@ -66,6 +66,19 @@ def build_postings(docs: DataFrame, field: str = "title", lower: bool = True) ->
     return post.filter(F.col("gram") != "")
 
 
+def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Persist the postings as the inverted index: range-clustered and sorted by gram.
+
+    Each file (and row group) then covers a narrow gram range, so a lookup's
+    ``gram IN (...)`` filter skips row groups by their min/max statistics; a
+    very common gram is split over several files (range bounds are sampled),
+    and a bloom filter on ``gram`` covers the chunks that outgrow their
+    dictionary.
+    """
+    (postings.repartitionByRange("gram", "gallery_id", "doc_id").sortWithinPartitions("gram", "gallery_id", "doc_id")
+     .write.format("parquet").mode(mode).option("parquet.bloom.filter.enabled#gram", "true").save(path))
+
+
 def query_grams(spark: SparkSession, query: str, lower: bool = True) -> list[str]:
     """The distinct grams of a search string (evaluated on a one-row literal)."""
     row = spark.range(1).select(ngrams(F.lit(query), lower=lower).alias("g")).first()

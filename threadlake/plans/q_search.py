@@ -228,6 +228,16 @@ def _title_query(gallery: str | None):
 
 
 register("search_title", _title_search_sql(None))(_title_query(None))
+
+
+@register("search_title_index", _title_search_sql(None))
+def search_title_index(spark, sf_dir):
+    """Title search on the persisted index (written once, read with a pushed ``gram IN`` filter)."""
+    from threadlake.plans.q_sources import scratch
+    t = v_title(spark, sf_dir)
+    path = scratch(spark, "title-index")
+    X.write_postings(X.build_postings(t), path)
+    return X.search_title(spark.read.parquet(path), t, _title_gallery(t), TITLE_Q, last_created_at=TITLE_CURSOR)
 register("search_gallery_title", _title_search_sql(TITLE_GALLERY))(_title_query(TITLE_GALLERY))
 
 
