@@ -69,7 +69,8 @@ _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&a
 
 
 def _has_class(html: F.Column, cls: str) -> F.Column:
-    return html.rlike(rf'\bclass="[^"]*\b{cls}\b[^"]*"')
+    # the regex needs the class name literally: a plain substring test skips it when absent
+    return (F.instr(html, cls) > 0) & html.rlike(rf'\bclass="[^"]*\b{cls}\b[^"]*"')
 
 
 def _inner(html: F.Column, cls: str) -> F.Column:
