@@ -131,14 +131,14 @@ def _sequential_fold(d0, lp0, reg, reports):
 
 
 def test_hot_gallery_fold_is_chunked_and_exact(spark):
-    """One gallery holds most reports, over many hour buckets: same result as a sequential fold."""
+    """One gallery holds most reports, over many day buckets: same result as a sequential fold."""
     import random
     rnd = random.Random(7)
     rows, seq = [], 0
     for g, n in (("hot", 600), ("g2", 5), ("g3", 1)):
         for _ in range(n):
             seq += 1
-            at = None if rnd.random() < 0.02 else T0 + dt.timedelta(seconds=rnd.randrange(0, 40 * 3600))
+            at = None if rnd.random() < 0.02 else T0 + dt.timedelta(seconds=rnd.randrange(0, 10 * 86400))
             err = "Unknown" if rnd.random() < 0.1 else None
             rows.append((g, 0, at, seq, rnd.choice([0, 1, 3, 10]), err, seq))
     s = state(spark, [{"id": "hot", "publish_duration_in_seconds": 50.0},
@@ -150,7 +150,7 @@ def test_hot_gallery_fold_is_chunked_and_exact(spark):
         want_d, want_lp = _sequential_fold(d0, lp0, T0, [(x[2], x[3], x[4], x[5]) for x in rows if x[0] == g])
         assert got[g].publish_duration_in_seconds == pytest.approx(want_d, rel=1e-12), g
         assert got[g].last_published_at == want_lp, g
-    # the hot gallery's reports are ordered in (gallery, hour) chunks, not as one window partition
+    # the hot gallery's reports are ordered in (gallery, day) chunks, not as one window partition
     terms = C.report_terms(r, s)
     assert terms.filter("id = 'hot'").select("_age").distinct().count() == 600
     p = terms._jdf.queryExecution().executedPlan().toString()

@@ -44,11 +44,11 @@ def test_cluster_profile_names_known_settings(spark):
     assert [k for k in CLUSTER_CONF if k not in known] == []
 
 
-def test_fold_orders_reports_in_gallery_hour_chunks(spark):
+def test_fold_orders_reports_in_gallery_day_chunks(spark):
     import __spark_entry__ as E
     df = E.queries()["fold_publish_duration"](spark, SF_SMALL)
     df.write.format("noop").mode("overwrite").save()
     p = df._jdf.queryExecution().executedPlan().toString()
-    # the report rows are exchanged on (gallery, hour), never on the gallery alone
+    # the report rows are exchanged on (gallery, day), never on the gallery alone
     windows = [ln for ln in p.split("\n") if "Window [" in ln and "at#" in ln]
     assert windows and all("_b#" in ln for ln in windows)

@@ -187,7 +187,10 @@ def _term(at: Column, o: Column, count: Column, is_err: Column, w1: float, w2: f
     )
 
 
-REPORT_BUCKET_SECONDS = 3600
+# Chunk width of the report fold.  A gallery reports at most once per crawl
+# (about once a minute), so a day holds at most ~1,440 of its reports, and the
+# summary window carries one row per gallery-day: both sides stay small.
+REPORT_BUCKET_SECONDS = 86400
 
 
 def report_bucket(at: Column, seconds: int = REPORT_BUCKET_SECONDS) -> Column:
