@@ -78,3 +78,20 @@ def test_partitioned_upsert_reads_only_touched_partitions(spark):
     scan = [ln for ln in keys._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in ln]
     # a static partition filter: only the touched gallery's directory is listed and read
     assert scan and "PartitionFilters: [isnotnull(gallery_id" in scan[0] and " = g1)]" in scan[0]
+
+
+def test_present_keys_fallback_is_exact(spark, monkeypatch):
+    """Above the pruning limit the lookup reads every key; the answer is the same."""
+    rows = [(f"g{i % 6}", i, "t", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "gallery_id string, id long, title string, delivery int")
+    target = _tmp()
+    df.write.partitionBy("gallery_id").parquet(target)
+    batch = spark.createDataFrame([("g1", 1, "t", 2), ("g2", 2, "t", 2), ("g3", 99, "t", 2)], df.schema)
+    pruned = sorted(tuple(r) for r in ST.present_keys(batch, target, ["gallery_id", "id"], ["gallery_id"]).collect())
+    monkeypatch.setattr(ST, "PRUNE_MAX_PARTITIONS", 2)
+    full = ST.present_keys(batch, target, ["gallery_id", "id"], ["gallery_id"])
+    assert "= g1" not in full._jdf.queryExecution().executedPlan().toString()   # no partition filter
+    touched = sorted(tuple(r) for r in full.filter(F.col("gallery_id").isin("g1", "g2", "g3")).collect())
+    assert pruned == touched and len(pruned) == 30
+    new = ST.new_rows(full, batch, ["gallery_id", "id"], ["delivery"]).collect()
+    assert [(r.gallery_id, r.id) for r in new] == [("g3", 99)]
