@@ -54,3 +54,6 @@ def test_matches_oracle(spark, con, name):
     want = _rows(cols, cur.fetchall())
     assert sorted(df.columns) == sorted(cols)
     assert got == want
+    # no query pairs rows without a key: no cartesian product, no nested-loop join
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
