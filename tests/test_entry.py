@@ -57,3 +57,5 @@ def test_matches_oracle(spark, con, name):
     # no query pairs rows without a key: no cartesian product, no nested-loop join
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    # and no row-at-a-time or Arrow Python UDF in any batch plan
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
