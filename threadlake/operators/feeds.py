@@ -59,18 +59,36 @@ def fill_parents(rows: DataFrame, keys=("gallery_id", "document_id", "page")) ->
                            .when(last_root > 0, last_root).cast("long"))
 
 
-def feed_order(rows: DataFrame, keys=("gallery_id", "document_id"), page: str = "page") -> DataFrame:
+def page_counts(feeds: DataFrame, body: str = "body", keys=("gallery_id", "document_id"),
+                page: str = "page") -> DataFrame:
+    """``(keys, page, _n)``: how many comment rows ``decode_feed`` emits for each page.
+
+    Read from the compact pages with the same schema as ``decode_feed`` (so a
+    page counts exactly the rows it decodes to), taking the comment array's
+    length without exploding it; only one small row per page is shuffled for
+    the cross-page offsets, never the page bodies.
+    """
+    j = F.from_json(F.col(body), FEED_SCHEMA)
+    n = F.when(j["pagination"].isNotNull() & j["comments"].isNotNull(), F.size(j["comments"])).otherwise(0)
+    return feeds.groupBy(*keys, page).agg(F.sum(n.cast("long")).alias("_n"))
+
+
+def feed_order(rows: DataFrame, keys=("gallery_id", "document_id"), page: str = "page",
+               pages: DataFrame | None = None) -> DataFrame:
     """Order of the assembled feed: highest page first, page order kept inside.
 
     ``row_number`` over the document, computed per page: the rank inside the
     page plus the number of rows on the document's later pages.  The rows
     stay partitioned by page (a hot document spreads over its pages); only
     one count per page crosses pages, in a window over the page summaries.
+    ``pages`` (``keys, page, _n``) gives those counts when the caller has them
+    from the compact pages (``page_counts``); else they are counted from ``rows``.
     """
     keys = list(keys)
     in_page = Window.partitionBy(*keys, page).orderBy(F.col("pos").asc())
     rows = rows.withColumn("_rank", F.row_number().over(in_page))
-    pages = rows.groupBy(*keys, page).agg(F.count(F.lit(1)).alias("_n"))
+    if pages is None:
+        pages = rows.groupBy(*keys, page).agg(F.count(F.lit(1)).alias("_n"))
     later = Window.partitionBy(*keys).orderBy(F.col(page).desc()).rowsBetween(Window.unboundedPreceding, -1)
     pages = pages.select(*keys, page, F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_offset"))
     out = rows.join(pages, [*keys, page], "left")
@@ -81,10 +99,11 @@ def comment_rows(feeds: DataFrame, as_of, body: str = "body") -> DataFrame:
     """The comment-feed job: decoded, classified, timed and parented comments.
 
     The fetched pages are hash-partitioned once by ``(gallery, document,
-    page)`` while still compact (one row per page).  The parent fill, the
-    in-page rank and the per-page counts all reuse that exchange (Spark
-    reuses it for the count branch too), so the input is read and shuffled
-    once and a hot document spreads over its pages.
+    page)`` while still compact (one row per page).  The parent fill and the
+    in-page rank run on that partitioning, so a hot document spreads over
+    its pages.  The per-page counts come from the unshuffled pages
+    (``page_counts``): that branch reads the pages again but shuffles only one
+    small row per page, so the page bodies cross the network once.
     """
     # by columns only, so AQE sizes (coalesces) the partitions by bytes
     d = decode_feed(feeds.repartition("gallery_id", "document_id", "page"), body)
@@ -98,4 +117,4 @@ def comment_rows(feeds: DataFrame, as_of, body: str = "body") -> DataFrame:
         c["depth"].alias("depth"), c["memo"].alias("contents"), comment_kind(c["memo"]).alias("kind"),
         parse_comment_time(F.coalesce(c["reg_date"], c["comment_date"]), as_of).alias("created_at"),
     )
-    return feed_order(fill_parents(rows))
+    return feed_order(fill_parents(rows), pages=page_counts(feeds, body))
