@@ -65,3 +65,21 @@ def test_hot_document_feed_order_matches_row_number(spark):
     # the rows are ranked per page; only the page counts cross pages
     p = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(gallery_id#" in p and "page#" in p
+
+
+def test_page_counts_match_decoded_rows(spark):
+    # a page per case: comments with a pager, comments without a pager (no rows),
+    # an empty comment list, malformed JSON and a bad depth type
+    pages = [
+        ("mg", 1, 1, json.dumps({"comments": ROWS, "pagination": "<em>1</em>"})),
+        ("mg", 1, 2, json.dumps({"comments": ROWS[:3]})),
+        ("mg", 1, 3, json.dumps({"comments": [], "pagination": "<em>3</em>"})),
+        ("mg", 2, 1, "{not json"),
+        ("mg", 2, 2, json.dumps({"comments": [dict(ROWS[0], depth="deep")] + ROWS[1:2], "pagination": "<a>1</a>"})),
+    ]
+    feeds = spark.createDataFrame(pages, "gallery_id string, document_id long, page int, body string")
+    keys = ["gallery_id", "document_id", "page"]
+    want = {tuple(r[:3]): r[3] for r in FD.decode_feed(feeds).groupBy(*keys).count().collect()}
+    got = {tuple(r[:3]): r[3] for r in FD.page_counts(feeds).collect()}
+    assert {k: v for k, v in got.items() if v} == want
+    assert got[("mg", 1, 2)] == 0 and got[("mg", 1, 3)] == 0 and got[("mg", 2, 1)] == 0
