@@ -38,8 +38,8 @@ from threadlake.llm.scratch import Scratch
 ORDER_GRAMS = 1 << 16
 #: An n-gram is offered as frequent by a slice of texts in which so many documents have it.
 FREQUENT = 3
-#: Bits of the small bitmap that goes with each posting.
-SMALL_BITS = 512
+#: Fewest and most bits of a set's bitmap; between them it has one to two bits for each n-gram.
+LEAST_BITS, MOST_BITS = 256, 1 << 14
 #: Posting lists up to this length emit their pairs at once.
 SHORT_LIST = 8
 #: Members of one block of a longer posting list.
@@ -73,14 +73,23 @@ def signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def parity(s: np.ndarray, bits: int) -> np.ndarray:
-    """Parity bitmap: bit i is the parity of the grams in the i-th hash range.
+def parity(s: np.ndarray) -> bytes:
+    """Parity bitmap: bit i is the parity of the grams whose hash ends in i.
 
     Two sets' bitmaps differ in at most as many bits as the sets have grams not
-    in common.
+    in common.  The halves of a bitmap, xor-ed, are the bitmap of half the size.
     """
-    k = np.bincount((s >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(k.astype(np.uint8), bitorder="little")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(s) - 1).bit_length()))
+    k = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(k.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(x: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (last axis: 64-bit words) folded to size words."""
+    while x.shape[-1] > size:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
 
 
 def _frequent(k: int) -> Callable:
@@ -113,21 +122,20 @@ def _describe(k: int, pct: int, order) -> Callable:
         seen: set[bytes] = set()
         for b in batches:
             for lo, hi, buf, off in W.slices(b.column("text")):
-                out: dict[str, list] = {c: [] for c in ("n", "sig", "small", "full", "prefix")}
+                out: dict[str, list] = {c: [] for c in ("n", "sig", "bits", "prefix")}
                 for s in gram_sets(buf, off, k):
                     n, sig = len(s), signature(s)
                     new = n and sig not in seen
                     out["n"].append(n)
                     out["sig"].append(sig)
                     if not new:
-                        for c in ("small", "full", "prefix"):
-                            out[c].append(None)
+                        out["bits"].append(None)
+                        out["prefix"].append(None)
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(sig)
-                    out["small"].append(parity(s, SMALL_BITS).tobytes())
-                    out["full"].append(parity(s, 1 << max(6, (2 * n - 1).bit_length())).tobytes())
+                    out["bits"].append(parity(s))
                     p = n - int(need(np.int64(n), pct)) + 1
                     if len(often):
                         at = np.minimum(np.searchsorted(often, s), len(often) - 1)
@@ -141,9 +149,9 @@ def _describe(k: int, pct: int, order) -> Callable:
                         out["prefix"].append(s[:p].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(lo, hi - lo), b.column("th").slice(lo, hi - lo), pa.array(out["n"], pa.int64()),
-                     pa.array(out["sig"], pa.binary()), pa.array(out["small"], pa.binary()),
-                     pa.array(out["full"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64()))],
-                    ["doc_id", "th", "n", "sig", "small", "full", "prefix"])
+                     pa.array(out["sig"], pa.binary()), pa.array(out["bits"], pa.binary()),
+                     pa.array(out["prefix"], pa.list_(pa.int64()))],
+                    ["doc_id", "th", "n", "sig", "bits", "prefix"])
     return run
 
 
@@ -222,16 +230,21 @@ def _block_pairs(pct: int, every: bool) -> Callable:
             i, j = t["i"][0].as_py(), t["j"][0].as_py()
             if every and (comp == comp[0]).all():
                 continue
-            bm = np.frombuffer(b"".join(t["small"].to_pylist()), np.uint64).reshape(len(cls), -1)
             o = np.lexsort((cls, n))
-            cls, n, comp, blk, bm = cls[o], n[o], comp[o], blk[o], bm[o]
+            cls, n, comp, blk = cls[o], n[o], comp[o], blk[o]
+            bits = t["bits"].to_pylist()
+            bm = [np.frombuffer(bits[x], np.uint64) for x in o]
+            size, folded, start = 0, None, 0
             end = np.searchsorted(n, _PCT * n // pct, "right")
             best = np.full(len(cls), 1 << 40)
             at = np.full(len(cls), -1)
             for lo in range(0, len(cls), 64):
                 hi = min(lo + 64, len(cls))
                 top = int(end[hi - 1])
-                x = _far(bm[lo:hi], bm[lo:top])
+                if len(bm[lo]) != size:  # rows come by set size, so later bitmaps are as large or larger
+                    size, start = len(bm[lo]), lo
+                    folded = np.stack([_fold(x, size) for x in bm[lo:]])
+                x = _far(folded[lo - start:hi - start], folded[lo - start:top - start])
                 r, q = np.arange(lo, hi)[:, None], np.arange(lo, top)[None, :]
                 # |A xor B| <= (100 - pct) / (100 + pct) * (|A| + |B|)
                 ok = (q > r) & ((_PCT + pct) * x <= (_PCT - pct) * (n[lo:hi, None] + n[None, lo:top])) & (q < end[lo:hi, None])
@@ -262,22 +275,18 @@ def _block_pairs(pct: int, every: bool) -> Callable:
     return run
 
 
-def _fold(x: np.ndarray, size: int) -> np.ndarray:
-    """The parity bitmap (unpacked) for fewer hash ranges."""
-    return np.bitwise_xor.reduce(x.reshape(size, -1), axis=1)
-
-
-def _full_filter(pct: int) -> Callable:
-    """Drop pairs whose full bitmaps differ in too many bits."""
+def _bitmap_filter(pct: int) -> Callable:
+    """Drop pairs whose bitmaps differ in too many bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
             na, nb = np.asarray(b.column("na")), np.asarray(b.column("nb"))
-            for r, (x, y) in enumerate(zip(b.column("full_a"), b.column("full_b"), strict=True)):
-                x, y = (np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), bitorder="little") for v in (x, y))
+            for r, (x, y) in enumerate(zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 size = min(len(x), len(y))
-                keep[r] = (_PCT + pct) * int((_fold(x, size) != _fold(y, size)).sum()) <= (_PCT - pct) * int(na[r] + nb[r])
+                far = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
+                keep[r] = (_PCT + pct) * far <= (_PCT - pct) * int(na[r] + nb[r])
             t = b.select(["a", "b", "na", "nb", "sig_a", "sig_b", "th_a", "th_b"])
             yield t.filter(pa.array(keep))
     return run
@@ -365,17 +374,17 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 75) -> tuple[DataFrame,
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text")).alias("th"))
     order = spark.sparkContext.broadcast(global_order(texts, k))
-    seen = (texts.mapInArrow(_describe(k, pct, order), "doc_id long, th long, n long, sig binary, small binary, full binary, prefix array<long>")
+    seen = (texts.mapInArrow(_describe(k, pct, order), "doc_id long, th long, n long, sig binary, bits binary, prefix array<long>")
             .withColumn("uid", F.monotonically_increasing_id()))
     seen = scratch.keep(seen, "documents")
-    one = F.min(F.struct("uid", "n", "th", "small", "full")).alias("r")
-    classes = scratch.keep(seen.where("small is not null").groupBy("sig").agg(one).select("sig", F.col("r.uid").alias("cls"), "r.n", "r.th", "r.small", "r.full"), "classes")
+    one = F.min(F.struct("uid", "n", "th", "bits")).alias("r")
+    classes = scratch.keep(seen.where("bits is not null").groupBy("sig").agg(one).select("sig", F.col("r.uid").alias("cls"), "r.n", "r.th", "r.bits"), "classes")
     member = seen.select("uid", "sig").join(classes.select("sig", "cls"), "sig")
 
     by_gram = Window.partitionBy("gram")
     lists = (seen.where("prefix is not null").select(F.explode("prefix").alias("gram"), "uid", "n")
              .withColumn("len", F.count(F.lit(1)).over(by_gram)).where("len > 1").drop("len")
-             .join(member.select("uid", "cls"), "uid").groupBy("gram", "cls").agg(F.first("n").alias("n"))
+             .join(member.select("uid", "cls"), "uid").repartition("gram").groupBy("gram", "cls").agg(F.first("n").alias("n"))
              .withColumn("len", F.count(F.lit(1)).over(by_gram)).where("len > 1"))
     lists = scratch.keep(lists, "lists")
 
@@ -390,15 +399,15 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 75) -> tuple[DataFrame,
             x = x.join(label, x.cls == label.node, "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
         if every:
             x = x.withColumn("lo", F.min("comp").over(by_gram)).withColumn("hi", F.max("comp").over(by_gram)).where("lo < hi").drop("lo", "hi")
-        x = x.join(classes.select("cls", "small"), "cls")
+        x = x.join(classes.select("cls", "bits"), "cls")
         blocks = F.expr(f"cast(ceil(len / {BLOCK}) as int)")
         x = x.withColumn("blk", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        x = x.select("gram", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cls", "n", "comp", "blk", "small")
+        x = x.select("gram", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cls", "n", "comp", "blk", "bits")
         return x.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(_block_pairs(pct, every), "a long, b long")
 
     def near_enough(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"sig_{s}"), F.col("th").alias(f"th_{s}"), F.col("full").alias(f"full_{s}"))
-        x = pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_full_filter(pct), _PAIR)
+        side = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"sig_{s}"), F.col("th").alias(f"th_{s}"), F.col("bits").alias(f"bits_{s}"))
+        x = pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_bitmap_filter(pct), _PAIR)
         return scratch.keep(x, name)
 
     first = near_enough(short.unionByName(long_lists(None, False)), "pairs-1")
