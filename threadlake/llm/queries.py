@@ -4,16 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import jaccard
+from threadlake.llm import jaccard, phrases, tokens
 from threadlake.llm.registry import ORACLES, QUERIES, Query, register, table
 
 
+#: Parameter of the token-ID output: the vocabulary file, and the id that ends each document.
+VOCABULARY, END_ID = "word_bpe_49k.json", 2
+
+
+def vocabulary(name: str = VOCABULARY) -> str:
+    """Where the public tokenizers' file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op1_token_id_output")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit-packed token ids of every document, read back from the shards."""
+    return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary(), END_ID)
+
+
 @register("op8_ngram_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at Jaccard 0.75 of 5-word shingles: set size and component per document."""
     return jaccard.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+@register("op10_benchmark_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document repeats of the benchmark, by 13-word windows from the positional index."""
+    found = phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
