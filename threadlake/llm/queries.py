@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import jaccard, phrases, tokens
+from threadlake.llm import jaccard, mixing, phrases, rules, tokens, toxicity, warc
 from threadlake.llm.registry import ORACLES, QUERIES, Query, register, table
 
 
@@ -25,6 +25,30 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary(), END_ID)
 
 
+@register("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and the isolation forest's verdict, calibrated on the labels."""
+    return rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op5_warc_revisits")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives with revisit records for equal payloads of any size, read back."""
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+@register("op6_toxicity_chain")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classifier chain: probabilities and verdict for every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op7_mix_to_targets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked sampling probability and decision for every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 @register("op8_ngram_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at Jaccard 0.75 of 5-word shingles: set size and component per document."""

@@ -64,7 +64,7 @@ class ShardWriter:
         self.fs, self.path = pafs.FileSystem.from_uri(uri)
         self.part = f"{os.path.dirname(self.path)}/_{os.path.basename(self.path)}.{attempt}"
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
-        self.out = self.fs.open_output_stream(self.part)
+        self.out = self.fs.open_output_stream(self.part, compression=None)
         self.out.write(MAGIC)
         self.width, self.at, self.offsets = width, len(MAGIC), []
         self.wait: list[np.ndarray] = []
