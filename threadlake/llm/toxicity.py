@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another.  Each has a linear model on the
-words of the text; later models also see the probabilities of the categories
+Categories are predicted one after another.  Each has a linear model on how
+often words, and words that begin alike, stand in the text; later models also see the probabilities of the categories
 before.  In training these are out-of-fold predictions, so a later model learns
 from probabilities as unsure as those it will meet.
 
@@ -20,16 +20,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm import words as W
-from threadlake.llm.phrases import text_words
 from threadlake.llm.scratch import Scratch
 
 #: Labelled rows that models are trained on, words per category, folds.
-SAMPLE_ROWS, WORDS, FOLDS = 20_000, 512, 5
+SAMPLE_ROWS, WORDS, FOLDS = 12_000, 512, 5
+#: Bytes of the beginnings of words that count as features beside the whole words.
+PREFIXES = (5, 6, 7)
+#: A count is divided by 1 + words / DAMPING: in short texts a few hits tell, in long ones the rate does.
+DAMPING = 150.0
 #: A word must stand in so many documents of the sample to be looked at.
 LEAST_DOCS = 5
 #: And its share of positive rows must lie so many standard errors from the share of all, beyond what the best of
 #: millions of words reaches by chance.
-LEAST_Z = 6.0
+LEAST_Z = 5.0
 #: Bins of the probability histogram.
 BINS = 1000
 
@@ -39,16 +42,20 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """Sparse 0/1 rows: for each entry its row and column."""
+    """Sparse rows: for each entry its row, column and value."""
 
-    def __init__(self, row: np.ndarray, col: np.ndarray, n: int) -> None:
-        self.row, self.col, self.n = row, col, n
+    def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int) -> None:
+        self.row, self.col, self.val, self.n = row, col, val, n
+
+    @classmethod
+    def none(cls, n: int) -> Rows:
+        return cls(np.zeros(0, int), np.zeros(0, int), np.zeros(0), n)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col], self.n)
+        return np.bincount(self.row, w[self.col] * self.val, self.n)
 
     def back(self, g: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.col, g[self.row], width)
+        return np.bincount(self.col, g[self.row] * self.val, width)
 
 
 class Linear:
@@ -98,17 +105,37 @@ class Chain:
         return z
 
 
+def _features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash) of every word and beginning of a word, and the words of each row; A-Z are lower-cased."""
+    buf = W.LOWER[buf]
+    s, e, first = W.spans(buf, off, W.ALNUM)
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    rows, out = [row], [W.hashes(buf, s, e)]
+    for k in PREFIXES:
+        m = e - s > k
+        rows.append(row[m])
+        out.append(W.hashes(buf, s[m], s[m] + k) + np.uint64(k))
+    return np.concatenate(rows), np.concatenate(out), n
+
+
+def _counted(row: np.ndarray, col: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, column) pairs with their damped counts."""
+    o = np.lexsort((col, row))
+    row, col = row[o], col[o]
+    head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (col[1:] != col[:-1])])) if len(row) else np.zeros(0, int)
+    many = np.diff(np.append(head, len(row)))
+    return row[head], col[head], many / (1 + n[row[head]] / DAMPING)
+
+
 def _entries(buf: np.ndarray, off: np.ndarray, vocab: np.ndarray) -> Rows:
-    """Which words of the vocabulary stand in each row."""
-    h, first = text_words(buf, off)
-    n = len(off) - 1
+    """The features of the vocabulary that stand in each row."""
+    row, h, n = _features(buf, off)
     if not len(vocab) or not len(h):
-        return Rows(np.zeros(0, int), np.zeros(0, int), n)
+        return Rows.none(len(n))
     at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
     m = np.flatnonzero(vocab[at] == h)
-    row = np.searchsorted(first, m, "right") - 1
-    key = np.unique(row * len(vocab) + at[m])
-    return Rows(key // len(vocab), key % len(vocab), n)
+    return Rows(*_counted(row[m], at[m], n), len(n))
 
 
 def _sample_words(ids) -> Callable:
@@ -118,10 +145,11 @@ def _sample_words(ids) -> Callable:
             m = np.isin(np.asarray(d), ids.value)
             b = b.filter(pa.array(m & ~np.asarray(b.column("doc_id").is_null())))
             for lo, hi, buf, off in W.slices(b.column("text")):
-                h, first = text_words(buf, off)
+                row, h, val = _counted(*_features(buf, off))
+                cut = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo), pa.array([np.unique(h[first[i]:first[i + 1]]).view(np.int64) for i in range(hi - lo)], pa.list_(pa.int64()))],
-                    ["doc_id", "words"])
+                    [b.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))),
+                     pa.ListArray.from_arrays(cut, pa.array(val.astype(np.float32)))], ["doc_id", "words", "vals"])
     return run
 
 
@@ -129,12 +157,15 @@ def _sample_entries(vocab) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocab.value
         for b in batches:
-            out = []
-            for x in b.column("words"):
+            cols, vals = [], []
+            for x, v in zip(b.column("words"), b.column("vals"), strict=True):
                 h = np.asarray(x.values).astype(np.int64).view(np.uint64)
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                out.append(at[known[at] == h] if len(known) and len(h) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "words"), pa.array(out, pa.list_(pa.int64()))], [*(c for c in b.schema.names if c != "words"), "cols"])
+                m = known[at] == h if len(known) and len(h) else np.zeros(len(h), bool)
+                cols.append(at[m])
+                vals.append(np.asarray(v.values)[m])
+            rest = [c for c in b.schema.names if c not in ("words", "vals")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(cols, pa.list_(pa.int64())), pa.array(vals, pa.list_(pa.float32()))], [*rest, "cols", "vals"])
     return run
 
 
@@ -144,12 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], scratch: Sc
     sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     sample = scratch.keep(sample, "sample")
     ids = spark.sparkContext.broadcast(np.asarray(sample.select("doc_id").toArrow()["doc_id"]).astype(np.int64))
-    words = docs.select("doc_id", "text").mapInArrow(_sample_words(ids), "doc_id long, words array<long>").dropDuplicates(["doc_id"]).join(sample, "doc_id")
+    words = docs.select("doc_id", "text").mapInArrow(_sample_words(ids), "doc_id long, words array<long>, vals array<float>").dropDuplicates(["doc_id"]).join(sample, "doc_id")
     words = scratch.keep(words, "words")
     y_sum = [F.sum(c).alias(c) for c in categories]
     total = words.agg(F.count(F.lit(1)).alias("n"), *y_sum).collect()[0]
     if not total["n"]:
-        return Chain(np.zeros(0, np.uint64), categories).fit(Rows(np.zeros(0, int), np.zeros(0, int), 0), np.zeros((0, len(categories))), np.zeros(0, int))
+        return Chain(np.zeros(0, np.uint64), categories).fit(Rows.none(0), np.zeros((0, len(categories))), np.zeros(0, int))
     count = words.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *y_sum).where(F.col("n") >= LEAST_DOCS)
     count = scratch.keep(count, "count")
     vocab: set[int] = set()
@@ -159,10 +190,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], scratch: Sc
         z = F.abs(F.col(c) - F.col("n") * p) / F.sqrt(F.col("n") * max(p * (1 - p), 1e-6))
         vocab |= {r["word"] for r in count.where(z >= LEAST_Z).orderBy(F.desc(z), "word").limit(WORDS).select("word").collect()}
     known = np.unique(np.array(sorted(vocab), np.int64).view(np.uint64))
-    schema = "doc_id long, " + ", ".join(f"{c} int" for c in categories) + ", cols array<long>"
-    rows = words.select("doc_id", *categories, "words").mapInArrow(_sample_entries(spark.sparkContext.broadcast(known)), schema).orderBy("doc_id").toArrow()
+    schema = "doc_id long, " + ", ".join(f"{c} int" for c in categories) + ", cols array<long>, vals array<float>"
+    rows = words.select("doc_id", *categories, "words", "vals").mapInArrow(_sample_entries(spark.sparkContext.broadcast(known)), schema).orderBy("doc_id").toArrow()
     cols = [np.asarray(x.values).astype(np.int64) for x in rows["cols"].combine_chunks()]
-    x = Rows(np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate([*cols, np.zeros(0, np.int64)]), len(cols))
+    vals = [np.asarray(x.values).astype(float) for x in rows["vals"].combine_chunks()]
+    x = Rows(np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate([*cols, np.zeros(0, np.int64)]), np.concatenate([*vals, np.zeros(0)]), len(cols))
     y = np.column_stack([np.asarray(rows[c]).astype(float) for c in categories])
     fold = (W.mix(np.asarray(rows["doc_id"]).astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int)
     return Chain(known, categories).fit(x, y, fold)
