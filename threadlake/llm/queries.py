@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import jaccard, mixing, phrases, rules, tokens, toxicity, warc
+from threadlake.llm import counts, jaccard, mixing, phrases, rules, secrets, tokens, toxicity, warc
 from threadlake.llm.registry import ORACLES, QUERIES, Query, register, table
 
 
@@ -31,6 +31,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by pattern and by the randomness battery, over every whole text."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+#: Parameter of the token counts: the pieces and scores that serve as the unigram vocabulary.
+PIECES = "piece_bpe_32k.model"
+
+
+@register("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count of every document, by dynamic programming alone."""
+    return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
 @register("op5_warc_revisits")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives with revisit records for equal payloads of any size, read back."""
