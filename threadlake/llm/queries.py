@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import counts, jaccard, mixing, phrases, rules, secrets, tokens, toxicity, warc
+from threadlake.llm import counts, jaccard, mixing, passages, phrases, rules, secrets, tokens, toxicity, warc
 from threadlake.llm.registry import ORACLES, QUERIES, Query, register, table
 
 
@@ -71,6 +71,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+@register("op9_shared_passages")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of 50 words or more that another document repeats, fuzzily too."""
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 @register("op10_benchmark_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document repeats of the benchmark, by 13-word windows from the positional index."""
