@@ -18,9 +18,9 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from threadlake.llm.scratch import Scratch
 MAGIC = b"TLIDS\x00\x00\x01"
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 #: Characters encoded at once.
 STEP_CHARS = 1 << 20
 
@@ -152,7 +152,8 @@ _WORDWISE = {
          "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 }
-_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: A word of letters, with the signs after it (without the apostrophe, which can begin a piece of letters).
+_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
 
 def _byte_chars() -> dict[int, int]:
@@ -179,18 +180,23 @@ class Encoder:
         self.model = self.tok.model
         self.chars = _byte_chars()
         self.memo: dict[str, bytes] = {}
-        self.end = {"": b"", **{p: self._plain([p])[0] for p in ".,"}} if self.wordwise else {}
+        self.end: dict[str, bytes] = {"": b""}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        rest = []
+        rest, tokenize, end_of = [], self.model.tokenize, self.end
         for w in words:
             if m := _LETTERS.fullmatch(w):
                 word, end = m.groups()
-                pieces = self.model.tokenize(word.lower().encode().decode("latin-1").translate(self.chars))
-                self.memo[w] = np.array([t.id for t in pieces], "<u4").tobytes() + self.end[end]
+                if end not in end_of:
+                    if len(end_of) > MEMO_WORDS:
+                        end_of.clear()
+                        end_of[""] = b""
+                    end_of[end] = self._plain([end])[0]
+                pieces = tokenize(word.lower().encode().decode("latin-1").translate(self.chars))
+                self.memo[w] = array("I", [t.id for t in pieces]).tobytes() + end_of[end]
             else:
                 rest.append(w)
         self.memo.update(zip(rest, self._plain(rest), strict=True))
@@ -199,13 +205,13 @@ class Encoder:
         if not self.wordwise:
             return [np.frombuffer(b, "<u4") for b in self._plain(texts)]
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        memo, used = self.memo, set(chain.from_iterable(words))
-        new = used.difference(memo)
+        memo = self.memo
+        parts = [list(map(memo.get, t)) for t in words]
+        new = {w for t, ps in zip(words, parts, strict=True) for w, p in zip(t, ps, strict=True) if p is None}
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
-            new = used
         self._learn(list(new))
-        return [np.frombuffer(b"".join([memo[w] for w in t]), "<u4") for t in words]
+        return [np.frombuffer(b"".join([memo[w] if p is None else p for w, p in zip(t, ps, strict=True)]), "<u4") for t, ps in zip(words, parts, strict=True)]
 
 
 @lru_cache(2)
