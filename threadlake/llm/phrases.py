@@ -118,8 +118,8 @@ def _counts(vocab) -> Callable:
     return run
 
 
-def find(row: dict[str, np.ndarray], w: Windows, slop: int, ranks: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of each place where the window's ``ranks`` rarest terms stand within ``slop`` words of their offsets."""
+def find(row: dict[str, np.ndarray], w: Windows, slop: int, ranks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, start, document) of each place where the window's ``ranks`` rarest terms stand within ``slop`` words of their offsets."""
     lo, hi = _lists(row, w.vocab)
     n = hi - lo
     # postings of the wanted terms, sorted by (term, position)
@@ -130,22 +130,23 @@ def find(row: dict[str, np.ndarray], w: Windows, slop: int, ranks: int) -> tuple
     term = w.terms[k, rare]
     many = n[term]
     win = np.repeat(k, many)
-    start = (key[np.repeat(head[term] - np.cumsum(many) + many, many) + np.arange(many.sum())] & 0xFFFFFFFF) - rare[win]
-    m = start >= 0
-    win, start = win[m], start[m]
+    pos = key[np.repeat(head[term] - np.cumsum(many) + many, many) + np.arange(many.sum())] & 0xFFFFFFFF
+    first = row["first"].astype(np.int64)
+    start, doc = pos - rare[win], np.searchsorted(first, pos, "right") - 1
     for j in range(1, min(ranks, w.terms.shape[1])):
         if not len(win):
             break
         off = w.order[win, j]
         term = w.terms[win, off]
-        at = (term << 32) + np.maximum(start + off - slop, 0)
-        i = np.searchsorted(key, at)
+        low = np.maximum(start + off - slop, first[doc])
+        high = np.minimum(start + off + slop, first[doc + 1] - 1)
+        i = np.searchsorted(key, (term << 32) + low)
         found = np.zeros(len(win), bool)
-        inside = i < len(key)
-        found[inside] = key[i[inside]] <= (term << 32)[inside] + (start + off + slop)[inside]
+        inside = (i < len(key)) & (low <= high)
+        found[inside] = key[i[inside]] <= (term << 32)[inside] + high[inside]
         m = (term < 0) | found
-        win, start = win[m], start[m]
-    return win, start
+        win, start, doc = win[m], start[m], doc[m]
+    return win, start, doc
 
 
 def _search(windows, slop: int, ranks: int) -> Callable:
@@ -153,10 +154,9 @@ def _search(windows, slop: int, ranks: int) -> Callable:
         w = windows.value
         for b in batches:
             for row in _rows(b.select(["uids", "first", "terms", "heads", "postings"])):
-                win, start = find(row, w, slop, ranks)
+                win, start, doc = find(row, w, slop, ranks)
                 if not len(win):
                     continue
-                doc = np.searchsorted(row["first"], start, "right") - 1
                 o = np.lexsort((start, doc))
                 win, start, doc = win[o], start[o], doc[o]
                 cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
@@ -166,7 +166,8 @@ def _search(windows, slop: int, ranks: int) -> Callable:
                     out[0].append(int(row["uids"][d]))
                     out[1].append(sorted({x for k in np.unique(win[i:j]).tolist() for x in w.names[k]}))
                     s = start[i:j] - row["first"][d]
-                    e = s + w.size[win[i:j]]
+                    e = np.minimum(s + w.size[win[i:j]], row["first"][d + 1] - 1 - row["first"][d])
+                    s = np.maximum(s, 0)
                     # overlapping places run together
                     top = np.maximum.accumulate(e)
                     head = np.concatenate([[True], s[1:] > top[:-1]])

@@ -21,6 +21,8 @@ from threadlake.llm.scratch import Scratch
 SYMBOLS = b"#*$%&|<>"
 #: Labelled rows that the trees are grown from, trees, rows a tree sees.
 SAMPLE_ROWS, TREES, TREE_ROWS = 20_000, 128, 256
+#: Rows of a tree that are labelled bad: enough for splits to reach out to them, too few to look like a crowd of their own.
+TREE_BAD = 4
 #: Bins of the score histogram.
 BINS = 4096
 #: Most good labelled rows that the calibrated threshold may reject.
@@ -110,14 +112,17 @@ def _expected(n: int) -> float:
 class Forest:
     """Isolation trees as arrays: feature (-1: leaf), cut, children, and the path length at leaves."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7) -> None:
+    def __init__(self, x: np.ndarray, bad: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        self.rows = min(rows, len(x))
+        good, bad = np.flatnonzero(~bad), np.flatnonzero(bad)
+        some = min(TREE_BAD, len(bad))
+        self.rows = min(rows, len(good)) + some
         self.trees = []
         limit = max(1, int(np.ceil(np.log2(max(self.rows, 2)))))
         for _ in range(trees if len(x) else 0):
             nodes: list[list[float]] = []
-            self._grow(x[rng.choice(len(x), self.rows, replace=False)], 0, limit, nodes, rng)
+            pick = np.concatenate([rng.choice(good, self.rows - some, replace=False), rng.choice(bad, some, replace=False)])
+            self._grow(x[pick], 0, limit, nodes, rng)
             self.trees.append(np.array(nodes))
         self.limit = limit
 
@@ -192,8 +197,8 @@ def quality(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> DataFrame
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     labelled = stats.join(marks, "doc_id")
     # ordinary rows carry the trees; the base rule needs no forest
-    rows = labelled.where("n_words >= 10").orderBy(F.xxhash64("doc_id", *COUNTS)).limit(SAMPLE_ROWS).select(*COUNTS).toArrow()
-    forest = Forest(features({c: np.asarray(rows[c]).astype(np.int64) for c in COUNTS}))
+    rows = labelled.where("n_words >= 10").orderBy(F.xxhash64("doc_id", *COUNTS)).limit(SAMPLE_ROWS).select(*COUNTS, "quality").toArrow()
+    forest = Forest(features({c: np.asarray(rows[c]).astype(np.int64) for c in COUNTS}), np.asarray(rows["quality"]).astype(np.int64) <= 0)
     scored = scratch.keep(stats.mapInArrow(_scores(spark.sparkContext.broadcast(forest)), _STATS + ", score double"), "scores")
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     bins = (scored.where(~base).join(marks, "doc_id").groupBy(F.floor(F.col("score") * BINS).alias("bin"))
