@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 mod 8
 _MASK = (1 << 64) - 1
 
