@@ -80,6 +80,9 @@ def test_partition_read_prunes_and_backfill_replaces_only_its_dates(spark):
                                "event_id long, ts timestamp_ntz, value double")
     root = _tmp()
     L.write_lake_json(ev, root)
+    # another day's files have no say in the schema that is inferred
+    spark.createDataFrame([("x", 1)], "value string, later int").write.json(f"{root}/date=2021-01-09/hour=1")
+    assert "later" not in L.read_partition(spark, root, "2021-01-02", hour=1).columns
     day = L.read_partition(spark, root, "2021-01-02", hour=1)
     assert "PartitionFilters: [isnotnull(date" in day._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.event_id for r in day.collect()) == sorted(i for i in range(30) if i % 3 == 1 and i % 24 == 1)

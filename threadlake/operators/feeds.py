@@ -115,6 +115,6 @@ def comment_rows(feeds: DataFrame, as_of, body: str = "body") -> DataFrame:
         blank_to_null(uid).alias("author_id"), blank_to_null(ip).alias("author_ip"),
         c["name"].alias("nickname"), user_kind(uid, ip).alias("user_kind"),
         c["depth"].alias("depth"), c["memo"].alias("contents"), comment_kind(c["memo"]).alias("kind"),
-        parse_comment_time(F.coalesce(c["reg_date"], c["comment_date"]), as_of).alias("created_at"),
+        parse_comment_time(F.coalesce(blank_to_null(c["reg_date"]), c["comment_date"]), as_of).alias("created_at"),
     )
     return feed_order(fill_parents(rows), pages=page_counts(feeds, body))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -72,12 +73,24 @@ def backfill(job: Callable[[DataFrame], DataFrame], source: DataFrame, dates: It
              ts: str = "ts", hourly: bool = False) -> None:
     """Re-run ``job`` for a set of dates as ONE partitioned job.
 
-    The source is filtered to the dates (partition pruning when the source is
-    itself partitioned), transformed once, and written with dynamic
-    partition overwrite: only the touched ``date=`` directories are replaced.
+    The source is filtered to half-open ranges of ``ts``, one for each run of
+    consecutive dates, which reach the scan as pushed filters (and as partition
+    filters where the source is partitioned on a ``date`` column).  It is
+    transformed once and written with dynamic partition overwrite: only the
+    touched ``date=`` directories are replaced.
     """
     from threadlake.sources.lake import write_lake_json
 
-    ds = [str(d) for d in dates]
-    sel = source.filter(F.date_format(F.col(ts), "yyyy-MM-dd").isin(ds))
+    days = sorted({dt.date.fromisoformat(str(d)) for d in dates})
+    if not days:
+        return
+    kind = source.schema[ts].dataType
+    wanted, first = F.lit(False), days[0]
+    for day, after in zip(days, [*days[1:], None], strict=True):
+        if after != day + dt.timedelta(days=1):
+            low, high = (F.lit(str(d)).cast(kind) for d in (first, day + dt.timedelta(days=1)))
+            wanted, first = wanted | ((F.col(ts) >= low) & (F.col(ts) < high)), after
+    sel = source.filter(wanted)
+    if "date" in source.columns:
+        sel = sel.filter(F.col("date").cast("string").isin([str(d) for d in days]))
     write_lake_json(job(sel), path, ts=ts, mode="overwrite", hourly=hourly, dynamic_overwrite=True)

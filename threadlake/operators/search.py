@@ -102,8 +102,8 @@ def documents(document: DataFrame, gallery: DataFrame, *, gallery_id: str | None
 
 
 def filter_fast(document: DataFrame, *, min_comments: int | None = None, max_comments: int | None = None,
-                min_likes: int | None = None, since=None, until=None, limit: int = TITLE_PAGE) -> DataFrame:
-    """Range filters on the fast fields, newest first."""
+                min_likes: int | None = None, since=None, until=None, limit: int | None = None) -> DataFrame:
+    """Range filters on the fast fields; with ``limit`` the newest ones, in order."""
     d = document
     if min_comments is not None:
         d = d.filter(F.col("comment_count") >= min_comments)
@@ -115,4 +115,4 @@ def filter_fast(document: DataFrame, *, min_comments: int | None = None, max_com
         d = d.filter(F.col("created_at") >= F.lit(since).cast("timestamp_ntz"))
     if until is not None:
         d = d.filter(F.col("created_at") <= F.lit(until).cast("timestamp_ntz"))
-    return keyset_page(d, None, limit)
+    return d if limit is None else keyset_page(d, None, limit)

@@ -36,12 +36,19 @@ JOIN (SELECT document_id, max(CASE WHEN turn = 0 THEN text END) AS title,
       FROM conversations_doc GROUP BY document_id) d USING (document_id)
 WHERE c.turn >= 1
 """
+# documents with their comment counts, those without comments too
+VIEWS["conv_doc"] = r"""
+SELECT c.gallery_id, c.document_id, max(CASE WHEN d.turn = 0 THEN d.text END) AS title,
+  count(DISTINCT CASE WHEN c.turn >= 1 THEN c.turn END) AS n_comments
+FROM conv_turn c JOIN conversations_doc d USING (document_id) GROUP BY c.gallery_id, c.document_id
+"""
 VIEWS["conversations_doc"] = r"""
 SELECT conv_id AS document_id, turn, role, text FROM conversations
 """
 
 DEPENDS = {
     "conv_comment": ["conv_turn", "conversations_doc"],
+    "conv_doc": ["conv_turn", "conversations_doc"],
 }
 
 

@@ -208,11 +208,11 @@ def prj_squash_ws(spark, sf_dir):
     return _comments(spark, sf_dir).select("document_id", "comment_id", squash_ws("contents").alias("contents"))
 
 
-@register("prj_gallery_tag", with_views(["conv_comment"],
-          "SELECT DISTINCT document_id, '<gallery ' || gallery_id || '> ' || title AS line FROM conv_comment"))
+@register("prj_gallery_tag", with_views(["conv_doc"],
+          "SELECT document_id, '<gallery ' || gallery_id || '> ' || title AS line FROM conv_doc"))
 def prj_gallery_tag(spark, sf_dir):
     from threadlake.functions.text import gallery_tag
-    d = _docs(spark, sf_dir).filter(F.size("comments") > 0)
+    d = _docs(spark, sf_dir)
     return d.select(F.col("id").alias("document_id"), gallery_tag("gallery_id", "title").alias("line"))
 
 
@@ -249,7 +249,7 @@ def win_root_author(spark, sf_dir):
 
 @register("win_doc_author", _rows_sql("document_id, root_id, comment_id, author = document_author AS is_document_author"))
 def win_doc_author(spark, sf_dir):
-    return _runs(spark, sf_dir).select("document_id", "root_id", "comment_id", "is_document_author")
+    return _runs(spark, sf_dir).select("document_id", "root_id", "comment_id", D.by_document_author().alias("is_document_author"))
 
 
 @register("win_change_flag", _rows_sql("document_id, root_id, comment_id, chg AS change_flag"))
@@ -287,17 +287,17 @@ def dlg_threads(spark, sf_dir):
     return th.select("document_id", "root_id", "dialog_real_size", "line")
 
 
-@register("job_tokenizer", with_views(["conv_comment"], f"""
-SELECT '<gallery ' || gallery_id || '> ' || title AS text FROM (SELECT DISTINCT gallery_id, document_id, title FROM conv_comment) d
+@register("job_tokenizer", with_views(["conv_comment", "conv_doc"], f"""
+SELECT '<gallery ' || gallery_id || '> ' || title AS text FROM conv_doc
 UNION ALL
 SELECT {media('contents')} AS text FROM conv_comment"""))
 def job_tokenizer(spark, sf_dir):
-    return D.tokenizer_corpus(_docs(spark, sf_dir).filter(F.size("comments") > 0))
+    return D.tokenizer_corpus(_docs(spark, sf_dir))
 
 
-@register("job_tokenizer_skip", with_views(["conv_comment"], """
-SELECT '<gallery ' || gallery_id || '> ' || title AS text FROM (SELECT DISTINCT gallery_id, document_id, title FROM conv_comment) d
+@register("job_tokenizer_skip", with_views(["conv_comment", "conv_doc"], """
+SELECT '<gallery ' || gallery_id || '> ' || title AS text FROM conv_doc
 UNION ALL
 SELECT contents AS text FROM conv_comment WHERE NOT starts_with(contents, '<') AND contents IS NOT NULL"""))
 def job_tokenizer_skip(spark, sf_dir):
-    return D.tokenizer_corpus(_docs(spark, sf_dir).filter(F.size("comments") > 0), skip_non_text=True)
+    return D.tokenizer_corpus(_docs(spark, sf_dir), skip_non_text=True)

@@ -95,8 +95,7 @@ def search_store_table(spark, sf_dir):
 
 @register("search_fast_fields", with_views(["v_document"], """
 SELECT * FROM v_document WHERE comment_count >= 3 AND comment_count <= 5 AND like_count >= 40
-  AND created_at >= TIMESTAMP '1995-01-01 00:00:00'
-ORDER BY created_at DESC, id DESC LIMIT 100"""))
+  AND created_at >= TIMESTAMP '1995-01-01 00:00:00'"""))
 def search_fast_fields(spark, sf_dir):
     return S.filter_fast(v_document(spark, sf_dir), min_comments=3, max_comments=5, min_likes=40,
                          since=dt.datetime(1995, 1, 1))

@@ -37,12 +37,11 @@ def src_read_format(spark, sf_dir):
     return L.read_dataset(spark, f"{sf_dir}/orders.parquet", fmt="parquet")
 
 
-@register("src_json_inferred", with_views(["conv_comment"], """
-SELECT document_id AS id, gallery_id, title, CAST(count(*) AS INTEGER) AS n_comments
-FROM conv_comment GROUP BY document_id, gallery_id, title"""))
+@register("src_json_inferred", with_views(["conv_doc"], """
+SELECT document_id AS id, gallery_id, title, CAST(n_comments AS INTEGER) AS n_comments FROM conv_doc"""))
 def src_json_inferred(spark, sf_dir):
     df = L.read_json_lake(spark, _docs_json(spark, sf_dir))
-    return df.filter(F.size("comments") > 0).select("id", "gallery_id", "title", F.size("comments").alias("n_comments"))
+    return df.select("id", "gallery_id", "title", F.size("comments").alias("n_comments"))
 
 
 _COMMENT_TIMES = with_views(["conv_comment"], "SELECT document_id AS id, comment_id, created_at FROM conv_comment")

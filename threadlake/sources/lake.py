@@ -44,16 +44,15 @@ def read_partition(spark: SparkSession, root: str, date: str, hour: int | None =
                    schema: StructType | str | None = None) -> DataFrame:
     """One ``date=D`` (and optionally ``hour=H``) slice of a partitioned lake.
 
-    Reads the root with partition discovery and filters on the partition
-    columns, so only the matching directories are listed and scanned.
+    Only the directory of that date (and hour) is listed; without a schema it
+    alone is inferred from, so other days' files have no effect.
     """
     r = spark.read.format(fmt).option("basePath", root)
     if schema is not None:
         r = r.schema(schema)
-    df = r.load(root).where(F.col("date") == F.lit(date).cast("date"))
-    if hour is not None:
-        df = df.where(F.col("hour") == hour)
-    return df
+    df = r.load(f"{root.rstrip('/')}/date={date}" + (f"/hour={hour}" if hour is not None else ""))
+    df = df.where(F.col("date") == F.lit(date).cast("date"))
+    return df if hour is None else df.where(F.col("hour") == hour)
 
 
 def _files(df: DataFrame, files: int | None) -> DataFrame:

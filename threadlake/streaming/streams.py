@@ -48,31 +48,29 @@ def land_json(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", ava
     return _trigger(w, available_now, processing_time).start()
 
 
-PRUNE_MAX_PARTITIONS = 10_000
+def _exists(spark, path: str) -> bool:
+    """Whether the folder is there; any other fault of the file system is raised."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def present_keys(batch: DataFrame, target_path: str, keys: list[str], partition_by: list[str] | None = None,
                  target_format: str = "parquet") -> DataFrame:
-    """Keys already stored that a batch could collide with.
-
-    With ``partition_by`` (key columns the table is partitioned on) only the
-    directories of the partitions the batch touches are listed and read: the
-    batch's distinct values of the first partition column become a static
-    partition filter.  That value set is bounded by the table's partition
-    count, and it is plan input (like a dynamic-pruning broadcast), not data.
-    A batch touching more than ``PRUNE_MAX_PARTITIONS`` partitions reads
-    every key instead, which is the same answer.
+    """Keys already stored that a batch could collide with, typed like the batch's.
+
+    A table that does not exist yet holds no keys; one that cannot be read
+    fails the batch.  With ``partition_by`` (key columns the table is
+    partitioned on) only partitions the batch touches matter: the semi-join on
+    the first partition column lets dynamic partition pruning skip the others,
+    however many there are, without collecting anything.
     """
     spark = batch.sparkSession
-    try:
-        present = spark.read.format(target_format).load(target_path).select(*keys)
-    except Exception:  # noqa: BLE001 - first batch: the table does not exist yet
+    if not _exists(spark, target_path):
         return batch.select(*keys).limit(0)
+    present = spark.read.format(target_format).schema(batch.select(*keys).schema).load(target_path).select(*keys)
     if partition_by:
         part = partition_by[0]
-        touched = [r[0] for r in batch.select(part).distinct().limit(PRUNE_MAX_PARTITIONS + 1).collect()]
-        if len(touched) <= PRUNE_MAX_PARTITIONS:
-            present = present.filter(F.col(part).isin(touched))
+        present = present.join(batch.select(part).distinct(), part, "left_semi").select(*keys)
     return present
 
 
@@ -101,14 +99,17 @@ def stream_upsert(stream: DataFrame, target_path: str, keys: list[str], order: l
     return _trigger(w, available_now, processing_time).start()
 
 
-def dedupe(stream: DataFrame, keys: list[str], event_time: str, delay: str = "1 hour") -> DataFrame:
-    """Drop redelivered rows; state is bounded by the event-time watermark.
+def dedupe(stream: DataFrame, keys: list[str], event_time: str, target_path: str, checkpoint: str,
+           available_now: bool = False, processing_time: str | None = None) -> StreamingQuery:
+    """Every event once, however late it first arrives.
 
-    The watermark needs a TIMESTAMP (not TIMESTAMP_NTZ) column; wall-clock
-    NTZ times are read as UTC (the session time zone).
+    Insert-if-absent into a table partitioned on the event date: a redelivery
+    has the event time of its first delivery, so a batch looks up the dates it
+    touches only.  There is no watermark, so no first delivery is ever dropped.
     """
-    return (stream.withColumn("_event_time", F.col(event_time).cast("timestamp"))
-            .withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(keys).drop("_event_time"))
+    dated = stream.withColumn("event_date", F.date_format(event_time, "yyyy-MM-dd"))
+    return stream_upsert(dated, target_path, ["event_date", *keys], [event_time], checkpoint, available_now=available_now,
+                         processing_time=processing_time, partition_by=["event_date"])
 
 
 # ------------------------------------------------------------------ keyed crawl state
