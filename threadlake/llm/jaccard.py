@@ -416,7 +416,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 75) -> tuple[DataFrame,
     second = near_enough(long_lists(label, True).join(links.select("a", "b"), ["a", "b"], "left_anti"), "pairs-2")
     more = scratch.keep(_verify(spark, texts, second, k, pct), "links-2")
     links = links.unionByName(more)
-    label = scratch.keep(components(links, scratch, "all"), "labels")
+    # the labels stand for the links they were made of, and are stars already
+    stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    label = scratch.keep(components(stars.unionByName(more.select("a", "b")), scratch, "all"), "labels")
 
     x = seen.select("uid", "doc_id", "n", "sig").join(member.select("uid", "cls"), "uid", "left")
     x = x.join(label, x.cls == label.node, "left").select("uid", "doc_id", "n", "cls", F.coalesce("component", "cls").alias("comp"))
