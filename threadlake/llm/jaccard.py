@@ -405,15 +405,16 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 75) -> tuple[DataFrame,
         x = x.select("gram", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cls", "n", "comp", "blk", "bits")
         return x.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(_block_pairs(pct, every), "a long, b long")
 
-    def near_enough(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"sig_{s}"), F.col("th").alias(f"th_{s}"), F.col("bits").alias(f"bits_{s}"))
-        x = pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_bitmap_filter(pct), _PAIR)
-        return scratch.keep(x, name)
+    def sides(pairs: DataFrame, *more: str) -> DataFrame:
+        side = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "th", *more)])
+        return pairs.distinct().join(side("a"), "a").join(side("b"), "b")
 
-    first = near_enough(short.unionByName(long_lists(None, False)), "pairs-1")
+    first = sides(short.unionByName(long_lists(None, False)), "bits").mapInArrow(_bitmap_filter(pct), _PAIR)
+    first = scratch.keep(first, "pairs-1")
     links = scratch.keep(_verify(spark, texts, first, k, pct), "links-1")
     label = components(links, scratch, "near")
-    second = near_enough(long_lists(label, True).join(links.select("a", "b"), ["a", "b"], "left_anti"), "pairs-2")
+    # the blocks have compared the bitmaps of these
+    second = scratch.keep(sides(long_lists(label, True).join(links.select("a", "b"), ["a", "b"], "left_anti")), "pairs-2")
     more = scratch.keep(_verify(spark, texts, second, k, pct), "links-2")
     links = links.unionByName(more)
     # the labels stand for the links they were made of, and are stars already
