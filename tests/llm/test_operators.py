@@ -325,6 +325,23 @@ def test_fuzzy_passage(spark):
     assert set(found) == {1, 2} and found[1]["spans"] == "40:160" and found[2]["spans"] == "10:130" and found[1]["other_ids"] == [2]
 
 
+def test_header_and_footer_around_other_words(spark):
+    rng = random.Random(50)
+    texts = []
+    for body in (50, 100, 200):
+        for other in (body, 0):
+            head, foot = prose(rng, 60), prose(rng, 60)
+            texts += [head + prose(rng, body) + foot, head + prose(rng, other) + foot]
+    x = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, prose(rng, 200)])], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in passages.shared_passages(x).collect()}
+    assert set(found) == set(range(len(texts)))
+    for d, r in found.items():  # all of the shared words, next to none of the others
+        n = len(texts[d])
+        covered = {w for s in r.split(",") for w in range(*map(int, s.split(":")))}
+        shared = {*range(60), *range(n - 60, n)}
+        assert shared <= covered and len(covered - shared) <= 4
+
+
 def test_chain_prefers_collinear_anchors():
     best = passages.chain(np.array([0, 8, 16, 16, 24]), np.array([100, 108, 116, 3, 124]))[0]
     assert best[0].tolist() == [0, 8, 16, 24] and best[1].tolist() == [100, 108, 116, 124]
