@@ -342,6 +342,19 @@ def test_header_and_footer_around_other_words(spark):
         assert shared <= covered and len(covered - shared) <= 4
 
 
+def test_frequent_short_lines_are_no_passage(spark):
+    rng = random.Random(30)
+    lines = [prose(rng, 30) for _ in range(12)]
+    texts, used = [], set()
+    while len(texts) < 20:  # no two lines follow one another twice
+        o = rng.sample(range(12), 4)
+        if not used & (pairs := set(zip(o, o[1:]))):
+            used |= pairs
+            texts.append(" ".join(w for i in o for w in lines[i]))
+    x = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert passages.shared_passages(x).collect() == []
+
+
 def test_chain_prefers_collinear_anchors():
     best = passages.chain(np.array([0, 8, 16, 16, 24]), np.array([100, 108, 116, 3, 124]))[0]
     assert best[0].tolist() == [0, 8, 16, 24] and best[1].tolist() == [100, 108, 116, 124]
