@@ -355,6 +355,20 @@ def test_frequent_short_lines_are_no_passage(spark):
     assert passages.shared_passages(x).collect() == []
 
 
+def test_passages_of_frequent_lines_against_brute_force(spark):
+    rng = random.Random(70)
+    lines = [prose(rng, rng.randrange(20, 36)) for _ in range(15)]
+    texts = [[w for _ in range(rng.randrange(2, 6)) for w in rng.choice(lines)] for _ in range(120)]
+    x = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    grams: dict[tuple, set] = {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            grams.setdefault(tuple(w.lower() for w in t[i:i + 50]), set()).add(d)
+    want = {d: {j for i in range(len(t) - 49) if len(grams[tuple(w.lower() for w in t[i:i + 50])]) > 1 for j in range(i, i + 50)} for d, t in enumerate(texts)}
+    found = {r["doc_id"]: {w for s in r["spans"].split(",") for w in range(*map(int, s.split(":")))} for r in passages.shared_passages(x).collect()}
+    assert {d: w - found.get(d, set()) for d, w in want.items() if w - found.get(d, set())} == {}
+
+
 def test_chain_prefers_collinear_anchors():
     best = passages.chain(np.array([0, 8, 16, 16, 24]), np.array([100, 108, 116, 3, 124]))[0]
     assert best[0].tolist() == [0, 8, 16, 24] and best[1].tolist() == [100, 108, 116, 124]
