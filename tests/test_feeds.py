@@ -83,3 +83,22 @@ def test_page_counts_match_decoded_rows(spark):
     got = {tuple(r[:3]): r[3] for r in FD.page_counts(feeds).collect()}
     assert {k: v for k, v in got.items() if v} == want
     assert got[("mg", 1, 2)] == 0 and got[("mg", 1, 3)] == 0 and got[("mg", 2, 1)] == 0
+
+
+def test_max_page_of_pages_without_comments_and_broken_ones(spark, monkeypatch):
+    from threadlake.plans import q_feeds
+
+    bodies = [
+        json.dumps({"comments": ROWS, "pagination": "<em>1</em><a>4</a>"}),
+        json.dumps({"comments": [], "pagination": "<em>3</em>"}),
+        json.dumps({"comments": None, "pagination": "<a>2</a>"}),
+        json.dumps({"pagination": "<a>5</a>"}),
+        json.dumps({"comments": ROWS}),
+        "<html>", None,
+        json.dumps({"comments": [dict(ROWS[0], depth="deep")], "pagination": "<a>1</a>"}),
+    ]
+    feeds = spark.createDataFrame([("mg", 1, i, b) for i, b in enumerate(bodies)], "gallery_id string, document_id long, page int, body string")
+    out = {r.page: (r.max_page, r.error) for r in FD.page_limits(feeds).collect()}
+    assert out == {0: (4, None), 1: (3, None), 2: (2, None), 3: (5, None), 4: (0, None), 5: (None, "body"), 6: (None, "body"), 7: (None, "comments")}
+    monkeypatch.setattr(q_feeds, "v_feed", lambda *_: feeds)
+    assert {r.page: r.max_page for r in q_feeds.agg_max_page(spark, "").collect()} == {p: m for p, (m, _) in out.items()}

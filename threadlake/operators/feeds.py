@@ -45,6 +45,21 @@ def decode_feed(feeds: DataFrame, body: str = "body") -> DataFrame:
     return j.select(*keep, "max_page", F.posexplode("_c").alias("pos", "c"))
 
 
+def page_limits(feeds: DataFrame, body: str = "body") -> DataFrame:
+    """One row per feed page, whether it has comments or not: its ``max_page``, or the ``error`` of a page that can't be read.
+
+    ``max_page`` is 0 without ``pagination``.  An unreadable page has a NULL
+    ``max_page``, and ``error`` names what failed: ``body`` (no JSON object) or
+    ``comments`` (a value of a wrong type).
+    """
+    # an option of its own keeps the schema from being pruned to the fields read, so that every field is checked
+    j = F.from_json(F.col(body), f"{FEED_SCHEMA[:-1]}, _corrupt_record: string>", {"mode": "PERMISSIVE"})
+    keep = [c for c in feeds.columns if c != body]
+    x = feeds.withColumn("_j", j).withColumn("_o", F.from_json(F.col(body), "map<string,string>"))
+    error = F.when(F.col("_o").isNull(), "body").when(F.col("_j._corrupt_record").isNotNull(), "comments")
+    return x.withColumn("error", error).select(*keep, F.when(F.col("error").isNull(), max_page(F.col("_j.pagination"))).alias("max_page"), "error")
+
+
 def fill_parents(rows: DataFrame, keys=("gallery_id", "document_id", "page")) -> DataFrame:
     """``parent_id`` = the last root comment (depth 0, id > 0) above on the same page.
 

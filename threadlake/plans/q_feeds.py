@@ -57,4 +57,5 @@ def win_feed_order(spark, sf_dir):
 @register("agg_max_page", with_views(["feed_rows"], """
 SELECT DISTINCT document_id, page, CAST(n_pages AS BIGINT) AS max_page FROM feed_rows"""))
 def agg_max_page(spark, sf_dir):
-    return _rows(spark, sf_dir).select("document_id", "page", "max_page").distinct()
+    # from the pages, so that those without comments count too
+    return FD.page_limits(v_feed(spark, sf_dir)).select("document_id", "page", "max_page").distinct()
