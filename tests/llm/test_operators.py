@@ -359,6 +359,14 @@ def test_passages_of_frequent_lines_against_brute_force(spark):
     rng = random.Random(70)
     lines = [prose(rng, rng.randrange(20, 36)) for _ in range(15)]
     texts = [[w for _ in range(rng.randrange(2, 6)) for w in rng.choice(lines)] for _ in range(120)]
+    # and other texts, in which chains leave the diagonal of a repeat
+    rng = random.Random(1)
+
+    def other(n: int) -> list[str]:
+        return [f"w{rng.randrange(3000)}" for _ in range(n)]
+
+    lines = [other(rng.randrange(8, 40)) for _ in range(30)]
+    texts += [[w for _ in range(rng.randrange(2, 12)) for w in (rng.choice(lines) if rng.random() < 0.85 else other(rng.randrange(5, 30)))] for _ in range(500)]
     x = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     grams: dict[tuple, set] = {}
     for d, t in enumerate(texts):
