@@ -9,10 +9,10 @@ from threadlake.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_has_a_row_per_row(spark, name):
     df = queries.queries()[name](spark, SF_SMALL)
-    source = "pages" if name.startswith("op5_") else "documents"
+    source, key = {"op5": ("pages", "page_id"), "op11": ("embeddings", "vec_id"), "op12": ("documents", "phrase")}.get(name.split("_")[0], ("documents", "doc_id"))
     n = spark.read.parquet(f"{SF_SMALL}/{source}.parquet").count()
-    assert df.count() == n or name.startswith("op9_")
-    assert ("page_id" if source == "pages" else "doc_id") in df.columns
+    assert df.count() == n or name.startswith(("op9_", "op12_"))
+    assert key in df.columns
 
 
 def test_pipeline_stages(spark):

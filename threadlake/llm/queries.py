@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlake.llm import counts, jaccard, mixing, passages, phrases, rules, secrets, tokens, toxicity, warc
+from threadlake.llm import collocations, counts, jaccard, mixing, passages, phrases, pivots, rules, secrets, sql, tokens, toxicity, triebpe, warc
 from threadlake.llm.registry import ORACLES, QUERIES, Query, register, table
 
 
@@ -84,6 +84,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@register("op11_centroid_clustering", sql.CENTROIDS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen centroids after three exact rounds, from the pivot table."""
+    found = pivots.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@register("op12_phrase_collocations", sql.COLLOCATIONS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each language, from FM-indexes of shards."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@register("op13_bpe_codec")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded by the trie of its words."""
+    return triebpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
