@@ -67,38 +67,69 @@ def test_hot_document_feed_order_matches_row_number(spark):
     assert "hashpartitioning(gallery_id#" in p and "page#" in p
 
 
-def test_page_counts_match_decoded_rows(spark):
-    # a page per case: comments with a pager, comments without a pager (no rows),
-    # an empty comment list, malformed JSON and a bad depth type
-    pages = [
-        ("mg", 1, 1, json.dumps({"comments": ROWS, "pagination": "<em>1</em>"})),
-        ("mg", 1, 2, json.dumps({"comments": ROWS[:3]})),
-        ("mg", 1, 3, json.dumps({"comments": [], "pagination": "<em>3</em>"})),
-        ("mg", 2, 1, "{not json"),
-        ("mg", 2, 2, json.dumps({"comments": [dict(ROWS[0], depth="deep")] + ROWS[1:2], "pagination": "<a>1</a>"})),
-    ]
-    feeds = spark.createDataFrame(pages, "gallery_id string, document_id long, page int, body string")
-    keys = ["gallery_id", "document_id", "page"]
-    want = {tuple(r[:3]): r[3] for r in FD.decode_feed(feeds).groupBy(*keys).count().collect()}
-    got = {tuple(r[:3]): r[3] for r in FD.page_counts(feeds).collect()}
-    assert {k: v for k, v in got.items() if v} == want
-    assert got[("mg", 1, 2)] == 0 and got[("mg", 1, 3)] == 0 and got[("mg", 2, 1)] == 0
-
-
-def test_max_page_of_pages_without_comments_and_broken_ones(spark, monkeypatch):
+def body(*rows, **more):
+    return json.dumps({"comments": list(rows)} | more)
+
+
+def first(**change):
+    return {k: v for k, v in (ROWS[0] | change).items() if v is not ...}
+
+
+BODIES = [  # body, max_page, number of comments, error
+    (json.dumps({"comments": ROWS, "pagination": "<em>1</em><a>4</a>"}), 4, len(ROWS), None),
+    (body(pagination="<em>3</em>"), 3, 0, None),
+    (json.dumps({"comments": None, "pagination": "<a>2</a>"}), 2, 0, None),
+    (json.dumps({"pagination": "<a>5</a>"}), 5, 0, None),
+    (json.dumps({"comments": ROWS, "pagination": None}), 0, 0, None),
+    (json.dumps({"comments": ROWS}), 0, 0, None),
+    (body(first(extra=[1], user_id=..., ip=..., reg_date=...), pagination=""), 0, 1, None),
+    ("{}", 0, 0, None),
+    ("<html>", None, 0, "body"), (None, None, 0, "body"), ("", None, 0, "body"), ("[]", None, 0, "body"), ("7", None, 0, "body"), ('{"comments":[', None, 0, "body"),
+    (json.dumps({"comments": {"no": 1}, "pagination": ""}), None, 0, "comments"),
+    (json.dumps({"comments": "x"}), None, 0, "comments"),
+    (body(first(), 3, pagination=""), None, 0, "comments[1]"),
+    (body(first(depth="deep"), pagination="<a>1</a>"), None, 0, "comments[0].depth"),
+    (body(first(), first(), first(depth=-1), first(no="x")), None, 0, "comments[2].depth"),
+    (body(first(depth=1.5)), None, 0, "comments[0].depth"),
+    (body(first(no="12x")), None, 0, "comments[0].no"), (body(first(no=-3)), None, 0, "comments[0].no"), (body(first(no=None)), None, 0, "comments[0].no"),
+    (body(first(no="9223372036854775808")), None, 0, "comments[0].no"), (body(first(no=2**70)), None, 0, "comments[0].no"),
+    (body(first(no=..., name=...)), None, 0, "comments[0].no"),
+    (body(first(name=...)), None, 0, "comments[0].name"), (body(first(name=None)), None, 0, "comments[0].name"),
+    (body(first(memo=5)), None, 0, "comments[0].memo"), (body(first(user_id=None)), None, 0, "comments[0].user_id"),
+    (body(first(ip=1)), None, 0, "comments[0].ip"), (body(first(reg_date=None)), None, 0, "comments[0].reg_date"), (body(first(comment_date=1)), None, 0, "comments[0].comment_date"),
+    (body(first(), pagination=3), None, 0, "pagination"), (body(pagination=["<a>1</a>"]), None, 0, "pagination"),
+]
+
+
+def test_every_page_is_read_or_has_its_first_failing_field(spark):
+    feeds = spark.createDataFrame([("mg", 1, i, b[0]) for i, b in enumerate(BODIES)], "gallery_id string, document_id long, page int, body string")
+    got = {r.page: (r.max_page, r.error) for r in FD.page_limits(feeds).collect()}
+    assert got == {i: (m, e) for i, (_, m, _, e) in enumerate(BODIES)}
+    rows = FD.comment_rows(feeds, AS_OF).collect()
+    for i, (_, m, n, e) in enumerate(BODIES):
+        mine = [r for r in rows if r.page == i]
+        if e:
+            assert [(r.error, r.pos, r.id, r.user_kind, r.kind, r.feed_order, r.max_page) for r in mine] == [(e, None, None, None, None, None, None)]
+        else:
+            assert len(mine) == n and all(r.error is None and r.max_page == m for r in mine)
+    assert {r.page: r.error for r in FD.feed_errors(feeds).collect()} == {i: e for i, (_, _, _, e) in enumerate(BODIES) if e}
+    # broken and empty pages don't disturb the order of the others
+    order = sorted((r for r in rows if not r.error), key=lambda r: r.feed_order)
+    assert [r.feed_order for r in order] == list(range(1, len(order) + 1)) and [r.page for r in order] == sorted((r.page for r in order), reverse=True)
+    assert FD.comment_rows(feeds.limit(0), AS_OF).collect() == []
+
+
+def test_feed_is_scanned_and_parsed_once(spark, tmp_path):
+    spark.createDataFrame([("mg", 1, i, b[0]) for i, b in enumerate(BODIES)], "gallery_id string, document_id long, page int, body string").write.parquet(f"{tmp_path}/feeds")
+    df = FD.comment_rows(spark.read.parquet(f"{tmp_path}/feeds"), AS_OF)
+    df.write.format("noop").mode("overwrite").save()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert p.count("Scan parquet") == 1 and p.count("Exchange hashpartitioning") == 1 and "Join" not in p
+
+
+def test_max_page_query_keeps_broken_pages(spark, monkeypatch):
     from threadlake.plans import q_feeds
 
-    bodies = [
-        json.dumps({"comments": ROWS, "pagination": "<em>1</em><a>4</a>"}),
-        json.dumps({"comments": [], "pagination": "<em>3</em>"}),
-        json.dumps({"comments": None, "pagination": "<a>2</a>"}),
-        json.dumps({"pagination": "<a>5</a>"}),
-        json.dumps({"comments": ROWS}),
-        "<html>", None,
-        json.dumps({"comments": [dict(ROWS[0], depth="deep")], "pagination": "<a>1</a>"}),
-    ]
-    feeds = spark.createDataFrame([("mg", 1, i, b) for i, b in enumerate(bodies)], "gallery_id string, document_id long, page int, body string")
-    out = {r.page: (r.max_page, r.error) for r in FD.page_limits(feeds).collect()}
-    assert out == {0: (4, None), 1: (3, None), 2: (2, None), 3: (5, None), 4: (0, None), 5: (None, "body"), 6: (None, "body"), 7: (None, "comments")}
+    feeds = spark.createDataFrame([("mg", 1, i, b[0]) for i, b in enumerate(BODIES)], "gallery_id string, document_id long, page int, body string")
     monkeypatch.setattr(q_feeds, "v_feed", lambda *_: feeds)
-    assert {r.page: r.max_page for r in q_feeds.agg_max_page(spark, "").collect()} == {p: m for p, (m, _) in out.items()}
+    assert {r.page: r.max_page for r in q_feeds.agg_max_page(spark, "").collect()} == {i: b[1] for i, b in enumerate(BODIES)}

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from threadlake.functions import html as H
 from threadlake.functions.parse import parse_comment_time
 from threadlake.operators import ingest as I
 from threadlake.operators import pages as PG
@@ -44,10 +45,45 @@ def test_list_page_rows_and_errors(spark):
     assert out[(2, None)].error == "AdultPage"
 
 
-def test_extract_body_missing_is_an_error_row(spark):
-    pages = spark.createDataFrame([(1, "<article><p>x</p></article>"), (2, "<div>none</div>")], "page_id long, html string")
+def test_list_rows_by_exact_class_quoting_and_references(spark):
+    odd = ("<TR data-x=' class=\"us-post\" > ' Class = 'ub-content\tus-post'><td class=gall_num>5</td>"
+           "<td class='gall_tit'><b>no link here</b><a href='?a=1&amp;b'>x &#60;&#x62;&gt; &eacute;&hellip; &copy 5 &nosuch; <!-- <a>no</a> --><i>in</i></a><table><tr><td>deep</td></tr></table></td>"
+           "<td class='gall_subject'>s<br>t</td><td data-nick='a&quot;b' class='gall_writer' data-ip=1.2 data-uid></td>"
+           "<td class='gall_date' title = '2021-01-02 09:00:00'></td><td class='gall_count'>7</td><td class='gall_recommend'>+8</td></TR>")
+    decoys = ("<tr class='us-post-x'><td class='gall_num'>1</td></tr><!-- <tr class='us-post'></tr> --><script>var t=\"<tr class='us-post'>\";</script>"
+              "<tr class='xus-post'></tr><tr title='class=us-post'></tr>")
+    short = "<div class='us-post'><span class='gall_num'>6</span></div><p class='gall_tit'><a>outside of the row</a></p>"
+    pages = spark.createDataFrame([("g", 1, decoys + odd + decoys + short), ("g", 2, decoys), ("g", 3, ""), ("g", 4, None)], "gallery_id string, page_no long, html string")
+    out = {(r.page_no, r.row_pos): r for r in PG.parse_list_pages(pages).collect()}
+    assert set(out) == {(1, 0), (1, 1)}
+    r = out[1, 0]
+    assert (r.id, r.title, r.subject, r.author_nickname, r.author_ip, r.author_id, r.author_kind, r.comment_count, r.like_count, r.view_count, r.created_at, r.error) == (
+        5, "x <b> é… © 5 &nosuch; in", "st", 'a"b', "1.2", None, "dynamic", 0, 8, 7, dt.datetime(2021, 1, 2), None)
+    assert out[1, 1].error == "Select .us-post .gall_tit"
+
+
+def test_body_of_class_with_nested_void_and_open_elements(spark):
+    cases = [
+        ('t<div class="a  write_div b">1<div>2<br><img src=\'>\'>3</div><p>4<!-- </div> --><script>if(a<b)\'</div>\'</script></div>5',
+         "1<div>2<br><img src='>'>3</div><p>4<!-- </div> --><script>if(a<b)'</div>'</script>"),
+        ("<p class=write_div>x<b>y</p>z", "x<b>y"), ("<br class='write_div'>q", ""), ("<div class='write_div'>open<i>", "open<i>"),
+        ("<DIV data-x=' class=\"write_div\" ' CLASS='no'>n</DIV><div\nclass = 'q\twrite_div'\n>ok</div>", "ok"), ("a < b <div class='write_div'>c < d</div>", "c < d"),
+        ("<div class='write_div'>1</div><div class='write_div'>2</div>", "1"), ("<div class=write_div></div >x</div>", ""),
+        ("<div class='write_div-x'>a</div>", None), ("<div title='write_div'>a</div>", None), ("<!-- <div class='write_div'> -->", None), ("", None), (None, None),
+        ("<div class='write_div'>" + "<div>x</div>" * 20_000 + "</div>", "<div>x</div>" * 20_000),
+    ]
+    pages = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "page_id long, html string")
     got = {r.page_id: (r.body, r.error) for r in PG.extract_body(pages).collect()}
-    assert got == {1: ("<p>x</p>", None), 2: ("", "Select article")}
+    assert got == {i: (b, None if b is not None else "Select .write_div") for i, (_, b) in enumerate(cases)}
+
+
+def test_references_as_the_standard_library_decodes_them(spark):
+    import html
+
+    cases = ["a &amp; b", "&lt;&#39;&#x41;&#65;&copy;&notit;&nosuch;&", "&amp", "&ampx", "&#0;&#xD800;&#x110000;&#99999999999;&#128;&#x9f;", "plain", "&NotEqualTilde;&hellip;",
+             "&#x1F600;&#128512", "AT&T", "&#xZ;", "&;", "&eacute;&eacute é", "&#00000065;", ""]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, s string")
+    assert {r.i: r.d for r in df.select("i", H.decode_entities("s").alias("d")).collect()} == {i: html.unescape(c) for i, c in enumerate(cases)}
 
 
 def test_year_rollback(spark):

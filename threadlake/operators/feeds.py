@@ -1,26 +1,26 @@
-"""Comment feeds (JSON pages) -> comment rows with kinds, times and parents.
+"""Comment feeds (JSON pages) -> comment rows with kinds, times and parents, or one error row per unreadable page.
 
 Each feed row is one fetched page ``(gallery_id, document_id, page, body)``.
-Decoding is ``from_json`` with a fixed schema (ids may come as numbers or
-strings and are read as text, then cast); the parent of a reply is the last
-root comment above it *on the same page* (a forward fill with a ROWS window
-partitioned by document and page, so one page is the largest group).
-Rows are partitioned by ``(gallery, document, page)`` once; the feed order
-across pages comes from one count per page.
+A body is parsed once, into a VARIANT, and its values are checked against the
+feed's types; the first that fails is the page's error.  Pages are exchanged
+once, by document, while they are one row each: the order across pages is a
+running sum of their sizes there.  The parent of a reply is the last root
+comment above it *on the same page* (a forward fill with a ROWS window
+partitioned by page, on the same exchange).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.classify import blank_to_null, comment_kind, user_kind
-from threadlake.functions.parse import flex_id, parse_comment_time
+from threadlake.functions.parse import UINT_RE, flex_id, parse_comment_time
 
-FEED_SCHEMA = (
-    "struct<comments: array<struct<no: string, user_id: string, ip: string, name: string, depth: bigint,"
-    " memo: string, reg_date: string, comment_date: string>>, pagination: string>"
-)
+COMMENT_TYPE = "struct<no: string, user_id: string, ip: string, name: string, depth: bigint, memo: string, reg_date: string, comment_date: string>"
+# Fixed values that must equal the reference's behaviour: fields of a comment that may not be missing.
+REQUIRED_FIELDS = ("no", "name", "depth", "memo")
+TEXT_FIELDS = ("user_id", "ip", "name", "memo", "reg_date", "comment_date")
 PAGER_RE = r"<(?:em|a)[^>]*>([^<]*)</(?:em|a)>"
 
 
@@ -32,32 +32,77 @@ def max_page(pagination) -> F.Column:
     return F.coalesce(F.array_max(nums), F.lit(0).cast("long"))
 
 
-def decode_feed(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """Feed pages -> one row per comment with its position on the page.
+def _comment_error(c: Column) -> Column:
+    """The first field of a comment (a variant) that is missing or of a wrong type; NULL for a good one."""
+    def get(name: str) -> Column:
+        return F.variant_get(c, f"$.{name}", "variant")
+
+    def number(v: Column) -> Column:
+        return (F.schema_of_variant(v) == "BIGINT") & (F.try_variant_get(v, "$", "bigint") >= 0)
+
+    no, text = get("no"), F.try_variant_get(c, "$.no", "string")
+    good = {name: F.schema_of_variant(get(name)) == "STRING" for name in TEXT_FIELDS} | {
+        "no": number(no) | ((F.schema_of_variant(no) == "STRING") & text.rlike(UINT_RE) & text.try_cast("long").isNotNull()),
+        "depth": number(get("depth"))}
+    order = ("no", "user_id", "ip", "name", "depth", "memo", "reg_date", "comment_date")
+    # a comparison with a missing field is NULL
+    checks = [F.when(~F.coalesce(good[name], F.lit(name not in REQUIRED_FIELDS)), name) for name in order]
+    is_object = F.try_variant_get(c, "$", "map<string,variant>").isNotNull()
+    return F.when(~is_object, F.lit("")).otherwise(F.coalesce(*checks))
+
 
-    A page without ``pagination`` carries no comments.
+def read_feed(feeds: DataFrame, body: str = "body") -> DataFrame:
+    """One row per feed page: the other columns, ``max_page``, ``comments`` (array) and ``error``.
+
+    ``error`` is NULL, or names what could not be read first: ``body`` (no JSON
+    object), ``comments`` or ``pagination`` (of a wrong type), or the first
+    comment that fails with its field, such as ``comments[3].depth``.  An
+    unreadable page has no ``max_page`` and no comments.  A page without
+    ``pagination`` has ``max_page`` 0 and no comments; ``comments`` may be
+    missing or null.  Ids (``no``) are integers or texts of digits, up to 2^63 - 1.
     """
-    j = feeds.withColumn("_j", F.from_json(F.col(body), FEED_SCHEMA))
     keep = [c for c in feeds.columns if c != body]
-    # page-level values are computed once per page, before the comments are exploded
-    j = j.select(*keep, max_page(F.col("_j.pagination")).alias("max_page"),
-                 F.when(F.col("_j.pagination").isNotNull(), F.col("_j.comments")).alias("_c"))
-    return j.select(*keep, "max_page", F.posexplode("_c").alias("pos", "c"))
+    v = feeds.select(*keep, F.try_parse_json(body).alias("_v"))
+
+    def has(name: str) -> Column:  # there and not null
+        x = F.try_variant_get("_v", f"$.{name}", "variant")
+        return F.coalesce(x.isNotNull() & ~F.is_variant_null(x), F.lit(False))
+
+    v = v.select(*keep, "_v", F.try_variant_get("_v", "$", "map<string,variant>").isNotNull().alias("_object"),
+                 F.try_variant_get("_v", "$.comments", "array<variant>").alias("_list"), has("comments").alias("_listed"),
+                 has("pagination").alias("_paged"), F.schema_of_variant(F.try_variant_get("_v", "$.pagination", "variant")).alias("_pager"))
+    wrong = F.filter(F.transform("_list", lambda c, i: F.concat(F.lit("comments["), i.cast("string"), F.lit("]"), F.when(_comment_error(c) == "", "").otherwise(F.concat(F.lit("."), _comment_error(c))))),
+                     lambda e: e.isNotNull())
+    error = (F.when(~F.coalesce(F.col("_object"), F.lit(False)), "body").when(F.col("_listed") & F.col("_list").isNull(), "comments")
+             .otherwise(F.coalesce(F.get(wrong, F.lit(0)), F.when(F.col("_paged") & (F.col("_pager") != "STRING"), "pagination"))))
+    v = v.withColumn("error", error)
+    good = F.col("error").isNull()
+    return v.select(*keep, F.when(good, max_page(F.try_variant_get("_v", "$.pagination", "string"))).alias("max_page"),
+                    F.when(good & F.col("_paged"), F.try_variant_get("_v", "$.comments", f"array<{COMMENT_TYPE}>")).alias("comments"), "error")
+
+
+def decode_feed(feeds: DataFrame, body: str = "body") -> DataFrame:
+    """Feed pages -> one row per comment (``pos``, ``c``), and one with an ``error`` and no ``pos`` per unreadable page."""
+    return explode_feed(read_feed(feeds, body))
+
+
+def explode_feed(pages: DataFrame) -> DataFrame:
+    """What :func:`read_feed` gives, one row per comment or unreadable page."""
+    keep = [c for c in pages.columns if c != "comments"]
+    bad = F.col("error").isNotNull()
+    rows = F.when(bad, F.array(F.lit(None).cast(COMMENT_TYPE))).otherwise(F.coalesce("comments", F.array().cast(f"array<{COMMENT_TYPE}>")))
+    x = pages.select(*keep, F.posexplode(rows).alias("pos", "c"))
+    return x.withColumn("pos", F.when(F.col("error").isNull(), F.col("pos")))
 
 
 def page_limits(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """One row per feed page, whether it has comments or not: its ``max_page``, or the ``error`` of a page that can't be read.
+    """One row per feed page, whether it has comments or not: its ``max_page``, or the ``error`` of a page that can't be read (:func:`read_feed`)."""
+    return read_feed(feeds, body).drop("comments")
 
-    ``max_page`` is 0 without ``pagination``.  An unreadable page has a NULL
-    ``max_page``, and ``error`` names what failed: ``body`` (no JSON object) or
-    ``comments`` (a value of a wrong type).
-    """
-    # an option of its own keeps the schema from being pruned to the fields read, so that every field is checked
-    j = F.from_json(F.col(body), f"{FEED_SCHEMA[:-1]}, _corrupt_record: string>", {"mode": "PERMISSIVE"})
-    keep = [c for c in feeds.columns if c != body]
-    x = feeds.withColumn("_j", j).withColumn("_o", F.from_json(F.col(body), "map<string,string>"))
-    error = F.when(F.col("_o").isNull(), "body").when(F.col("_j._corrupt_record").isNotNull(), "comments")
-    return x.withColumn("error", error).select(*keep, F.when(F.col("error").isNull(), max_page(F.col("_j.pagination"))).alias("max_page"), "error")
+
+def feed_errors(feeds: DataFrame, body: str = "body") -> DataFrame:
+    """The unreadable pages of feeds with what failed: the other columns, ``error``."""
+    return page_limits(feeds, body).where("error is not null").drop("max_page")
 
 
 def fill_parents(rows: DataFrame, keys=("gallery_id", "document_id", "page")) -> DataFrame:
@@ -74,62 +119,52 @@ def fill_parents(rows: DataFrame, keys=("gallery_id", "document_id", "page")) ->
                            .when(last_root > 0, last_root).cast("long"))
 
 
-def page_counts(feeds: DataFrame, body: str = "body", keys=("gallery_id", "document_id"),
-                page: str = "page") -> DataFrame:
-    """``(keys, page, _n)``: how many comment rows ``decode_feed`` emits for each page.
-
-    Read from the compact pages with the same schema as ``decode_feed`` (so a
-    page counts exactly the rows it decodes to), taking the comment array's
-    length without exploding it; only one small row per page is shuffled for
-    the cross-page offsets, never the page bodies.
-    """
-    j = F.from_json(F.col(body), FEED_SCHEMA)
-    n = F.when(j["pagination"].isNotNull() & j["comments"].isNotNull(), F.size(j["comments"])).otherwise(0)
-    return feeds.groupBy(*keys, page).agg(F.sum(n.cast("long")).alias("_n"))
-
-
-def feed_order(rows: DataFrame, keys=("gallery_id", "document_id"), page: str = "page",
-               pages: DataFrame | None = None) -> DataFrame:
+def feed_order(rows: DataFrame, keys=("gallery_id", "document_id"), page: str = "page") -> DataFrame:
     """Order of the assembled feed: highest page first, page order kept inside.
 
-    ``row_number`` over the document, computed per page: the rank inside the
-    page plus the number of rows on the document's later pages.  The rows
-    stay partitioned by page (a hot document spreads over its pages); only
-    one count per page crosses pages, in a window over the page summaries.
-    ``pages`` (``keys, page, _n``) gives those counts when the caller has them
-    from the compact pages (``page_counts``); else they are counted from ``rows``.
+    For rows that are no pages any more (see :func:`page_offsets`): the rank
+    inside the page plus the number of rows on the document's later pages, from
+    one count per page.
     """
     keys = list(keys)
     in_page = Window.partitionBy(*keys, page).orderBy(F.col("pos").asc())
     rows = rows.withColumn("_rank", F.row_number().over(in_page))
-    if pages is None:
-        pages = rows.groupBy(*keys, page).agg(F.count(F.lit(1)).alias("_n"))
+    pages = rows.groupBy(*keys, page).agg(F.count(F.lit(1)).alias("_n"))
     later = Window.partitionBy(*keys).orderBy(F.col(page).desc()).rowsBetween(Window.unboundedPreceding, -1)
     pages = pages.select(*keys, page, F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_offset"))
     out = rows.join(pages, [*keys, page], "left")
     return out.withColumn("feed_order", (F.col("_offset") + F.col("_rank")).cast("int")).drop("_rank", "_offset")
 
 
+def page_offsets(pages: DataFrame, keys=("gallery_id", "document_id"), page: str = "page") -> DataFrame:
+    """Read pages with ``offset``: the comments on the document's later pages (a page fetched twice: of the other copies before it too).
+
+    A running sum over the pages of a document, which are one row each here.
+    """
+    later = Window.partitionBy(*keys).orderBy(F.col(page).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return pages.withColumn("offset", F.coalesce(F.sum(F.coalesce(F.size("comments"), F.lit(0))).over(later), F.lit(0)))
+
+
 def comment_rows(feeds: DataFrame, as_of, body: str = "body") -> DataFrame:
-    """The comment-feed job: decoded, classified, timed and parented comments.
-
-    The fetched pages are hash-partitioned once by ``(gallery, document,
-    page)`` while still compact (one row per page).  The parent fill and the
-    in-page rank run on that partitioning, so a hot document spreads over
-    its pages.  The per-page counts come from the unshuffled pages
-    (``page_counts``): that branch reads the pages again but shuffles only one
-    small row per page, so the page bodies cross the network once.
+    """The comment-feed job: decoded, classified, timed and parented comments, and an error row per unreadable page.
+
+    Pages are read, then exchanged once by document.  A document has at most
+    the pages that a crawl fetches (fewer than 1,000).  On that partitioning
+    the running sum of page sizes gives the feed's order, and the parents are
+    filled per page.  No page is scanned or parsed twice.
     """
-    # by columns only, so AQE sizes (coalesces) the partitions by bytes
-    d = decode_feed(feeds.repartition("gallery_id", "document_id", "page"), body)
+    pages = page_offsets(read_feed(feeds, body))
+    d = explode_feed(pages)
     c = F.col("c")
     uid, ip = c["user_id"], c["ip"]
+    good = F.col("error").isNull()
     rows = d.select(
         "gallery_id", "document_id", "page", "pos", "max_page",
         flex_id(c["no"]).alias("id"),
         blank_to_null(uid).alias("author_id"), blank_to_null(ip).alias("author_ip"),
-        c["name"].alias("nickname"), user_kind(uid, ip).alias("user_kind"),
-        c["depth"].alias("depth"), c["memo"].alias("contents"), comment_kind(c["memo"]).alias("kind"),
+        c["name"].alias("nickname"), F.when(good, user_kind(uid, ip)).alias("user_kind"),
+        c["depth"].alias("depth"), c["memo"].alias("contents"), F.when(good, comment_kind(c["memo"])).alias("kind"),
         parse_comment_time(F.coalesce(blank_to_null(c["reg_date"]), c["comment_date"]), as_of).alias("created_at"),
+        (F.col("offset") + F.col("pos") + 1).cast("int").alias("feed_order"), "error",
     )
-    return feed_order(fill_parents(rows), pages=page_counts(feeds, body))
+    return fill_parents(rows)

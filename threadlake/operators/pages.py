@@ -1,21 +1,23 @@
 """Crawled page extraction.
 
-Two paths:
-
-* ``extract_pages`` / ``extract_body``: Spark SQL regex extraction of page
-  state, title, heading, links and article text (no Python per row).
-* ``parse_list_page``: the board list-page row parser (class selectors such
-  as ``us-post`` and ``gall_num``) as a ``mapInPandas`` step on the stdlib
-  HTML parser, for markup a regex cannot walk.  Each page is parsed inside
-  its own task; a page that fails becomes an error row, never a failed job.
+* ``extract_pages``: page state, title, heading, links and article text.
+* ``extract_body``: inner HTML of the first element of a class.
+* ``parse_list_pages``: the rows of board list pages (class selectors such as
+  ``us-post`` and ``gall_num``) with their fields, or the first failing path.
+
+The last two read elements (``functions.html``): a page, or a row of one, is
+cut into its tags once, and every selector looks at that array.  A page or row
+that can't be read becomes an error row, never a failed job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.functions.classify import PAGE_STATE_TO_ERROR, page_state
+from threadlake.functions import html as H
+from threadlake.functions.classify import PAGE_STATE_TO_ERROR, blank_to_null, doc_kind, page_state, user_kind
+from threadlake.functions.parse import UINT_RE, bracket_int, parse_kst, strict_int
 
 TITLE_RE = r"<title>(.*?)</title>"
 H1_RE = r"<h1>(.*?)</h1>"
@@ -41,14 +43,18 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
-def extract_body(pages: DataFrame, tag: str = "article", html: str = "html") -> DataFrame:
-    """Inner HTML of the first ``<tag>`` element; missing -> error row."""
-    pat = rf"(?s)<{tag}>(.*?)</{tag}>"
-    found = F.col(html).rlike(pat)
-    return pages.select(
+def extract_body(pages: DataFrame, cls: str = "write_div", html: str = "html") -> DataFrame:
+    """Inner HTML of the first element of class ``cls``, nested elements included; without one (or without a page) an error row.
+
+    An element without its closing tag reaches to the end of the page.
+    """
+    els = pages.select("page_id", H.elements(html).alias("_e"))
+    at = els.select("page_id", "_e", H.first_of_class(H.class_lines("_e"), cls).alias("_at"))
+    found = at.select("page_id", "_e", "_at", F.when(F.col("_at") > 0, H.end_of("_e", F.col("_at"))).alias("_end"))
+    return found.select(
         "page_id",
-        F.regexp_extract(html, pat, 1).alias("body"),
-        F.when(~found, F.lit(f"Select {tag}")).alias("error"),
+        F.when(F.col("_at") > 0, H.inner_html("_e", F.col("_at"), F.col("_end"))).alias("body"),
+        F.when(F.coalesce(F.col("_at"), F.lit(0)) == 0, F.lit(f"Select .{cls}")).alias("error"),
     )
 
 
@@ -64,35 +70,21 @@ P_NUM, P_TIT, P_WRITER, P_NICK = ".us-post .gall_num", ".us-post .gall_tit", ".u
 P_RECOMMEND_SELECT, P_RECOMMEND = ".us-post .gall_recommned", ".us-post .gall_recommend"
 P_COUNT, P_DATE, P_DATE_TITLE = ".us-post .gall_count", ".us-post .gall_date", ".us-post .gall_date@title"
 
-_ROW_RE = r'(?s)<tr\b[^>]*\bclass="[^"]*\bus-post\b[^"]*"[^>]*>.*?</tr>'
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
-
-
-def _has_class(html: F.Column, cls: str) -> F.Column:
-    # the regex needs the class name literally: a plain substring test skips it when absent
-    return (F.instr(html, cls) > 0) & html.rlike(rf'\bclass="[^"]*\b{cls}\b[^"]*"')
-
-
-def _inner(html: F.Column, cls: str) -> F.Column:
-    """Inner HTML of the first element carrying ``cls`` (closed by the same tag name)."""
-    return F.regexp_extract(html, rf'(?s)<(\w+)\b[^>]*\bclass="[^"]*\b{cls}\b[^"]*"[^>]*>(.*?)</\1>', 2)
-
-
-def _tag(html: F.Column, cls: str) -> F.Column:
-    return F.regexp_extract(html, rf'<\w+\b[^>]*\bclass="[^"]*\b{cls}\b[^"]*"[^>]*>', 0)
-
+#: Classes whose elements are read from a row.
+_TEXTS = {"gall_num": "num", "gall_subject": "subject", "reply_numbox": "reply", "gall_recommend": "rec", "gall_count": "cnt"}
+_OTHERS = {"gall_tit": "tit", "gall_writer": "writer", "gall_date": "date", "icon_pic": "pic", "icon_movie": "movie", "icon_recom": "recom"}
 
-def _attr(tag: F.Column, name: str) -> F.Column:
-    return F.when(tag.rlike(rf'\s{name}="'), F.regexp_extract(tag, rf'\s{name}="([^"]*)"', 1))
 
+def list_rows(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("gallery_id", "page_no")) -> DataFrame:
+    """Elements of each ``us-post`` row: ``keys, _state, row_pos, els`` (its tags up to its end), or one row with NULLs per unreadable page.
 
-def html_text(inner: F.Column) -> F.Column:
-    """Text content: tags removed, the five basic entities decoded (work only where needed)."""
-    t = F.when(F.instr(inner, "<") > 0, F.regexp_replace(inner, r"<[^>]*>", "")).otherwise(inner)
-    d = t
-    for ent, ch in _ENTITIES:
-        d = F.replace(d, F.lit(ent), F.lit(ch))
-    return F.when(F.instr(t, "&") > 0, d).otherwise(t)
+    A readable page without such rows gives none.
+    """
+    staged = pages.select(*keys, html, page_state(html).alias("_state"))
+    parts = F.when(F.col("_state") == "ok", H.split_at_class(html, ROW_CLASS)).otherwise(F.array(F.lit(None).cast("string")))
+    rows = staged.select(*keys, "_state", F.posexplode(parts).alias("row_pos", "part"))
+    rows = rows.select(*keys, "_state", F.when(F.col("_state") == "ok", F.col("row_pos")).alias("row_pos"), H.elements("part").alias("_all"))
+    return rows.select(*keys, "_state", "row_pos", F.slice("_all", 1, H.end_of("_all", F.lit(1))).alias("els"))
 
 
 def parse_list_pages(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("gallery_id", "page_no")) -> DataFrame:
@@ -105,74 +97,40 @@ def parse_list_pages(pages: DataFrame, html: str = "html", keys: tuple[str, ...]
     (missing or malformed -> 0); like / view counts strict; kind from the
     picture / movie icons; recommended when ``.icon_recom`` is present;
     created_at = ``.gall_date@title`` (KST) in UTC.  A row that fails one of
-    these reports the first failing path and carries no fields.
+    these reports the first failing path and carries no fields.  Texts and
+    attributes have their character references decoded.
     """
-    from threadlake.functions.classify import blank_to_null, doc_kind, user_kind
-    from threadlake.functions.parse import parse_kst, strict_int, bracket_int, UINT_RE
-
-    # one pass over the pages: an unreadable page yields a single error row
-    st = page_state(html)
+    c = F.col
     page_err = F.lit(None).cast("string")
     for state, cls in PAGE_STATE_TO_ERROR.items():
-        page_err = F.when(F.col("_state") == state, cls).otherwise(page_err)
-    # the state is computed once per page, before the rows are exploded
-    staged = pages.select(*keys, html, st.alias("_state"))
-    found = F.when(F.col("_state") == "ok", F.regexp_extract_all(F.col(html), F.lit(_ROW_RE), F.lit(0))) \
-        .otherwise(F.array(F.lit(None).cast("string")))
-    rows = staged.select(*keys, "_state", F.posexplode(found).alias("row_pos", "row"))
-    r = F.col("row")
-
-    def cells(cls: str) -> F.Column:
-        # every element carrying the class, as inner HTML (one regex pass per class)
-        return F.regexp_extract_all(r, F.lit(rf'(?s)<(\w+)\b[^>]*\bclass="[^"]*\b{cls}\b[^"]*"[^>]*>(.*?)</\1>'),
-                                    F.lit(2))
-
-    def tags(cls: str) -> F.Column:
-        return F.regexp_extract_all(r, F.lit(rf'<\w+\b[^>]*\bclass="[^"]*\b{cls}\b[^"]*"[^>]*>'), F.lit(0))
-
-    arrays = rows.select(
-        *keys, "_state", F.when(F.col("_state") == "ok", F.col("row_pos")).alias("row_pos"),
-        cells("gall_num").alias("a_num"), cells("gall_tit").alias("a_tit"), cells("gall_subject").alias("a_subject"),
-        tags("gall_writer").alias("a_writer"), cells("reply_numbox").alias("a_reply"),
-        cells("gall_recommend").alias("a_rec"), cells("gall_count").alias("a_cnt"), tags("gall_date").alias("a_date"),
-        _has_class(r, "icon_pic").alias("pic"), _has_class(r, "icon_movie").alias("movie"),
-        _has_class(r, "icon_recom").alias("recom"),
-    )
-
-    def first(a: str) -> F.Column:
-        return F.try_element_at(F.col(a), F.lit(1))
-
-    def has(a: str) -> F.Column:
-        return F.coalesce(F.size(F.col(a)) > 0, F.lit(False))
-
-    pieces = arrays.select(
-        *keys, "_state", "row_pos",
-        has("a_num").alias("has_num"), html_text(first("a_num")).alias("num_txt"),
-        has("a_tit").alias("has_tit"), first("a_tit").rlike(r"<a\b").alias("has_a"),
-        F.regexp_extract(first("a_tit"), r"(?s)<a\b[^>]*>(.*?)</a>", 1).alias("title_a"),
-        has("a_subject").alias("has_subject"), first("a_subject").alias("subject_html"),
-        has("a_writer").alias("has_writer"), first("a_writer").alias("wtag"),
-        has("a_reply").alias("has_reply"), first("a_reply").alias("reply_html"),
-        has("a_rec").alias("has_rec"), html_text(first("a_rec")).alias("rec_txt"),
-        has("a_cnt").alias("has_cnt"), html_text(first("a_cnt")).alias("cnt_txt"),
-        has("a_date").alias("has_date"), first("a_date").alias("dtag"),
-        "pic", "movie", "recom",
-    )
-    c = F.col
-    pieces = pieces.select(
-        "*", _attr(c("wtag"), "data-nick").alias("nick"), _attr(c("wtag"), "data-uid").alias("uid"),
-        _attr(c("wtag"), "data-ip").alias("ip"), _attr(c("dtag"), "title").alias("dtitle"),
-        strict_int(c("rec_txt")).alias("likes"), strict_int(c("cnt_txt")).alias("views"))
+        page_err = F.when(c("_state") == state, cls).otherwise(page_err)
+    base = [*keys, "_state", "row_pos"]
+    # each step's columns are made once and read by the next
+    lines = list_rows(pages, html, keys).select(*base, "els", H.class_lines("els").alias("_lines"))
+    at = lines.select(*base, "els", *(H.first_of_class("_lines", k).alias(f"{v}_at") for k, v in (_TEXTS | _OTHERS).items()))
+    tit_end = H.end_of("els", c("tit_at"))
+    at = at.select("*", H.first_of_name("els", "a", c("tit_at"), F.when(c("tit_at") > 0, tit_end)).alias("a_at"))
+    texts = [H.raw_text("els", c(f"{v}_at"), F.when(c(f"{v}_at") > 0, H.end_of("els", c(f"{v}_at")))).alias(f"{v}_txt") for v in [*_TEXTS.values(), "a"]]
+
+    def tag(v: str) -> Column:
+        return F.when(c(f"{v}_at") > 0, F.try_element_at(c("els"), c(f"{v}_at"))["raw"])
+
+    pieces = at.select(*base, *((c(f"{v}_at") > 0).alias(f"has_{v}") for v in [*_TEXTS.values(), *_OTHERS.values(), "a"]), *texts, tag("writer").alias("wtag"), tag("date").alias("dtag"))
+    coded = {f"{v}_txt": c(f"{v}_txt") for v in [*_TEXTS.values(), "a"]} | {
+        "nick": H.attribute("wtag", "data-nick"), "uid": H.attribute("wtag", "data-uid"), "ip": H.attribute("wtag", "data-ip"), "dtitle": H.attribute("dtag", "title")}
+    pieces = pieces.select(*base, *(k for k in pieces.columns if k.startswith("has_")), F.transform(F.array(*coded.values()), H.decode_entities).alias("_d"))
+    pieces = pieces.select("*", *(c("_d")[i].alias(k) for i, k in enumerate(coded)))
+    pieces = pieces.select("*", strict_int(c("rec_txt")).alias("likes"), strict_int(c("cnt_txt")).alias("views"))
     pieces = pieces.withColumn("created", parse_kst(c("dtitle")))
 
-    def err(kind: str, path: str) -> F.Column:
+    def err(kind: str, path: str) -> Column:
         return F.lit(f"{kind} {path}")
 
     error = (
         F.when(c("_state") != "ok", page_err)
         .when(~c("has_num"), err("Select", P_NUM))
-        .when(~c("num_txt").rlike(UINT_RE), err("NumberParse", P_NUM))
-        .when(~(c("has_tit") & c("has_a")), err("Select", P_TIT))
+        .when(~c("num_txt").rlike(UINT_RE) | c("num_txt").try_cast("long").isNull(), err("NumberParse", P_NUM))
+        .when(~c("has_a"), err("Select", P_TIT))
         .when(~c("has_writer"), err("Select", P_WRITER))
         .when(c("nick").isNull(), err("Select", P_NICK))
         .when(~c("has_rec"), err("Select", P_RECOMMEND_SELECT))
@@ -183,26 +141,24 @@ def parse_list_pages(pages: DataFrame, html: str = "html", keys: tuple[str, ...]
         .when(c("dtitle").isNull(), err("Select", P_DATE_TITLE))
         .when(c("created").isNull(), err("DatetimeParse", P_DATE_TITLE))
     )
-    ok = c("error").isNull()
 
-    def field(x: F.Column) -> F.Column:
-        return F.when(ok, x)
+    def field(x: Column) -> Column:
+        return F.when(c("error").isNull(), x)
 
-    parsed = pieces.withColumn("error", error).select(
+    return pieces.withColumn("error", error).select(
         *keys, "row_pos",
         field(c("num_txt").try_cast("long")).alias("id"),
-        field(html_text(c("title_a"))).alias("title"),
-        field(F.when(c("has_subject"), html_text(c("subject_html")))).alias("subject"),
+        field(c("a_txt")).alias("title"),
+        field(c("subject_txt")).alias("subject"),
         field(c("nick")).alias("author_nickname"),
         field(blank_to_null(c("uid"))).alias("author_id"),
         field(blank_to_null(c("ip"))).alias("author_ip"),
         field(user_kind(c("uid"), c("ip"))).alias("author_kind"),
-        field(bracket_int(F.when(c("has_reply"), html_text(c("reply_html"))))).alias("comment_count"),
+        field(bracket_int(c("reply_txt"))).alias("comment_count"),
         field(c("likes")).alias("like_count"),
         field(c("views")).alias("view_count"),
-        field(doc_kind(c("movie"), c("pic"))).alias("kind"),
-        field(c("recom")).alias("is_recommend"),
+        field(doc_kind(c("has_movie"), c("has_pic"))).alias("kind"),
+        field(c("has_recom")).alias("is_recommend"),
         field(c("created")).alias("created_at"),
         "error",
     )
-    return parsed

@@ -283,6 +283,23 @@ def v_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", F.concat(prefix, F.col("html")).alias("html"))
 
 
+def v_body_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document pages whose article lies in a ``write_div`` element, between nested and void elements.
+
+    Shared rules (k = page_id): the class is ``write_div_old`` for k % 10 = 3;
+    the closing tags are missing for k % 10 = 4; attributes are quoted singly
+    for odd k.
+    """
+    p = v_page(spark, sf_dir)
+    k = F.col("page_id")
+    cls = F.when(k % 10 == 3, "write_div_old").otherwise("write_div")
+    cls = F.when(k % 2 == 1, F.concat(F.lit("'box "), cls, F.lit("'"))).otherwise(F.concat(F.lit('"box '), cls, F.lit(' thum"')))
+    start = F.concat(F.lit('<div class="write_div_box"><div id=body class='), cls, F.lit("><div>"))
+    end = F.concat(F.lit('<br><img src="a>b.png" alt="</div>">'), F.when(k % 10 == 4, "").otherwise("</div></div></div>"))
+    html = F.replace(F.replace(F.col("html"), F.lit("<article>"), start), F.lit("</article>"), end)
+    return p.select("page_id", html.alias("html"))
+
+
 # --------------------------------------------------------------------------
 # lineitems as comments of the search-store documents
 # --------------------------------------------------------------------------
@@ -336,6 +353,23 @@ def v_li_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
 AD_JSON = '{"no":0,"user_id":"","ip":"","name":"","depth":0,"memo":"<div class=\\"ad\\">ad</div>","reg_date":""}'
 
 
+_GOOD_JSON = '{"no":5,"user_id":"u","ip":"","name":"n","depth":0,"memo":"m","reg_date":""}'
+#: Bodies of third pages, for the orders with orderkey % 50 = 1, 2, ...: empty ones, and ones with a value that can't be read.
+ODD_FEEDS = [
+    '{"comments":[],"pagination":"<em>3</em>"}',
+    '{"comments":null,"pagination":"<em>3</em><a>4</a>"}',
+    '{"comments":[' + _GOOD_JSON + ']}',
+    '{"comments":[',
+    '[1]',
+    '{"comments":[' + _GOOD_JSON + "," + _GOOD_JSON.replace('"depth":0', '"depth":"deep"') + '],"pagination":"<em>3</em>"}',
+    '{"comments":[' + _GOOD_JSON.replace('"no":5', '"no":"12x"') + '],"pagination":"<em>3</em>"}',
+    '{"comments":[' + _GOOD_JSON.replace('"user_id":"u"', '"user_id":null') + '],"pagination":"<em>3</em>"}',
+    '{"comments":[' + _GOOD_JSON.replace('"name":"n",', "") + ']}',
+    '{"comments":{"no":5},"pagination":"<em>3</em>"}',
+    '{"comments":[' + _GOOD_JSON + '],"pagination":7}',
+]
+
+
 def v_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed pages ``(gallery_id, document_id, page, body)``.
 
@@ -344,7 +378,8 @@ def v_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from the supplier (blank for partkey % 10 = 0); memo an image tag for
     partkey % 7 = 0, a voice clip for partkey % 11 = 0, else text; reg_date
     full for odd line_no, year-less for even, empty for line_no 7; orders
-    with orderkey % 4 = 0 end page 1 with an ad row.
+    with orderkey % 4 = 0 end page 1 with an ad row; a third page from
+    ODD_FEEDS for orderkey % 50 = 1 and on.
     """
     li = li_lines(spark, sf_dir)
     ln, pk, sk = F.col("line_no"), F.col("l_partkey"), F.col("l_suppkey")
@@ -377,8 +412,13 @@ def v_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.when((F.col("page") == 1) & (F.col("l_orderkey") % 4 == 0),
                    F.concat(F.col("items"), F.lit("," + AD_JSON))).otherwise(F.col("items"))
     body = F.concat(F.lit('{"comments":['), items, F.lit('],"pagination":"'), pager, F.lit('"}'))
-    return pages.select(_gid(F.col("l_orderkey") % 25).alias("gallery_id"), F.col("l_orderkey").alias("document_id"),
-                        "page", body.alias("body"))
+    pages = pages.select("l_orderkey", "page", body.alias("body"))
+    # a third page that is empty or broken in the ways of ODD_FEEDS
+    k = F.col("l_orderkey") % 50
+    odd = li.where(k.between(1, len(ODD_FEEDS))).select("l_orderkey").distinct().select(
+        "l_orderkey", F.lit(3).alias("page"), F.get(F.array(*map(F.lit, ODD_FEEDS)), k.cast("int") - 1).alias("body"))
+    pages = pages.unionByName(odd)
+    return pages.select(_gid(F.col("l_orderkey") % 25).alias("gallery_id"), F.col("l_orderkey").alias("document_id"), "page", "body")
 
 
 # --------------------------------------------------------------------------
@@ -388,52 +428,97 @@ def v_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 LIST_PAGE_DOCS = 500   # documents of a gallery with id // 500 equal share a list page
 
 
-def v_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List-page HTML ``(gallery_id, page_no, html)``, newest row first.
+def _list_rows(d: DataFrame, no: Column, broken: Column | None = None) -> DataFrame:
+    """``d`` (documents) with the markup of their list rows as ``row``; ``no`` is the number shown, ``broken`` rows show none.
 
-    Shared rules (id = order key): the number cell reads 'x<id>' when id %
+    Shared rules (id = order key): the number cell reads 'x<no>' when id %
     101 = 0; the like cell reads 'n/a' when id % 97 = 0; the date cell has no
     title when id % 89 = 0; no data-ip attribute when id % 5 = 0; both media
-    icons when id % 31 = 0; ' &amp; co' ends the title when id % 7 = 0; no
-    subject cell for status 'P'; a reply box when comment_count > 0; pages
-    with page_no % 13 = 7 are adult-gated.
+    icons when id % 31 = 0; ' &amp; co &#8211; &#x41;' ends the title when id %
+    7 = 0; no subject cell for status 'P'; a reply box when comment_count > 0;
+    the writer's attributes are quoted singly when id % 3 = 0; a row of class
+    us-post-x follows when id % 11 = 0.
     """
-    d = v_document(spark, sf_dir)
     i = F.col("id")
     s = lambda c: c.cast("string")
-    num = F.when(i % 101 == 0, F.concat(F.lit("x"), s(i))).otherwise(s(i))
+    bad = i % 101 == 0
+    num = F.when(bad if broken is None else bad | broken, F.concat(F.lit("x"), s(no))).otherwise(s(no))
     icons = F.concat(
         F.when((F.col("kind") == "picture") | (i % 31 == 0), F.lit('<em class="icon_img icon_pic"></em>')).otherwise(F.lit("")),
         F.when((F.col("kind") == "video") | (i % 31 == 0), F.lit('<em class="icon_img icon_movie"></em>')).otherwise(F.lit("")),
         F.when(F.col("is_recommend"), F.lit('<em class="icon_recom"></em>')).otherwise(F.lit("")))
-    title = F.when(i % 7 == 0, F.concat(F.col("title"), F.lit(" &amp; co"))).otherwise(F.col("title"))
+    title = F.when(i % 7 == 0, F.concat(F.col("title"), F.lit(" &amp; co &#8211; &#x41;"))).otherwise(F.col("title"))
     reply = F.when(F.col("comment_count") > 0, F.concat(
         F.lit('<a class="reply_numbox" href="#"><span class="reply_num">['), s(F.col("comment_count")),
         F.lit("]</span></a>"))).otherwise(F.lit(""))
-    subject = F.when(F.col("subject") != "P", F.concat(F.lit('<td class="gall_subject">'), F.col("subject"),
-                                                       F.lit("</td>"))).otherwise(F.lit(""))
+    subject = F.when(F.col("subject") != "P", F.concat(F.lit('<td class="gall_subject"><b>'), F.col("subject"),
+                                                       F.lit("</b></td>"))).otherwise(F.lit(""))
     ip_attr = F.when(i % 5 == 0, F.lit("")).otherwise(
         F.concat(F.lit(' data-ip="'), F.coalesce(F.col("author_ip"), F.lit("")), F.lit('"')))
+    writer = F.concat(F.lit('<td class="gall_writer ub-writer" data-nick="'), F.col("author_nickname"), F.lit('" data-uid="'),
+                      F.coalesce(F.col("author_id"), F.lit("")), F.lit('"'), ip_attr, F.lit(">"))
+    writer = F.when(i % 3 == 0, F.translate(writer, '"', "'")).otherwise(writer)
     kst = F.date_format(F.col("created_at") + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd HH:mm:ss")
     date = F.when(i % 89 == 0, F.lit('<td class="gall_date">?</td>')).otherwise(
         F.concat(F.lit('<td class="gall_date" title="'), kst, F.lit('">'),
                  F.date_format(F.col("created_at"), "MM.dd"), F.lit("</td>")))
     like = F.when(i % 97 == 0, F.lit("n/a")).otherwise(s(F.col("like_count")))
+    other = F.when(i % 11 == 0, F.lit('<tr class="ub-content us-post-x"><td class="gall_num">ad</td></tr>')).otherwise(F.lit(""))
     row = F.concat(
-        F.lit('<tr class="ub-content us-post" data-no="'), s(i), F.lit('">'),
+        F.lit('<tr class="ub-content us-post" data-no="'), s(no), F.lit('">'),
         F.lit('<td class="gall_num">'), num, F.lit("</td>"), subject,
-        F.lit('<td class="gall_tit ub-word"><a href="/board/view/?id='), F.col("gallery_id"), F.lit("&amp;no="), s(i),
-        F.lit('">'), icons, title, F.lit("</a>"), reply, F.lit("</td>"),
-        F.lit('<td class="gall_writer ub-writer" data-nick="'), F.col("author_nickname"), F.lit('" data-uid="'),
-        F.coalesce(F.col("author_id"), F.lit("")), F.lit('"'), ip_attr, F.lit('><span class="nickname">'),
+        F.lit('<td class="gall_tit ub-word"><a href="/board/view/?id='), F.col("gallery_id"), F.lit("&amp;no="), s(no),
+        F.lit('">'), icons, title, F.lit("</a>"), reply, F.lit("</td>"), writer, F.lit('<span class="nickname">'),
         F.col("author_nickname"), F.lit("</span></td>"), date,
         F.lit('<td class="gall_count">'), s(F.col("view_count")), F.lit("</td>"),
-        F.lit('<td class="gall_recommend">'), like, F.lit("</td></tr>"))
-    rows = d.select("gallery_id", (i / LIST_PAGE_DOCS).cast("long").alias("page_no"), i, row.alias("row"))
-    pages = rows.groupBy("gallery_id", "page_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("id")).alias("k"), "row"))),
-                                 lambda x: x["row"]), "").alias("rows"))
-    gate = F.when(F.col("page_no") % 13 == 7, F.lit(PAGE_PREFIXES[0])).otherwise(F.lit(""))
-    html = F.concat(gate, F.lit('<html><body><table class="gall_list"><tbody>'), F.col("rows"),
-                    F.lit("</tbody></table></body></html>"))
-    return pages.select("gallery_id", "page_no", html.alias("html"))
+        F.lit('<td class="gall_recommend">'), like, F.lit("</td></tr>"), other)
+    return d.withColumn("row", row)
+
+
+def _list_pages(rows: DataFrame, order: Column) -> DataFrame:
+    """Rows (gallery_id, page_no, row) -> ``(gallery_id, page_no, rows)`` with the rows of a page joined in order."""
+    return rows.groupBy("gallery_id", "page_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("k"), "row"))), lambda x: x["row"]), "").alias("rows"))
+
+
+def _list_html(rows: Column, gated: Column) -> Column:
+    gate = F.when(gated, F.lit(PAGE_PREFIXES[0])).otherwise(F.lit(""))
+    return F.concat(gate, F.lit('<html><body><!-- <tr class="us-post"></tr> --><table class="gall_list"><tbody>'), rows, F.lit("</tbody></table></body></html>"))
+
+
+def v_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List-page HTML ``(gallery_id, page_no, html)``, newest row first; pages with page_no % 13 = 7 are adult-gated."""
+    d = _list_rows(v_document(spark, sf_dir), F.col("id"))
+    pages = _list_pages(d.select("gallery_id", (F.col("id") / LIST_PAGE_DOCS).cast("long").alias("page_no"), "id", "row"), -F.col("id"))
+    return pages.select("gallery_id", "page_no", _list_html(F.col("rows"), F.col("page_no") % 13 == 7).alias("html"))
+
+
+#: Documents shown on a crawled page are numbered down from here, so that page 1 has the newest.
+WALK_TOP = 1_000_000_000
+WALK_PAGE_IDS = 2000
+
+
+def v_walk_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List pages of a crawl ``(gallery_id, page_no, html)``: page 1 holds the newest documents.
+
+    Shared rules (o = order key, g = the gallery's number, p = page_no = 1 + o
+    // WALK_PAGE_IDS): document number WALK_TOP - o, descending; no rows on a
+    page with (p + g) % 9 = 8; no readable row with (7p + g) % 17 = 5;
+    adult-gated with p % 13 = 7 and g % 3 = 1.
+    """
+    d = v_document(spark, sf_dir)
+    p = (F.col("id") / WALK_PAGE_IDS).cast("long") + 1
+    g = F.substring("gallery_id", 2, 10).cast("long")
+    d = d.withColumn("page_no", p)
+    d = _list_rows(d, F.lit(WALK_TOP) - F.col("id"), (F.col("page_no") * 7 + g) % 17 == 5)
+    pages = _list_pages(d.select("gallery_id", "page_no", "id", "row"), F.col("id"))
+    rows = F.when((F.col("page_no") + g) % 9 == 8, F.lit("")).otherwise(F.col("rows"))
+    return pages.select("gallery_id", "page_no", _list_html(rows, (F.col("page_no") % 13 == 7) & (g % 3 == 1)).alias("html"))
+
+
+def v_walk_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last crawled document of each gallery g: WALK_TOP - (3001 g + 700); none for g % 5 = 0, 0 for g % 5 = 1 (both: never crawled)."""
+    g = F.substring("id", 2, 10).cast("long")
+    return v_gallery(spark, sf_dir).select(
+        F.col("id").alias("gallery_id"),
+        F.when(g % 5 == 1, F.lit(0)).when(g % 5 > 1, F.lit(WALK_TOP) - (g * 3001 + 700)).cast("long").alias("mark"))

@@ -69,7 +69,7 @@ def _closure(names: list[str]) -> list[str]:
 def with_views(names: list[str], body: str) -> str:
     """Prefix ``body`` with the CTEs for ``names`` (and what they depend on)."""
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in _closure(names))
-    return f"WITH {ctes}\n{body}"
+    return f"WITH RECURSIVE {ctes}\n{body}" if "walk_step" in _closure(names) else f"WITH {ctes}\n{body}"
 
 
 # --------------------------------------------------------------------------
@@ -218,3 +218,57 @@ FROM (
 ) f
 """
 DEPENDS["feed_rows"] = ["li_lines"]
+
+# crawled list pages by gallery and page (page 1 has the newest documents), and the galleries' marks
+VIEWS["walk_row"] = r"""
+SELECT *, row_number() OVER (PARTITION BY gallery_id, page_no ORDER BY no DESC) - 1 AS row_pos FROM (
+  SELECT gallery_id, g, page_no, 1000000000 - id AS no, gated,
+    CASE WHEN id % 101 = 0 OR (page_no * 7 + g) % 17 = 5 THEN 'NumberParse .us-post .gall_num'
+         WHEN id % 97 = 0 THEN 'NumberParse .us-post .gall_recommend'
+         WHEN id % 89 = 0 THEN 'Select .us-post .gall_date@title' END AS err
+  FROM (SELECT gallery_id, id, CAST(substr(gallery_id, 2) AS BIGINT) AS g, 1 + id // 2000 AS page_no,
+          (1 + id // 2000) % 13 = 7 AND CAST(substr(gallery_id, 2) AS BIGINT) % 3 = 1 AS gated FROM v_document) d
+  WHERE gated OR (page_no + g) % 9 <> 8) r
+"""
+VIEWS["walk_mark"] = r"""
+SELECT id AS gallery_id, CAST(substr(id, 2) AS BIGINT) AS g,
+  CASE CAST(substr(id, 2) AS BIGINT) % 5 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 1000000000 - (CAST(substr(id, 2) AS BIGINT) * 3001 + 700) END AS mark
+FROM v_gallery
+"""
+VIEWS["walk_page"] = r"""
+SELECT gallery_id, page_no, bool_or(gated) AS gated, bool_or(err IS NULL) AS readable, arg_max(CASE WHEN err IS NULL THEN no END, CASE WHEN err IS NULL THEN row_pos END) AS last_no
+FROM walk_row GROUP BY gallery_id, page_no
+"""
+# one page after another: a step is taken from a page that did not end the walk
+VIEWS["walk_step"] = r"""
+SELECT m.gallery_id, m.mark, p.page_no, p.gated, p.readable,
+  (p.gated OR NOT p.readable OR m.mark = 0 OR p.last_no <= m.mark) AS ends
+FROM walk_mark m JOIN walk_page p ON p.gallery_id = m.gallery_id AND p.page_no = 1
+UNION ALL
+SELECT s.gallery_id, s.mark, p.page_no, p.gated, p.readable, (p.gated OR NOT p.readable OR p.last_no <= s.mark)
+FROM walk_step s JOIN walk_page p ON p.gallery_id = s.gallery_id AND p.page_no = s.page_no + 1
+WHERE NOT s.ends AND s.page_no < 999
+"""
+VIEWS["walked"] = r"""
+SELECT s.gallery_id, s.page_no, CAST(NULL AS INTEGER) AS row_pos, CAST(NULL AS BIGINT) AS id, 'AdultPage' AS error
+FROM walk_step s WHERE s.gated
+UNION ALL
+SELECT r.gallery_id, r.page_no, CAST(r.row_pos AS INTEGER), CASE WHEN r.err IS NULL THEN r.no END, r.err
+FROM walk_step s JOIN walk_row r ON r.gallery_id = s.gallery_id AND r.page_no = s.page_no
+WHERE (s.readable OR s.mark = 0) AND (r.err IS NOT NULL OR r.no > s.mark)
+  AND s.gallery_id NOT IN (SELECT gallery_id FROM walk_step WHERE gated)
+"""
+DEPENDS |= {"walk_row": ["v_document"], "walk_mark": ["v_gallery"], "walk_page": ["walk_row"], "walk_step": ["walk_mark", "walk_page"], "walked": ["walk_step", "walk_row"]}
+
+# third pages (see adapters.ODD_FEEDS): the largest page number, or what can't be read
+VIEWS["feed_odd"] = r"""
+SELECT 'g' || CAST(l_orderkey % 25 AS VARCHAR) AS gallery_id, l_orderkey AS document_id, 3 AS page,
+  [3, 4, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL][l_orderkey % 50] AS max_page,
+  [NULL, NULL, NULL, 'body', 'body', 'comments[1].depth', 'comments[0].no', 'comments[0].user_id', 'comments[0].name', 'comments', 'pagination'][l_orderkey % 50] AS error
+FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 50 BETWEEN 1 AND 11) o
+"""
+VIEWS["feed_page"] = r"""
+SELECT DISTINCT gallery_id, document_id, page, CAST(n_pages AS BIGINT) AS max_page, CAST(NULL AS VARCHAR) AS error FROM feed_rows
+UNION ALL SELECT gallery_id, document_id, page, CAST(max_page AS BIGINT), error FROM feed_odd
+"""
+DEPENDS |= {"feed_page": ["feed_rows", "feed_odd"]}

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from threadlake.functions.classify import error_class, visible_after
 from threadlake.operators import crawlstate as C
-from threadlake.plans.adapters import (REFRESH_TS, table, v_document, v_rank_feed, v_report,
-                                       v_state_prior)
+from threadlake.operators import feeds as FD
+from threadlake.operators import pages as PG
+from threadlake.operators import walk as W
+from threadlake.plans.adapters import (REFRESH_TS, WALK_TOP, table, v_document, v_feed, v_rank_feed, v_report,
+                                       v_state_prior, v_walk_mark, v_walk_page)
 from threadlake.plans.catalog import register
 from threadlake.plans.oracle import with_views
 
@@ -302,3 +305,37 @@ def flt_newer_than(spark, sf_dir):
     marks = C.high_water(old, old.select("gallery_id", F.lit(None).cast("long").alias("mark")).limit(0)) \
         .select("gallery_id", F.col("high_water").alias("mark"))
     return C.newer_than(docs, marks).select("gallery_id", "id")
+
+
+# ------------------------------------------------------------------ the walk over list pages
+
+def _walked(spark, sf_dir):
+    rows = PG.parse_list_pages(v_walk_page(spark, sf_dir)).select("gallery_id", "page_no", "row_pos", "id", "error")
+    return W.page_walk(rows, v_walk_mark(spark, sf_dir))
+
+
+@register("job_page_walk", with_views(["walked"], "SELECT * FROM walked"))
+def job_page_walk(spark, sf_dir):
+    return _walked(spark, sf_dir)
+
+
+_TALLY = ", ".join(f"count(*) FILTER (WHERE level = '{level}' AND error IS {null}) AS {level}_{name}"
+                   for level in ("gallery", "document", "comment") for null, name in (("NULL", "success"), ("NOT NULL", "error")))
+
+
+@register("agg_level_tallies", with_views(["walked", "feed_page"], f"""
+, feed_bad AS (SELECT DISTINCT 1000000000 - document_id AS no FROM feed_page WHERE error IS NOT NULL),
+doc AS (SELECT gallery_id, id, error, id IN (SELECT no FROM feed_bad) AS bad_feed FROM walked WHERE row_pos IS NOT NULL),
+met AS (
+  SELECT m.gallery_id, 'gallery' AS level, w.error FROM v_gallery g JOIN walk_mark m ON m.gallery_id = g.id
+    LEFT JOIN walked w ON w.gallery_id = m.gallery_id AND w.row_pos IS NULL
+  UNION ALL SELECT gallery_id, 'document', error FROM doc WHERE error IS NOT NULL OR NOT bad_feed
+  UNION ALL SELECT gallery_id, 'comment', CASE WHEN bad_feed THEN 'bad' END FROM doc WHERE error IS NULL),
+part AS (SELECT *, CAST(substr(gallery_id, 2) AS BIGINT) % 4 AS worker_part FROM met)
+SELECT worker_part, {_TALLY} FROM part GROUP BY GROUPING SETS ((worker_part), ())"""))
+def agg_level_tallies(spark, sf_dir):
+    docs = v_document(spark, sf_dir).select("gallery_id", "id")
+    bad = FD.feed_errors(v_feed(spark, sf_dir)).select(F.col("document_id").alias("id"), "error")
+    bad = docs.join(bad, "id").select("gallery_id", (F.lit(WALK_TOP) - F.col("id")).alias("document_id"), "error")
+    crawled = v_walk_mark(spark, sf_dir).select("gallery_id", (F.substring("gallery_id", 2, 10).cast("long") % 4).alias("worker_part"))
+    return W.level_tallies(W.outcomes(_walked(spark, sf_dir), bad), crawled)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from threadlake.functions import classify as K
 from threadlake.functions import parse as P
 from threadlake.operators import pages as PG
-from threadlake.plans.adapters import v_page, v_raw
+from threadlake.plans.adapters import v_body_page, v_page, v_raw
 from threadlake.plans.catalog import register
 from threadlake.plans.oracle import with_views
 
@@ -124,11 +124,14 @@ def job_extract_pages(spark, sf_dir):
 
 
 @register("job_extract_body", with_views(["v_page"], """
-SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body,
-  CASE WHEN NOT regexp_matches(html, '(?s)<article>(.*?)</article>') THEN 'Select article' END AS error
-FROM v_page"""))
+SELECT page_id,
+  CASE page_id % 10 WHEN 3 THEN NULL
+    WHEN 4 THEN '<div>' || inner_ || '<br><img src="a>b.png" alt="</div>">' || rest
+    ELSE '<div>' || inner_ || '<br><img src="a>b.png" alt="</div>"></div>' END AS body,
+  CASE WHEN page_id % 10 = 3 THEN 'Select .write_div' END AS error
+FROM (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS inner_, regexp_extract(html, '(?s)</article>(.*)$', 1) AS rest FROM v_page) p"""))
 def job_extract_body(spark, sf_dir):
-    return PG.extract_body(v_page(spark, sf_dir), "article")
+    return PG.extract_body(v_body_page(spark, sf_dir))
 
 
 @register("job_extract_list_pages", with_views(["v_document"], """
@@ -140,7 +143,7 @@ SELECT gallery_id, page_no, CAST(NULL AS INTEGER) AS row_pos, CAST(NULL AS BIGIN
 FROM (SELECT DISTINCT gallery_id, id // 500 AS page_no FROM v_document) p WHERE page_no % 13 = 7
 UNION ALL
 SELECT gallery_id, page_no, CAST(row_pos AS INTEGER),
-  CASE WHEN err IS NULL THEN id END, CASE WHEN err IS NULL THEN title || CASE WHEN id % 7 = 0 THEN ' & co' ELSE '' END END,
+  CASE WHEN err IS NULL THEN id END, CASE WHEN err IS NULL THEN title || CASE WHEN id % 7 = 0 THEN ' & co – A' ELSE '' END END,
   CASE WHEN err IS NULL AND subject <> 'P' THEN subject END,
   CASE WHEN err IS NULL THEN author_nickname END, CASE WHEN err IS NULL THEN author_id END,
   CASE WHEN err IS NULL AND id % 5 <> 0 THEN author_ip END,
