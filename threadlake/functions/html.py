@@ -29,6 +29,7 @@ _IN_TAG = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+"""
 _RAW = rf"(?i:{'|'.join(RAW_ELEMENTS)})"
 _TAG = rf"(?:<!--(?:[^-]++|-(?!->))*+(?:-->|\z)|<{_RAW}(?=[\s/>]){_IN_TAG}>(?:[^<]++|<(?!/{_RAW}\b))*+(?:</{_RAW}[^>]*+>|\z)|</?[a-zA-Z]{_IN_TAG}>|<[!?][^>]*+>)"
 _TOKEN = rf"(?:{_TAG}|<)[^<]*+|\A[^<]++"
+_QUOTED_ANGLE = r"""<[a-zA-Z][^<>"']*+(?:"[^"<>]*+"[^<>"']*+|'[^'<>]*+'[^<>"']*+)*+(?:"[^"<>]*+[<>]|'[^'<>]*+[<>])"""
 _NAME = r"^</?([a-zA-Z][^\s/>]*)"
 # attributes before the one that is looked for: bare words, or quoted values as a whole
 _BEFORE = r"""^<[a-zA-Z][^\s"'>/]*+(?:[^"'>\s]++|\s|"[^"]*+"|'[^']*+')*?[\s"'/]"""
@@ -50,11 +51,13 @@ def attribute(tag, name: str) -> Column:
 def split_at_class(page, cls: str) -> Column:
     """The parts of a page that begin with an opening tag of the class, as an array; what stands before the first is left out."""
     value = rf"""(?:"(?:[^"]*\s)?{cls}(?=[\s"])|'(?:[^']*\s)?{cls}(?=[\s'])|{cls}(?=[\s>]))"""
-    tag = rf"(?={_BEFORE[1:]}(?i:class)\s*+=\s*+{value})"
+    exact = rf"(?={_BEFORE[1:]}(?i:class)\s*+=\s*+{value})"
     # comments and scripts hold no elements
-    p = F.regexp_replace(as_col(page), rf"<!--(?:[^-]++|-(?!->))*+(?:-->|\z)|<{_RAW}(?=[\s/>]){_IN_TAG}>(?:[^<]++|<(?!/{_RAW}\b))*+(?:</{_RAW}[^>]*+>|\z)", "")
-    parts = F.split(F.concat(F.lit(" "), p), tag)
-    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    p = F.regexp_replace(as_col(page), rf"<(?:!--(?:[^-]++|-(?!->))*+(?:-->|\z)|{_RAW}(?=[\s/>]){_IN_TAG}>(?:[^<]++|<(?!/{_RAW}\b))*+(?:</{_RAW}[^>]*+>|\z))", "")
+    p = F.concat(F.lit(" "), p)
+    # a tag without angle brackets in its quotes shows the class before its end: few tags need the exact look
+    parts = F.when(p.rlike(_QUOTED_ANGLE), F.split(p, exact)).otherwise(F.split(p, rf"(?=<[a-zA-Z][^<>]*{cls}){exact}"))
+    return F.filter(parts, lambda _, i: i > 0)
 
 
 def elements(page) -> Column:
@@ -65,7 +68,7 @@ def elements(page) -> Column:
     attribute.  The ``raw`` parts joined are the page.
     """
     def named(t: Column) -> Column:
-        classes = F.when(F.instr(t, "=") > 0, F.regexp_extract(t, rf"{_BEFORE}(?i:class)\s*+=\s*+{_VALUE}", 1))
+        classes = F.when(F.instr(F.lower(t), "class") > 0, F.regexp_extract(t, rf"{_BEFORE}(?i:class)\s*+=\s*+{_VALUE}", 1))
         return F.struct(t.alias("raw"), F.lower(F.regexp_extract(t, _NAME, 1)).alias("name"), classes.alias("classes"))
 
     def entry(e: Column) -> Column:
@@ -75,24 +78,78 @@ def elements(page) -> Column:
     return F.transform(F.transform(F.regexp_extract_all(as_col(page), F.lit(_TOKEN), F.lit(0)), named), entry)
 
 
+# Rows with few tags are read faster from texts with one line per element than from slices of the array: searching
+# and cutting texts is generated code, while every slice copies the array's entries one by one.
+
+def _lines(els, one) -> Column:
+    return F.concat(F.lit(" "), F.array_join(F.transform(as_col(els), one), " \n "), F.lit(" "))
+
+
 def class_lines(els) -> Column:
-    """The classes of each element as a line of its own, each class between blanks (see :func:`first_of_class`)."""
-    lines = F.transform(as_col(els), lambda e: F.coalesce(F.translate(e["classes"], "\t\n\f\r", "    "), F.lit("")))
-    return F.concat(F.lit(" "), F.array_join(lines, " \n "), F.lit(" "))
+    """The classes of each element as a line of its own, each class between blanks."""
+    return _lines(els, lambda e: F.coalesce(F.translate(e["classes"], "\t\n\f\r", "    "), F.lit("")))
+
+
+def name_lines(els) -> Column:
+    """A line per element: its name between blanks, a slash before it if it closes, none for void elements and the like."""
+    return _lines(els, lambda e: F.when(e["sign"] == 1, e["name"]).when(e["sign"] == -1, F.concat(F.lit("/"), e["name"])).otherwise(""))
+
+
+def text_lines(els) -> Column:
+    """The text after each element's tag, between NUL characters (which HTML texts can't hold)."""
+    return F.array_join(F.transform(as_col(els), lambda e: F.translate(trailing(e["raw"]), "\0", "�")), "\0")
+
+
+def _line_at(lines: Column, at: Column) -> Column:
+    """The line (from 1) of a place in lines."""
+    return at - F.length(F.replace(F.substring(lines, F.lit(1), at - 1), F.lit("\n"), F.lit("")))
 
 
 def first_of_class(lines, cls: str) -> Column:
     """Position (from 1) of the first element of the class, by the :func:`class_lines`; 0 without one."""
     lines = as_col(lines)
     at = F.instr(lines, f" {cls} ")
-    return F.when(at > 0, at - F.length(F.replace(F.substring(lines, F.lit(1), at - 1), F.lit("\n"), F.lit("")))).otherwise(0)
+    return F.when(at > 0, _line_at(lines, at)).otherwise(0)
+
+
+def first_lines(lines, n: Column, sep: str = "\n") -> Column:
+    """The first n lines."""
+    return F.substring_index(as_col(lines), sep, n) if isinstance(n, int) else F.call_function("substring_index", as_col(lines), F.lit(sep), n)
+
 
+def line_range(lines, after: Column, end: Column, sep: str = "\n") -> Column:
+    """The lines from ``after`` + 1 up to ``end``."""
+    return F.when(end > after, F.call_function("substring_index", first_lines(lines, end, sep), F.lit(sep), after - end)).otherwise("")
 
-def first_of_name(els, name: str, after: Column, before: Column) -> Column:
-    """Position of the first opening tag of a name between two positions (both left out); 0 without one."""
-    inside = F.slice(as_col(els), F.greatest(after + 1, F.lit(1)), F.greatest(before - after - 1, F.lit(0)))
-    at = F.array_position(F.transform(inside, lambda e: (e["name"] == name) & ~e["raw"].startswith("</")), F.lit(True)).cast("int")
-    return F.when((after > 0) & (at > 0), at + after).otherwise(F.lit(0))
+
+def first_of_name(names, name: str, after: Column, before: Column) -> Column:
+    """Position of the first opening tag of a name between two positions (both left out), by the :func:`name_lines`; 0 without one."""
+    inside = line_range(names, after, before - 1)
+    at = F.instr(inside, f" {name} ")
+    return F.when((after > 0) & (at > 0), after + _line_at(inside, at)).otherwise(0)
+
+
+def line_name(names, at: Column) -> Column:
+    """Name of the element at a position, by the :func:`name_lines`; '' for void elements."""
+    return F.trim(line_range(names, at - 1, at))
+
+
+def line_end(name, rest, els, n: Column, at: Column) -> Column:
+    """:func:`end_of` the element at a position among the first n.
+
+    ``name``: its :func:`line_name`; ``rest``: the :func:`name_lines` after it, up to n (columns of
+    their own, as both are looked at more than once).  The array is gone
+    through only if elements of one name are nested.
+    """
+    name, rest = as_col(name), as_col(rest)
+    close, again = F.instr(rest, F.concat(F.lit(" /"), name, F.lit(" "))), F.instr(rest, F.concat(F.lit(" "), name, F.lit(" ")))
+    return (F.when(name == "", at).when(close == 0, n + 1).when((again == 0) | (again > close), at + _line_at(rest, close))
+            .otherwise(F.least(end_of(els, at), n + 1)))
+
+
+def line_text(texts, at: Column, end: Column) -> Column:
+    """Text within an element as it stands there (see :func:`decode_entities`), by the :func:`text_lines`; NULL at position 0."""
+    return F.when(at > 0, F.replace(line_range(texts, at - 1, end - 1, "\0"), F.lit("\0"), F.lit("")))
 
 
 def end_of(els, at: Column) -> Column:
@@ -114,7 +171,8 @@ def end_of(els, at: Column) -> Column:
 
 def trailing(raw: Column) -> Column:
     """The text after a token's tag."""
-    return F.regexp_replace(raw, rf"\A{_TAG}", "")
+    plain = (F.length(raw) - F.length(F.replace(raw, F.lit(">"), F.lit(""))) == 1) & ~raw.startswith("<!")
+    return F.when(plain & raw.startswith("<"), F.substring_index(raw, ">", -1)).otherwise(F.regexp_replace(raw, rf"\A{_TAG}", ""))
 
 
 def inner_html(els, at: Column, end: Column) -> Column:
@@ -124,12 +182,6 @@ def inner_html(els, at: Column, end: Column) -> Column:
     return F.when(end > at, F.concat(trailing(F.try_element_at(els, at)["raw"]), rest)).otherwise(F.lit(""))
 
 
-def raw_text(els, at: Column, end: Column) -> Column:
-    """Text within an element as it stands there (see :func:`decode_entities`); NULL at position 0."""
-    inside = F.slice(as_col(els), F.greatest(at, F.lit(1)), F.greatest(end - at, F.lit(0)))
-    return F.when(at > 0, F.array_join(F.transform(inside, lambda e: trailing(e["raw"])), ""))
-
-
 # ------------------------------------------------------------------------------------------- character references
 
 #: Named references, from the standard library's table of the HTML standard; those of old may lack the semicolon.

@@ -76,15 +76,22 @@ _OTHERS = {"gall_tit": "tit", "gall_writer": "writer", "gall_date": "date", "ico
 
 
 def list_rows(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("gallery_id", "page_no")) -> DataFrame:
-    """Elements of each ``us-post`` row: ``keys, _state, row_pos, els`` (its tags up to its end), or one row with NULLs per unreadable page.
+    """Elements of each ``us-post`` row, or one row with NULLs per unreadable page.
 
-    A readable page without such rows gives none.
+    ``keys, _state, row_pos``, ``els`` (the elements from the row's tag on), ``n``
+    (how many of them are the row's), and their name, class and text lines.  A
+    readable page without such rows gives none.
     """
     staged = pages.select(*keys, html, page_state(html).alias("_state"))
     parts = F.when(F.col("_state") == "ok", H.split_at_class(html, ROW_CLASS)).otherwise(F.array(F.lit(None).cast("string")))
     rows = staged.select(*keys, "_state", F.posexplode(parts).alias("row_pos", "part"))
-    rows = rows.select(*keys, "_state", F.when(F.col("_state") == "ok", F.col("row_pos")).alias("row_pos"), H.elements("part").alias("_all"))
-    return rows.select(*keys, "_state", "row_pos", F.slice("_all", 1, H.end_of("_all", F.lit(1))).alias("els"))
+    base = [*keys, "_state", "row_pos"]
+    rows = rows.select(*keys, "_state", F.when(F.col("_state") == "ok", F.col("row_pos")).alias("row_pos"), H.elements("part").alias("els"))
+    rows = rows.select(*base, "els", H.name_lines("els").alias("names"), H.class_lines("els").alias("classes"), H.text_lines("els").alias("texts"))
+    size = F.size("els")
+    rows = rows.select("*", H.line_name("names", F.lit(1)).alias("_name"), H.line_range("names", F.lit(1), size).alias("_rest"))
+    rows = rows.select("*", F.least(H.line_end("_name", "_rest", "els", size, F.lit(1)), size).alias("n"))
+    return rows.select(*base, "els", "n", H.first_lines("names", F.col("n")).alias("names"), H.first_lines("classes", F.col("n")).alias("classes"), "texts")
 
 
 def parse_list_pages(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("gallery_id", "page_no")) -> DataFrame:
@@ -106,11 +113,18 @@ def parse_list_pages(pages: DataFrame, html: str = "html", keys: tuple[str, ...]
         page_err = F.when(c("_state") == state, cls).otherwise(page_err)
     base = [*keys, "_state", "row_pos"]
     # each step's columns are made once and read by the next
-    lines = list_rows(pages, html, keys).select(*base, "els", H.class_lines("els").alias("_lines"))
-    at = lines.select(*base, "els", *(H.first_of_class("_lines", k).alias(f"{v}_at") for k, v in (_TEXTS | _OTHERS).items()))
-    tit_end = H.end_of("els", c("tit_at"))
-    at = at.select("*", H.first_of_name("els", "a", c("tit_at"), F.when(c("tit_at") > 0, tit_end)).alias("a_at"))
-    texts = [H.raw_text("els", c(f"{v}_at"), F.when(c(f"{v}_at") > 0, H.end_of("els", c(f"{v}_at")))).alias(f"{v}_txt") for v in [*_TEXTS.values(), "a"]]
+    rows = list_rows(pages, html, keys)
+    at = rows.select(*base, "els", "n", "names", "texts", *(H.first_of_class("classes", k).alias(f"{v}_at") for k, v in (_TEXTS | _OTHERS).items()))
+
+    def ends(x: DataFrame, *which: str) -> DataFrame:
+        x = x.select("*", *(H.line_name("names", c(f"{v}_at")).alias(f"{v}_name") for v in which), *(H.line_range("names", c(f"{v}_at"), c("n")).alias(f"{v}_rest") for v in which))
+        found = [F.when(c(f"{v}_at") > 0, H.line_end(f"{v}_name", f"{v}_rest", "els", c("n"), c(f"{v}_at"))).otherwise(0).alias(f"{v}_end") for v in which]
+        return x.select(*(k for k in x.columns if not k.endswith(("_name", "_rest"))), *found)
+
+    x = ends(at, "tit", *_TEXTS.values())
+    at = x.select("*", H.first_of_name("names", "a", c("tit_at"), c("tit_end")).alias("a_at"))
+    at = ends(at, "a")
+    texts = [H.line_text("texts", c(f"{v}_at"), c(f"{v}_end")).alias(f"{v}_txt") for v in [*_TEXTS.values(), "a"]]
 
     def tag(v: str) -> Column:
         return F.when(c(f"{v}_at") > 0, F.try_element_at(c("els"), c(f"{v}_at"))["raw"])
