@@ -128,3 +128,19 @@ def test_partition_read_prunes_and_backfill_replaces_only_its_dates(spark):
     back = spark.read.schema("event_id long, value double, date date").json(daily).collect()
     assert len(back) == 30
     assert all((r.value >= 1000) == (str(r.date) == "2021-01-02") for r in back)
+
+
+def test_expired_directories_are_dropped_without_reading(spark):
+    import os
+
+    root = _tmp()
+    for d in range(1, 11):
+        os.makedirs(f"{root}/date=2021-01-{d:02d}/hour=3")
+        with open(f"{root}/date=2021-01-{d:02d}/hour=3/part.json", "w") as f:
+            f.write("not read")
+    for other in ("date=2021-13-xx", "date=__HIVE_DEFAULT_PARTITION__", "_checkpoint", "hour=1"):
+        os.makedirs(f"{root}/{other}")
+    assert I.drop_expired(spark, root, dt.datetime(2021, 1, 11, 5), 7) == ["2021-01-01", "2021-01-02", "2021-01-03"]
+    left = set(os.listdir(root))
+    assert {f"date=2021-01-{d:02d}" for d in range(4, 11)} < left and len(left) == 11
+    assert I.drop_expired(spark, root, dt.datetime(2021, 1, 11, 5), 7) == []

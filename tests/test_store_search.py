@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadlake.operators import search as S
 from threadlake.operators import store as ST
@@ -76,7 +77,7 @@ def test_title_search_on_written_index_pushes_gram_filter(spark):
     assert [r.id for r in hits.collect()] == [2, 1]
     scans = [ln for ln in hits._jdf.queryExecution().executedPlan().toString().split("\n")
              if "FileScan parquet" in ln and "gram" in ln]
-    assert scans and "PushedFilters: [" in scans[0] and "In(gram, [" in scans[0]
+    assert scans and "PushedFilters: [" in scans[0] and "EqualTo(gram,title)" in scans[0]  # the longest gram holds all others
 
 
 def test_store_table_has_bloom_filters_and_clustered_row_groups(spark):
@@ -84,8 +85,6 @@ def test_store_table_has_bloom_filters_and_clustered_row_groups(spark):
     import tempfile
     import uuid
 
-    from pyspark.sql import functions as F
-
     from threadlake.sources import lake as L
 
     n = 4000
@@ -127,3 +126,42 @@ def test_store_table_has_bloom_filters_and_clustered_row_groups(spark):
     spans = sorted((r.lo, r.hi) for r in back.groupBy(F.input_file_name()).agg(
         F.min("gallery_id").alias("lo"), F.max("gallery_id").alias("hi")).collect())
     assert len(spans) > 1 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def _grams_of(spark, title, lower=True):
+    from threadlake.functions.grams import ngrams
+    return set(spark.range(1).select(ngrams(F.lit(title), lower=lower).alias("g")).first().g or [])
+
+
+def test_gram_cover_stands_for_all_grams(spark, tmp_path):
+    import random
+
+    from threadlake.operators import textindex as X
+    rng = random.Random(2)
+    alphabet = "aab가나B @é.1"
+    titles = [(f"g{i % 3}", i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30)))) for i in range(300)]
+    t = spark.createDataFrame(titles, "gallery_id string, id long, title string")
+    X.write_postings(X.build_postings(t), str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    held = {(g, i): _h for (g, i, _), _h in zip(titles, [set(r.g) for r in t.select(X_ngrams("title").alias("g"), "id").orderBy("id").collect()])}
+    queries = ["a", "가나", "ab", "@", "", "é@", "aab", "B a", titles[7][2], titles[8][2][:14], titles[9][2][2:15], titles[10][2] + titles[11][2], "a@b", "zz", "aaaaaaaaaaaaaaa"]
+    for q in queries:
+        want = {k for k, grams in held.items() if (own := _grams_of(spark, q)) and own <= grams}
+        assert {(r.gallery_id, r.doc_id) for r in X.match_all_grams(index, X.gram_cover(spark, q)).collect()} == want, q
+
+
+def X_ngrams(c):
+    from threadlake.functions.grams import ngrams
+    return F.coalesce(ngrams(c), F.array().cast("array<string>"))
+
+
+def test_title_search_looks_up_the_longest_grams_only(spark):
+    from threadlake.operators import textindex as X
+    from threadlake.plans import q_search as Q
+    assert X.gram_cover(spark, "tion") == ["tion"] and X.gram_cover(spark, "ti@on") == ["tion"]
+    assert X.gram_cover(spark, "Abcdefghijkl") == ["abcdefghij", "bcdefghijk", "cdefghijkl"]
+    assert X.gram_cover(spark, "aaaaaaaaaaaa") == ["aaaaaaaaaa"] and X.gram_cover(spark, "@@") == [] and X.gram_cover(spark, "") == []
+    import __spark_entry__ as E
+    plan = E.queries()["search_title"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "EqualTo(gram,tion)" in plan
+    assert Q.title_index(spark, "/root/testdata/sf0.001").inputFiles() == Q.title_index(spark, "/root/testdata/sf0.001").inputFiles()

@@ -57,11 +57,12 @@ RANK_SCHEMA = "array<struct<id:string,name:string,ko_name:string,kind:string,ran
 JSONP_RE = r"(?s)^[^(]*\((.*)\)[;\s]*$"
 
 
-def parse_ranking(feeds: DataFrame, body_col: str = "body", kind: str | None = None) -> DataFrame:
+def parse_ranking(feeds: DataFrame, body_col: str = "body", kind: str | None = None, force_kind: str | None = None) -> DataFrame:
     """JSONP ranking bodies -> ``id, name, kind, rank, feed, pos`` rows.
 
     The ``callback(...)`` envelope is stripped, ``ko_name`` stands in for a
-    missing ``name``, a missing kind is ``major`` (or ``kind`` when given),
+    missing ``name``, a missing kind is ``major`` (or ``kind`` when given; the
+    minor ranking's galleries are all ``force_kind`` minor, whatever they say),
     and ``rank`` may be a number or a numeric string.
     """
     inner = F.regexp_extract(F.col(body_col), JSONP_RE, 1)
@@ -73,11 +74,20 @@ def parse_ranking(feeds: DataFrame, body_col: str = "body", kind: str | None = N
         *keep, "pos",
         F.col("g.id").alias("id"),
         F.coalesce(F.col("g.name"), F.col("g.ko_name")).alias("name"),
-        F.coalesce(F.lower(F.col("g.kind")), default_kind).alias("kind"),
+        (F.lit(force_kind) if force_kind else F.coalesce(F.lower(F.col("g.kind")), default_kind)).alias("kind"),
         F.expr("try_cast(g.rank AS INT)").alias("rank"),
     )
 
 
+def one_feed(feeds: list[DataFrame]) -> DataFrame:
+    """Ranking feeds (rows of :func:`parse_ranking`), one read after the other: a later feed's rows follow an earlier one's."""
+    out = None
+    for k, f in enumerate(feeds):
+        f = f.withColumn("feed", F.struct(F.lit(k).alias("feed"), *(F.col(c) for c in ("feed",) if c in f.columns)))
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
 def new_state(feed: DataFrame, now) -> DataFrame:
     """Fresh directory rows for feed galleries."""
     now_c = _ts(now)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType, _parse_datatype_string
 
@@ -69,6 +70,24 @@ def retain(df: DataFrame, now, days: int = 7, ts: str = "ts") -> DataFrame:
     return df.filter(F.col(ts) >= n - F.make_dt_interval(F.lit(days)))
 
 
+def drop_expired(spark: SparkSession, root: str, now: dt.datetime, days: int = 7) -> list[str]:
+    """Drop the ``date=`` directories of a lake that hold no row that :func:`retain` would keep; returns their dates.
+
+    Only directory names are read, no file.  The day on which the limit falls
+    stays whole (``retain`` cuts it by row); directories with other names stay.
+    """
+    first = (now - dt.timedelta(days=days)).date()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for f in fs.listStatus(path):
+        kind, _, day = f.getPath().getName().partition("=")
+        if f.isDirectory() and kind == "date" and re.fullmatch(r"\d{4}-\d{2}-\d{2}", day) and dt.date.fromisoformat(day) < first:
+            fs.delete(f.getPath(), True)
+            gone.append(day)
+    return sorted(gone)
+
+
 def backfill(job: Callable[[DataFrame], DataFrame], source: DataFrame, dates: Iterable[str], path: str,
              ts: str = "ts", hourly: bool = False) -> None:
     """Re-run ``job`` for a set of dates as ONE partitioned job.

@@ -24,15 +24,23 @@ def first_per_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return batch.groupBy(*keys).agg(best.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in cols])
 
 
+def without_keys(rows: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose key is not among ``present``; NULL equals NULL."""
+    p = present.select(*(F.col(k).alias(f"_have_{k}") for k in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_have_{k}"))
+    return rows.join(p, same, "left_anti")
+
+
 def insert_absent(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``target`` plus the first batch row of every key it does not hold yet."""
-    fresh = first_per_key(batch, keys, order).join(target.select(*keys), keys, "left_anti")
-    return target.unionByName(fresh.select(*target.columns))
+    """``target`` plus the first batch row of every key it does not hold yet (a NULL in a key is a value like others)."""
+    return target.unionByName(new_rows(target, batch, keys, order).select(*target.columns))
 
 
 def new_rows(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Only the rows ``insert_absent`` would append (what a writer appends)."""
-    return first_per_key(batch, keys, order).join(target.select(*keys), keys, "left_anti")
+    return without_keys(first_per_key(batch, keys, order), target, keys)
 
 
 def assemble_documents(idx: DataFrame, gallery: DataFrame, comments: DataFrame) -> DataFrame:
@@ -51,6 +59,10 @@ def assemble_documents(idx: DataFrame, gallery: DataFrame, comments: DataFrame)
     return d.withColumn("comments", F.when(F.col("comment_count") > 0, F.col("_comments"))).drop("_comments")
 
 
+#: Keys of the search store's tables, and the column whose smallest value wins within a batch.
+STORE_KEYS = {"gallery": (["id"], []), "document": (["gallery_id", "id"], ["created_at"]), "comment": (["gallery_id", "id"], ["created_at"])}
+
+
 def store_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nested documents -> (gallery, document, comment) rows of the search store."""
     gal = docs.select("gallery.id", "gallery.name", "gallery.kind")

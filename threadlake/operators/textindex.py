@@ -1,5 +1,9 @@
 """Title index: n-gram postings and all-grams-match title search.
 
+A search looks up the longest grams of the query only: a title with a gram
+holds all that lie within it.  The rarest list comes first, so that the others
+meet few documents.
+
 The postings table ``(gram, gallery_id, doc_id, tf, positions)`` is built
 with one explode and one grouping; written partitioned/sorted by ``gram`` it
 is the inverted index, and a lookup is a pushed ``gram IN (...)`` filter.
@@ -15,7 +19,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.functions.grams import NGRAM_CLEAN_RE, NGRAM_MAX, NGRAM_MIN, ngrams
+from threadlake.functions.grams import NGRAM_CLEAN_RE, NGRAM_MAX, NGRAM_MIN
 from threadlake.operators.search import TITLE_PAGE, keyset_page, with_gallery
 
 
@@ -79,29 +83,56 @@ def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> N
      .write.format("parquet").mode(mode).option("parquet.bloom.filter.enabled#gram", "true").save(path))
 
 
-def query_grams(spark: SparkSession, query: str, lower: bool = True) -> list[str]:
-    """The distinct grams of a search string (evaluated on a one-row literal)."""
-    row = spark.range(1).select(ngrams(F.lit(query), lower=lower).alias("g")).first()
-    return list(row["g"] or [])
+def gram_cover(spark: SparkSession, query: str, lower: bool = True, max_gram: int = NGRAM_MAX) -> list[str]:
+    """The grams of a search string that lie in no other of its grams, in order.
+
+    All grams of the string are cut from its windows of ``max_gram``
+    characters (or from the whole string, if it is shorter), and a title that
+    holds a window's gram holds every gram within it: characters are filtered
+    one by one, so what is within a gram stays within it.
+    """
+    q = F.lit(query)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - max_gram + 1, F.lit(1))), lambda i: F.regexp_replace(F.substring(q, i, F.lit(max_gram)), NGRAM_CLEAN_RE, ""))
+    row = spark.range(1).select(F.transform(cut, lambda g: F.lower(g) if lower else g).alias("g")).first()
+    grams = list(dict.fromkeys(g for g in row["g"] if g))
+    return [g for g in grams if not any(g != h and g in h for h in grams)]
+
+
+#: Lists that are intersected one after another; those of a longer query are counted together for what is left.
+CHAINED_LISTS = 4
 
 
 def match_all_grams(postings: DataFrame, grams: list[str]) -> DataFrame:
-    """``(gallery_id, doc_id)`` of documents holding every gram in ``grams``."""
+    """``(gallery_id, doc_id)`` of documents holding every gram in ``grams`` (distinct), the rarest list first.
+
+    One row of counts per gram comes to the driver, so as many as the query
+    has; a gram without a list ends the search.
+    """
+    keys = ["gallery_id", "doc_id"]
+    nothing = postings.select(*keys).limit(0)
     if not grams:
-        return postings.select("gallery_id", "doc_id").limit(0)
-    hits = postings.filter(F.col("gram").isin(grams))
-    return (hits.groupBy("gallery_id", "doc_id")
-            .agg(F.countDistinct("gram").alias("hits"))
-            .filter(F.col("hits") == len(grams))
-            .select("gallery_id", "doc_id"))
+        return nothing
+    size = {r["gram"]: r["n"] for r in postings.where(F.col("gram").isin(grams)).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()} if len(grams) > 1 else {grams[0]: 0}
+    if len(size) < len(grams):
+        return nothing
+    order = sorted(grams, key=lambda g: (size[g], g))
+    found = postings.where(F.col("gram") == order[0]).select(*keys)
+    for g in order[1:CHAINED_LISTS]:
+        found = found.join(postings.where(F.col("gram") == g).select(*keys), keys, "left_semi")
+    if rest := order[CHAINED_LISTS:]:
+        hits = postings.where(F.col("gram").isin(rest)).select(*keys).join(found, keys, "left_semi")
+        found = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rest)).select(*keys)  # a list has a document once
+    return found
 
 
 def search_title(postings: DataFrame, document: DataFrame, gallery: DataFrame, title: str,
                  gallery_id: str | None = None, last_created_at: _dt.datetime | None = None,
                  limit: int = TITLE_PAGE, lower: bool = True) -> DataFrame:
-    """Documents whose title holds all grams of ``title``, newest first from the cursor."""
-    spark = postings.sparkSession
-    grams = query_grams(spark, title, lower)
+    """Documents whose title holds all grams of ``title``, newest first from the cursor.
+
+    ``postings`` is the index, as :func:`write_postings` persisted it.
+    """
+    grams = gram_cover(postings.sparkSession, title, lower)
     if gallery_id is not None:
         postings = postings.filter(F.col("gallery_id") == F.lit(gallery_id))
     m = match_all_grams(postings, grams).withColumnRenamed("doc_id", "id")

@@ -194,14 +194,15 @@ def v_rank_feed(spark: SparkSession, sf_dir: str, segment: str) -> DataFrame:
     A page holds the segment's customers of one block of 1000 custkeys (so
     a page is bounded whatever the table size); entries are
     ``{"id": "g<custkey>", "ko_name": c_name, "rank": r}`` in custkey order,
-    r = custkey % 100, quoted for even custkeys.
+    r = custkey % 100, quoted for even custkeys; a kind ("mini") for custkey %
+    10 = 3.
     """
     c = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == segment)
     ck = F.col("c_custkey")
     rank = (ck % 100).cast("string")
     rank_json = F.when(ck % 2 == 0, F.concat(F.lit('"'), rank, F.lit('"'))).otherwise(rank)
     entry = F.concat(F.lit('{"id":"g'), ck.cast("string"), F.lit('","ko_name":"'), F.col("c_name"),
-                     F.lit('","rank":'), rank_json, F.lit("}"))
+                     F.lit('","rank":'), rank_json, F.when(ck % 10 == 3, ',"kind":"Mini"}').otherwise("}"))
     bodies = c.groupBy((ck / 1000).cast("long").alias("feed")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ck.alias("k"), entry.alias("e")))),
                                  lambda x: x["e"]), ",").alias("items"))

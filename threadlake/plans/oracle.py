@@ -127,14 +127,17 @@ SELECT 'g' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'major' AS kind,
 FROM customer WHERE c_acctbal > 0
 """
 
+# ranking feeds: realtime and weekly, a gallery is minor in the minor ranking whatever it says
 VIEWS["rt_feed"] = r"""
-SELECT 'g' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'major' AS kind, CAST(c_custkey % 100 AS INTEGER) AS rank
-FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
+SELECT 'g' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'minor' WHEN c_custkey % 10 = 3 THEN 'mini' ELSE 'major' END AS kind,
+  CAST(c_custkey % 100 AS INTEGER) AS rank
+FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'MACHINERY', 'FURNITURE')
 """
 
 VIEWS["wk_feed"] = r"""
-SELECT 'g' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'major' AS kind, CAST(c_custkey % 100 AS INTEGER) AS rank
-FROM customer WHERE c_mktsegment = 'BUILDING'
+SELECT 'g' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'minor' WHEN c_custkey % 10 = 3 THEN 'mini' ELSE 'major' END AS kind,
+  CAST(c_custkey % 100 AS INTEGER) AS rank
+FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD', 'MACHINERY')
 """
 
 # directory after the refresh at 2024-01-01

@@ -26,10 +26,18 @@ def _d(x: float) -> str:
     return f"CAST({x!r} AS DOUBLE)"
 
 
+#: Customer segments as ranking pages: the major and the minor ranking, realtime and weekly (one segment is in both).
+REALTIME = (("AUTOMOBILE", None), ("MACHINERY", None), ("FURNITURE", "minor"))
+WEEKLY = (("BUILDING", None), ("MACHINERY", None), ("HOUSEHOLD", "minor"))
+
+
+def _feeds(spark, sf_dir, which):
+    return C.one_feed([C.parse_ranking(v_rank_feed(spark, sf_dir, segment), force_kind=kind) for segment, kind in which])
+
+
 def _state(spark, sf_dir):
     prior = v_state_prior(spark, sf_dir)
-    rt = C.parse_ranking(v_rank_feed(spark, sf_dir, "AUTOMOBILE"))
-    wk = C.parse_ranking(v_rank_feed(spark, sf_dir, "BUILDING"))
+    rt, wk = _feeds(spark, sf_dir, REALTIME), _feeds(spark, sf_dir, WEEKLY)
     return C.refresh_directory(prior, rt, wk, dt.datetime.fromisoformat(REFRESH_TS))
 
 
@@ -128,7 +136,7 @@ def _due_where(total: int, part: int) -> str:
 
 @register("src_ranking_feed", with_views(["rt_feed"], "SELECT id, name, kind, rank FROM rt_feed"))
 def src_ranking_feed(spark, sf_dir):
-    rows = C.parse_ranking(v_rank_feed(spark, sf_dir, "AUTOMOBILE"))
+    rows = _feeds(spark, sf_dir, REALTIME)
     return rows.orderBy("rank", "id").select("id", "name", "kind", "rank")
 
 

@@ -21,6 +21,7 @@ UID = "u12"
 CURSOR = dt.datetime(1997, 6, 1)
 CURSOR_SQL = "TIMESTAMP '1997-06-01 00:00:00'"
 TITLE_Q = "tion"
+LONG_Q = "and attion to thanedble"
 TITLE_CURSOR = dt.datetime(2024, 1, 30)
 TITLE_CURSOR_SQL = "TIMESTAMP '2024-01-30 00:00:00'"
 TITLE_GALLERY = "blog.tionsh.example.net"
@@ -200,9 +201,9 @@ def idx_postings(spark, sf_dir):
     return p.select("gram", "gallery_id", "doc_id", "tf", F.array_join("positions", ",").alias("positions"))
 
 
-def _title_search_sql(gallery: str | None) -> str:
+def _title_search_sql(gallery: str | None, title: str = TITLE_Q) -> str:
     gf = f" AND t.gallery_id = '{gallery}'" if gallery else ""
-    q_src = f"(SELECT '' AS gallery_id, 0 AS id, '{TITLE_Q}' AS title)"
+    q_src = f"(SELECT '' AS gallery_id, 0 AS id, '{title}' AS title)"
     return with_views(["v_title"], f""",
 q AS (SELECT DISTINCT gram FROM ({_tok_sql(q_src)}) z),
 hits AS (SELECT gallery_id, doc_id FROM ({_tok_sql('v_title')}) k JOIN q USING (gram)
@@ -217,27 +218,41 @@ def _title_gallery(t):
                     F.lit("major").alias("kind")).distinct()
 
 
-def _title_query(gallery: str | None):
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def title_index(spark, sf_dir):
+    """The persisted title index of a table folder: written at its first search in a session, read by all."""
+    from threadlake.plans.q_sources import scratch
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = scratch(spark, "title-index")
+        X.write_postings(X.build_postings(v_title(spark, sf_dir)), path)
+        _INDEXES[key] = path
+    return spark.read.parquet(_INDEXES[key])
+
+
+def _title_query(title: str, gallery: str | None):
     def q(spark, sf_dir):
         t = v_title(spark, sf_dir)
-        postings = X.build_postings(t)
-        return X.search_title(postings, t, _title_gallery(t), TITLE_Q, gallery_id=gallery,
-                              last_created_at=TITLE_CURSOR)
+        return X.search_title(title_index(spark, sf_dir), t, _title_gallery(t), title, gallery_id=gallery, last_created_at=TITLE_CURSOR)
     return q
 
 
-register("search_title", _title_search_sql(None))(_title_query(None))
+register("search_title", _title_search_sql(None))(_title_query(TITLE_Q, None))
+register("search_gallery_title", _title_search_sql(TITLE_GALLERY))(_title_query(TITLE_Q, TITLE_GALLERY))
+#: A query longer than the longest gram, so of several lists.
+register("search_title_long", _title_search_sql(None, LONG_Q))(_title_query(LONG_Q, None))
 
 
 @register("search_title_index", _title_search_sql(None))
 def search_title_index(spark, sf_dir):
-    """Title search on the persisted index (written once, read with a pushed ``gram IN`` filter)."""
+    """Index and search in one: the index is written anew and read with a pushed filter on its gram."""
     from threadlake.plans.q_sources import scratch
     t = v_title(spark, sf_dir)
     path = scratch(spark, "title-index")
     X.write_postings(X.build_postings(t), path)
     return X.search_title(spark.read.parquet(path), t, _title_gallery(t), TITLE_Q, last_created_at=TITLE_CURSOR)
-register("search_gallery_title", _title_search_sql(TITLE_GALLERY))(_title_query(TITLE_GALLERY))
 
 
 @register("job_title_index", with_views(["v_title"], f"""

@@ -131,6 +131,17 @@ def flt_retention(spark, sf_dir):
     return I.retain(table(spark, sf_dir, "events"), dt.datetime(2024, 1, 20), 7).select("event_id", "ts")
 
 
+@register("job_retention", """
+SELECT event_id, value, strftime(ts, '%Y-%m-%d') AS date FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-13'""")
+def job_retention(spark, sf_dir):
+    """A daily lake after its expired directories are dropped."""
+    root = scratch(spark, "retention")
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    L.write_lake_json(ev, root, mode="overwrite", hourly=False)
+    I.drop_expired(spark, root, dt.datetime(2024, 1, 20, 12), 7)
+    return spark.read.schema("event_id long, value double, date date").json(root).select("event_id", "value", F.col("date").cast("string").alias("date"))
+
+
 BACKFILL_DATES = ["2024-01-05", "2024-01-06"]
 
 

@@ -54,7 +54,7 @@ def upsert_document(spark, sf_dir):
     return ST.insert_absent(target, first.unionByName(again), ["gallery_id", "id"], ["delivery"])
 
 
-def _assembled(spark, sf_dir):
+def assembled(spark, sf_dir):
     return ST.assemble_documents(v_document(spark, sf_dir), v_gallery(spark, sf_dir), v_li_comment(spark, sf_dir))
 
 
@@ -67,22 +67,56 @@ LEFT JOIN (SELECT l_orderkey AS id, count(*) AS n,
                   string_agg(l_returnflag || l_linestatus || ' p' || CAST(l_partkey AS VARCHAR), ',' ORDER BY line_no) AS txt
            FROM li_lines GROUP BY l_orderkey) c ON c.id = d.id"""))
 def join_assemble_doc(spark, sf_dir):
-    a = _assembled(spark, sf_dir)
+    a = assembled(spark, sf_dir)
     return a.select(
         "gallery_id", "id", F.col("gallery.name").alias("gallery_name"), F.col("gallery.kind").alias("gallery_kind"),
         F.when(F.col("comments").isNotNull(), F.size("comments")).cast("long").alias("n_comments"),
         F.array_join(F.transform("comments", lambda c: c["contents"]), ",").alias("comments_text"))
 
 
-@register("job_search_store", with_views(["v_document", "li_lines"], """
-SELECT d.gallery_id, l_orderkey * 1000 + line_no AS id, l_orderkey AS document_id,
-  l_returnflag || l_linestatus || ' p' || CAST(l_partkey AS VARCHAR) AS contents,
-  'n' || CAST(l_suppkey AS VARCHAR) AS author_nickname,
-  CASE WHEN l_suppkey % 2 = 0 THEN 's' || CAST(l_suppkey AS VARCHAR) END AS author_id,
-  CASE WHEN l_suppkey % 2 = 1 THEN '10.2.' || CAST(l_suppkey % 256 AS VARCHAR) END AS author_ip,
-  l_shipdate AS created_at
-FROM li_lines JOIN v_document d ON d.id = l_orderkey WHERE d.comment_count > 0"""))
+def store_rows(gallery, document, comment):
+    """The rows of the three tables under common columns, as one table."""
+    none = F.lit(None)
+    return (gallery.select(F.lit("gallery").alias("store"), "id", none.cast("string").alias("gallery_id"), none.cast("long").alias("document_id"),
+                           F.col("name").alias("text"), "kind", none.cast("string").alias("author"), none.cast("timestamp_ntz").alias("created_at"))
+            .unionByName(document.select(F.lit("document").alias("store"), F.col("id").cast("string").alias("id"), "gallery_id", F.col("id").alias("document_id"),
+                                         F.col("title").alias("text"), "kind", F.concat_ws("/", "author_nickname", "author_id", "author_ip").alias("author"), "created_at"))
+            .unionByName(comment.select(F.lit("comment").alias("store"), F.col("id").cast("string").alias("id"), "gallery_id", "document_id",
+                                        F.col("contents").alias("text"), none.cast("string").alias("kind"),
+                                        F.concat_ws("/", "author_nickname", "author_id", "author_ip").alias("author"), "created_at")))
+
+
+def store_sql(held: bool) -> str:
+    """All rows of the three tables; with ``held`` those that the tables held before (see job_search_store) have the text 'held'."""
+    def text(column: str, cond: str) -> str:
+        return f"CASE WHEN {cond} THEN 'held' ELSE {column} END" if held else column
+
+    return with_views(["v_document", "v_gallery", "li_lines"], f"""
+SELECT 'gallery' AS store, id, CAST(NULL AS VARCHAR) AS gallery_id, CAST(NULL AS BIGINT) AS document_id, {text("name", "CAST(substr(id, 2) AS INTEGER) % 2 = 0")} AS text,
+  kind, CAST(NULL AS VARCHAR) AS author, CAST(NULL AS TIMESTAMP) AS created_at
+FROM v_gallery WHERE id IN (SELECT gallery_id FROM v_document) {"OR CAST(substr(id, 2) AS INTEGER) % 2 = 0" if held else ""}
+UNION ALL
+SELECT 'document', CAST(id AS VARCHAR), gallery_id, id, {text("title", f"created_at < {SPLIT_SQL}")}, kind,
+  concat_ws('/', author_nickname, author_id, author_ip), created_at FROM v_document
+UNION ALL
+SELECT 'comment', CAST(l_orderkey * 1000 + line_no AS VARCHAR), d.gallery_id, l_orderkey,
+  {text("l_returnflag || l_linestatus || ' p' || CAST(l_partkey AS VARCHAR)", "line_no % 3 = 0")}, NULL,
+  concat_ws('/', 'n' || CAST(l_suppkey AS VARCHAR), CASE WHEN l_suppkey % 2 = 0 THEN 's' || CAST(l_suppkey AS VARCHAR) END,
+    CASE WHEN l_suppkey % 2 = 1 THEN '10.2.' || CAST(l_suppkey % 256 AS VARCHAR) END), l_shipdate
+FROM li_lines JOIN v_document d ON d.id = l_orderkey WHERE d.comment_count > 0""")
+
+
+@register("job_search_store", store_sql(held=True))
 def job_search_store(spark, sf_dir):
-    _, _, com = ST.store_tables(_assembled(spark, sf_dir))
-    empty = com.limit(0)
-    return ST.insert_absent(empty, com, ["gallery_id", "id"], ["created_at"])
+    """Gallery, document and comment rows into tables that hold a part of the keys already (rows of text 'held', which stay)."""
+    batch = dict(zip(ST.STORE_KEYS, ST.store_tables(assembled(spark, sf_dir)), strict=True))
+    g, d, c = batch.values()
+    old = F.lit("held")
+    held = {
+        "gallery": v_gallery(spark, sf_dir).where(_nation_of(F.col("id")) % 2 == 0).select("id", old.alias("name"), "kind"),
+        "document": d.where(F.col("created_at") < F.lit(SPLIT).cast("timestamp_ntz")).withColumn("title", old),
+        "comment": c.where(F.col("id") % 1000 % 3 == 0).withColumn("contents", old),
+    }
+    full = [ST.insert_absent(held[name].select(*rows.columns), rows, keys, order or [k for k in rows.columns if k not in keys])
+            for (name, rows), (keys, order) in zip(batch.items(), ST.STORE_KEYS.values(), strict=True)]
+    return store_rows(*full)

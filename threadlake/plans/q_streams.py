@@ -11,11 +11,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from threadlake.operators.store import STORE_KEYS
 from threadlake.plans.adapters import table, v_document, v_report
 from threadlake.plans.catalog import register
 from threadlake.plans.oracle import with_views
-from threadlake.plans.q_crawl import STATE_SQL_COLS, _fold_sql, _state
+from threadlake.plans.q_crawl import _fold_sql, _state
 from threadlake.plans.q_sources import scratch
+from threadlake.plans.q_store import assembled, store_rows, store_sql
 from threadlake.streaming import streams as ST
 
 
@@ -62,9 +64,10 @@ def stream_upsert_documents(spark, sf_dir):
     return spark.read.parquet(target)
 
 
-@register("stream_dedupe", "SELECT event_id, ts, user_id FROM events")
+@register("stream_dedupe", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN ts END AS ts, user_id FROM events")
 def stream_dedupe(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    # every fifth event has no time
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("ts"), "user_id")
     src, out, ck = scratch(spark, "dup-src"), scratch(spark, "dup-out"), scratch(spark, "dup-ck")
     late = F.pmod("event_id", F.lit(7)) == 0
 
@@ -80,27 +83,43 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.schema(e.schema).parquet(out).select(*e.columns)
 
 
+@register("stream_search_store", store_sql(held=False))
+def stream_search_store(spark, sf_dir):
+    """The three store tables filled from documents that are delivered in two parts, the second with all of the first again."""
+    docs = assembled(spark, sf_dir)
+    src, root, ck = scratch(spark, "store-src"), scratch(spark, "store"), scratch(spark, "store-ck")
+
+    def run():
+        stream = spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true").parquet(src)
+        _run(ST.stream_store(stream, root, ck, available_now=True))
+
+    docs.filter(F.col("id") % 3 == 0).write.parquet(f"{src}/a1")
+    run()
+    docs.write.parquet(f"{src}/a2")
+    run()
+    return store_rows(*(spark.read.parquet(f"{root}/{name}") for name in STORE_KEYS))
+
+
 REPORT_SPLIT = dt.datetime(2024, 1, 15)
 
 
 @register("stream_fold_reports", _fold_sql("""
 SELECT id, round(publish_duration_in_seconds, 6) AS publish_duration_in_seconds, last_published_at, last_crawled_at, last_crawled_document_id, last_error, visible
-FROM folded WHERE id IN (SELECT id FROM k3)"""))
+FROM folded"""))
 def stream_fold_reports(spark, sf_dir):
+    """The directory after two arrivals of reports, as the streaming fold leaves it."""
     r = v_report(spark, sf_dir)
-    state = _state(spark, sf_dir)
-    src, out, ck = scratch(spark, "rep-src"), scratch(spark, "rep-out"), scratch(spark, "rep-ck")
+    src, root, ck = scratch(spark, "rep-src"), scratch(spark, "rep-state"), scratch(spark, "rep-ck")
     split = F.lit(REPORT_SPLIT).cast("timestamp_ntz")
-    r.filter(F.col("at") < split).write.parquet(f"{src}/a1")
 
     def run():
         stream = spark.readStream.schema(r.schema).option("recursiveFileLookup", "true").parquet(src)
-        q = (ST.stream_reports(stream, state).writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
-        _run(q)
+        _run(ST.stream_state(stream, _state(spark, sf_dir), root, ck, available_now=True))
 
+    r.filter(F.col("at") < split).write.parquet(f"{src}/a1")
     run()
     r.filter(F.col("at") >= split).write.parquet(f"{src}/a2")
     run()
-    return ST.final_states(spark.read.parquet(out)).withColumn(
-        "publish_duration_in_seconds", F.round("publish_duration_in_seconds", 6))
+    out = ST.StateTable(spark, root).read()
+    return out.select("id", F.round("publish_duration_in_seconds", 6).alias("publish_duration_in_seconds"), "last_published_at", "last_crawled_at",
+                      "last_crawled_document_id", "last_error", "visible")

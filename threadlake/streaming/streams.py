@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: landing, insert-if-absent, dedupe, keyed crawl state.
+"""Structured Streaming jobs: landing, insert-if-absent, dedupe, search store, versioned crawl state.
 
 Every writer takes an explicit checkpoint location (a shared folder on a
 cluster), so a restarted query resumes from its last committed micro-batch;
@@ -8,27 +8,15 @@ log, ``foreachBatch`` writers only append rows whose key is absent).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-import sys
-
-from pyspark import cloudpickle
-
-from threadlake.functions.classify import HIDING_ERRORS
 from threadlake.operators import crawlstate as C
-from threadlake.operators.store import new_rows
-
-# The keyed-state function runs in Python workers.  It is shipped by value
-# (with the plain constants it reads), so a worker needs no copy of this
-# package on its path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-FOLD_WEIGHTS = (C.W1, C.W2, C.CAP1, C.CAP2)
+from threadlake.operators.store import STORE_KEYS, new_rows, store_tables
 
 
 def _trigger(writer, available_now: bool, processing_time: str | None):
@@ -48,10 +36,39 @@ def land_json(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", ava
     return _trigger(w, available_now, processing_time).start()
 
 
-def _exists(spark, path: str) -> bool:
-    """Whether the folder is there; any other fault of the file system is raised."""
+def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there; any other fault of the file system is raised."""
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _batch_key(batch: DataFrame, batch_id: int) -> str:
+    """Name of a micro-batch that is the same when it is run again, and differs between queries."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+    return f"{hashlib.md5(query.encode()).hexdigest()[:12]}-{batch_id}"
+
+
+class Marks:
+    """Commit marks: an empty file per name that says that something has been written."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def has(self, name: str) -> bool:
+        return _exists(self.spark, f"{self.root}/{name}")
+
+    def set(self, name: str) -> None:
+        fs, p = _fs(self.spark, f"{self.root}/{name}")
+        fs.create(p, True).close()
+
+    def names(self) -> list[str]:
+        fs, p = _fs(self.spark, self.root)
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def present_keys(batch: DataFrame, target_path: str, keys: list[str], partition_by: list[str] | None = None,
@@ -99,99 +116,143 @@ def stream_upsert(stream: DataFrame, target_path: str, keys: list[str], order: l
     return _trigger(w, available_now, processing_time).start()
 
 
+#: Event date of events without a time.
+NO_DATE = "none"
+
+
 def dedupe(stream: DataFrame, keys: list[str], event_time: str, target_path: str, checkpoint: str,
-           available_now: bool = False, processing_time: str | None = None) -> StreamingQuery:
+           available_now: bool = False, processing_time: str | None = None, keys_path: str | None = None) -> StreamingQuery:
     """Every event once, however late it first arrives.
 
-    Insert-if-absent into a table partitioned on the event date: a redelivery
-    has the event time of its first delivery, so a batch looks up the dates it
-    touches only.  There is no watermark, so no first delivery is ever dropped.
+    Two tables, both partitioned on the event date and the micro-batch: the
+    events, and a narrow one of their keys (with bloom filters), which is all
+    that a batch looks up: of the dates it touches only, as a redelivery has
+    the event time of its first delivery.  Events without a time share a date
+    of their own, and a NULL in a key is a value like others.  There is no
+    watermark, so no first delivery is ever dropped.  A batch that is run
+    again replaces its own partitions of both tables and looks past its own keys, so an
+    attempt that broke off between the two leaves nothing behind.
+    ``keys_path`` is ``<target_path>-keys`` unless given.
+    """
+    keys_path = keys_path or f"{target_path.rstrip('/')}-keys"
+    names = [*keys, event_time]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, me = batch.sparkSession, _batch_key(batch, batch_id)
+        dated = batch.withColumn("event_date", F.coalesce(F.date_format(event_time, "yyyy-MM-dd"), F.lit(NO_DATE))).persist()
+        try:
+            if _exists(spark, keys_path):
+                schema = dated.select(*names, "event_date").schema.add("batch", "string")
+                have = spark.read.schema(schema).parquet(keys_path).where(F.col("batch") != me)
+                have = have.join(dated.select("event_date").distinct(), "event_date", "left_semi")
+            else:
+                have = dated.limit(0)
+            fresh = new_rows(have, dated, ["event_date", *keys], [event_time]).withColumn("batch", F.lit(me)).persist()
+            try:
+                for table, path in ((fresh, target_path), (fresh.select(*names, "event_date", "batch"), keys_path)):
+                    w = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch")
+                    for k in keys:
+                        w = w.option(f"parquet.bloom.filter.enabled#{k}", "true")
+                    w.parquet(path)
+            finally:
+                fresh.unpersist()
+        finally:
+            dated.unpersist()
+
+    return _trigger(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now, processing_time).start()
+
+
+# ------------------------------------------------------------------ search store
+
+def stream_store(stream: DataFrame, root: str, checkpoint: str, available_now: bool = False,
+                 processing_time: str | None = None) -> StreamingQuery:
+    """Nested documents -> the search store's gallery, document and comment tables under ``root``, each insert-if-absent.
+
+    One micro-batch fills all three; a table is marked once its part of the
+    batch is written.  A batch that is run again after it broke off skips the
+    marked tables, and writes the others against the keys they hold, so
+    nothing stands there twice.  One query per store.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, me = batch.sparkSession, _batch_key(batch, batch_id)
+        marks = Marks(spark, f"{root.rstrip('/')}/_marks")
+        batch = batch.persist()
+        try:
+            for (name, (keys, order)), rows in zip(STORE_KEYS.items(), store_tables(batch), strict=True):
+                if not marks.has(f"{name}-{me}"):
+                    path = f"{root.rstrip('/')}/{name}"
+                    order = order or [c for c in rows.columns if c not in keys]
+                    new_rows(present_keys(rows, path, keys), rows, keys, order).write.mode("append").parquet(path)
+                    marks.set(f"{name}-{me}")
+        finally:
+            batch.unpersist()
+
+    return _trigger(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now, processing_time).start()
+
+
+# ------------------------------------------------------------------ versioned crawl state
+
+class StateTable:
+    """The crawl directory as a table of versions: each micro-batch of reports makes one, and its mark commits it.
+
+    Version 0 is the directory that the reports start from.  A version without
+    its mark is no version: it is written again when its batch is.  The last
+    ``keep`` versions stay.
     """
-    dated = stream.withColumn("event_date", F.date_format(event_time, "yyyy-MM-dd"))
-    return stream_upsert(dated, target_path, ["event_date", *keys], [event_time], checkpoint, available_now=available_now,
-                         processing_time=processing_time, partition_by=["event_date"])
-
-
-# ------------------------------------------------------------------ keyed crawl state
-
-FOLD_OUT = ("id string, n_reports long, publish_duration_in_seconds double, last_published_us long, "
-            "last_crawled_us long, last_crawled_document_id long, last_error string, visible boolean")
-FOLD_STATE = ("n long, d double, has_d boolean, lp long, reg long, lc long, ldoc long, lerr string, "
-              "vis boolean")
-
-
-def _fold_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    w1, w2, cap1, cap2 = FOLD_WEIGHTS
-    k = 1.0 - w1 - w2
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["at_us", "seq"], kind="mergesort")
-    if state.exists:
-        n, d, has_d, lp, reg, lc, ldoc, lerr, vis = state.get
-    else:
-        first = pdf.iloc[0]
-        n = 0
-        has_d = not pd.isna(first["d0"])
-        d = float(first["d0"]) if has_d else 0.0
-        lp = None if pd.isna(first["lp0_us"]) else int(first["lp0_us"])
-        reg = None if pd.isna(first["reg_us"]) else int(first["reg_us"])
-        lc = None if pd.isna(first["lc0_us"]) else int(first["lc0_us"])
-        ldoc = None if pd.isna(first["ldoc0"]) else int(first["ldoc0"])
-        lerr = None if pd.isna(first["lerr0"]) else str(first["lerr0"])
-        vis = bool(first["vis0"])
-    for r in pdf.itertuples(index=False):
-        at = None if pd.isna(r.at_us) else int(r.at_us)
-        err = None if pd.isna(r.error) else str(r.error)
-        o = lp if lp is not None else reg
-        c = 0 if err is not None else int(r.count)
-        if at is None or o is None:
-            term = 0.0
-        elif c == 0:
-            term = w1 * cap1 + w2 * cap2
-        else:
-            elapsed = float(max(int((at - o) / 1e6), 0))
-            x = elapsed / float(c)
-            term = w1 * min(x, cap1) + w2 * min(x, cap2)
-        d = k * (d if has_d else 0.0) + term
-        has_d = True
-        if err is None:
-            if int(r.count) > 0:
-                lp = at
-            ldoc = int(r.last_doc_id)
-        else:
-            lerr = err
-            vis = err not in HIDING_ERRORS
-        lc = at
-        n += 1
-    state.update((n, d, has_d, lp, reg, lc, ldoc, lerr, vis))
-    yield pd.DataFrame([{
-        "id": key[0], "n_reports": n, "publish_duration_in_seconds": d if has_d else None,
-        "last_published_us": lp, "last_crawled_us": lc, "last_crawled_document_id": ldoc,
-        "last_error": lerr, "visible": vis,
-    }])
-
-
-def stream_reports(reports: DataFrame, state: DataFrame) -> DataFrame:
-    """Keyed publish-rate state over a report stream (``applyInPandasWithState``).
-
-    Reports for galleries absent from ``state`` are dropped (inner
-    stream-static join).  Inside a micro-batch reports are applied in
-    ``(at, seq)`` order; across batches in arrival order.  Emits, per batch,
-    the new state of every gallery that received reports.
+
+    def __init__(self, spark: SparkSession, root: str, keep: int = 3) -> None:
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+        self.marks = Marks(spark, f"{self.root}/_marks")
+
+    def _path(self, version: int) -> str:
+        return f"{self.root}/v={version:012d}"
+
+    def versions(self) -> dict[int, str]:
+        """Committed versions with the batch that made them."""
+        return {int(n.split(".")[0]): n.split(".")[1] for n in self.marks.names() if not n.startswith((".", "_"))}
+
+    def read(self, version: int | None = None) -> DataFrame:
+        v = max(self.versions()) if version is None else version
+        return self.spark.read.parquet(self._path(v))
+
+    def commit(self, version: int, rows: DataFrame, batch: str) -> None:
+        rows.write.mode("overwrite").parquet(self._path(version))
+        self.marks.set(f"{version:012d}.{batch}")
+        made = self.versions()
+        for old in sorted(made)[:-self.keep]:
+            for path in (f"{self.marks.root}/{old:012d}.{made[old]}", self._path(old)):
+                fs, p = _fs(self.spark, path)
+                fs.delete(p, True)
+
+
+def stream_state(reports: DataFrame, state: DataFrame, root: str, checkpoint: str, available_now: bool = False,
+                 processing_time: str | None = None,
+                 fold: Callable[[DataFrame, DataFrame], DataFrame] = C.fold_reports) -> StreamingQuery:
+    """Keep the crawl directory up to date from a stream of reports, in a :class:`StateTable` under ``root``.
+
+    ``state`` is the directory to start from, if the table is new.  Applying a
+    report to a gallery's estimate is d -> k d + b, so a run of reports is an
+    affine map too: k^n and a weighted sum, which ``crawlstate.fold_reports``
+    aggregates map-side per gallery and applies to the last version in one
+    join.  Within a micro-batch reports count in the order (at, seq), across
+    batches in arrival order; reports of unknown galleries are dropped.  A
+    batch that is run again finds its version committed, or makes it again
+    from the one before.
     """
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    s = state.select("id", F.col("publish_duration_in_seconds").alias("d0"), us("last_published_at").alias("lp0_us"),
-                     us("registered_at").alias("reg_us"), us("last_crawled_at").alias("lc0_us"),
-                     F.col("last_crawled_document_id").alias("ldoc0"), F.col("last_error").alias("lerr0"),
-                     F.col("visible").alias("vis0"))
-    r = reports.select("id", us("at").alias("at_us"), "seq", "count", "error", "last_doc_id").join(s, "id", "inner")
-    return r.groupBy("id").applyInPandasWithState(_fold_group, FOLD_OUT, FOLD_STATE, "append",
-                                                  GroupStateTimeout.NoTimeout)
-
-
-def final_states(updates: DataFrame) -> DataFrame:
-    """Latest emitted state per gallery, with times back as timestamps."""
-    ts = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz")
-    last = updates.groupBy("id").agg(F.max_by(F.struct(*[c for c in updates.columns if c != "id"]),
-                                              F.col("n_reports")).alias("s")).select("id", "s.*")
-    return last.select("id", "publish_duration_in_seconds", ts("last_published_us").alias("last_published_at"),
-                       ts("last_crawled_us").alias("last_crawled_at"), "last_crawled_document_id", "last_error",
-                       "visible")
+    table = StateTable(reports.sparkSession, root)
+    if not table.versions():
+        table.commit(0, state.select(*C.STATE_COLS), "start")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        now, me = StateTable(batch.sparkSession, root), _batch_key(batch, batch_id)
+        done = now.versions()
+        if me in done.values():
+            return
+        last = max(done)
+        batch = batch.persist()  # read twice by the fold
+        try:
+            now.commit(last + 1, fold(now.read(last), batch), me)
+        finally:
+            batch.unpersist()
+
+    return _trigger(reports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now, processing_time).start()
