@@ -47,7 +47,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
 
-@register("op5_warc_revisits")
+@register("op5_warc_revisits", sql.REVISITS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives with revisit records for equal payloads of any size, read back."""
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
@@ -77,7 +77,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.shared_passages(table(spark, sf_dir, "documents"))
 
 
-@register("op10_benchmark_decontamination")
+@register("op10_benchmark_decontamination", sql.CONTAMINATION)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document repeats of the benchmark, by 13-word windows from the positional index."""
     found = phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -68,3 +68,57 @@ ranked as (
   where m.f is null or 100 * m.f < 50 * a)
 select lang, rank, phrase, a, l, r, n.n, score::bigint as score from ranked join n using (lang) where rank <= 2000
 """
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Base 32 of a SHA-1: five hexadecimal digits are four characters.
+_BASE32 = "list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31)::integer, 1))"
+
+REVISITS = f"""
+with p as (select page_id, url, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h from pages),
+r as (select *, max(page_id) over (partition by h, n) as lead from p)
+select page_id, n::bigint as payload_bytes, array_to_string({_BASE32}, '') as payload_digest,
+  case when page_id = lead then 'response' else 'revisit' end as record_type,
+  case when page_id <> lead then lead end as refers_to, url
+from r
+"""
+
+CONTAMINATION = rf"""
+with b as (
+  select item_id::varchar as item, list_filter(regexp_split_to_array({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from benchmark),
+wins as (
+  select distinct item, least(13, len(ws)) as k,
+    unnest(list_transform(range(1, len(ws) - least(13, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(13, len(ws)) - 1], ' '))) as win
+  from b where len(ws) > 0),
+d as (
+  select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from documents),
+places as (
+  select rid, k, unnest(range(1, len(ws) - k + 2)) as i, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as win
+  from d, (select distinct k from wins) as ks),
+met as (select p.rid, p.i, p.k, w.item from places p join wins w on w.k = p.k and w.win = p.win),
+hit as (select rid, count(distinct j) as n from (select rid, unnest(range(i, i + k)) as j from met) m group by rid),
+items as (select rid, count(*) as n, string_agg(item, ',' order by item) as names from (select distinct rid, item from met) m group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(hit.n, 0)::bigint as n_hit, coalesce(items.n, 0)::bigint as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(ws) as contaminated
+from d left join hit using (rid) left join items using (rid)
+"""
+
+#: Documents with equal sets are one class; links between classes, and whatever they reach.
+NEAR_GROUPS = rf"""
+with recursive d as (
+  select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array({LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+sets as (
+  select rid, doc_id, case when len(ws) >= 5 then list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as s
+  from d),
+signed as (select rid, doc_id, len(s) as n, s, sha256(array_to_string(s, chr(1))) as sig from sets),
+classes as (select sig, min(rid) as c, any_value(n) as n, any_value(s) as s, min(doc_id) as least from signed where n > 0 group by sig),
+grams as (select c, n, unnest(s) as g from classes),
+pairs as (select a.c as a, b.c as b, a.n as na, b.n as nb, count(*) as common from grams a join grams b on a.g = b.g and a.c < b.c and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) group by all),
+links as (select a, b from pairs where 100 * common >= 75 * (na + nb - common)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select c as a, c as b from classes union select r.a, e.b from reach r join both_ways e on e.a = r.b),
+comp as (select r.a as c, min(k.least) as least from reach r join classes k on k.c = r.b group by r.a)
+select s.doc_id, s.n::bigint as n_shingles, case when s.n = 0 then s.doc_id else comp.least end as component_id, case when s.n = 0 then s.doc_id else k.least end as class_id
+from signed s left join classes k on k.sig = s.sig and s.n > 0 left join comp on comp.c = k.c
+"""
