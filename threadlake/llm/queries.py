@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadlake.llm import collocations, counts, jaccard, mixing, passages, phrases, pivots, rules, secrets, sql, tokens, toxicity, triebpe, warc
 from threadlake.llm.registry import ORACLES, QUERIES, Query, register, table
@@ -65,10 +66,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-@register("op8_ngram_jaccard_join")
+@register("op8_ngram_jaccard_join", sql.NEAR_GROUPS)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links at Jaccard 0.75 of 5-word shingles: set size and component per document."""
-    return jaccard.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+    """Links at Jaccard 0.75 of 5-word shingles: set size, component and class (the smallest doc_id of an equal set) per document."""
+    found = jaccard.near_groups(table(spark, sf_dir, "documents"))
+    first = found.where("class_id >= 0").groupBy("class_id").agg(F.min("doc_id").alias("first"))
+    return found.join(first, "class_id", "left").select("doc_id", "n_shingles", "component_id", F.when(F.col("class_id") < 0, F.col("doc_id")).otherwise(F.col("first")).alias("class_id"))
 
 
 @register("op9_shared_passages")
