@@ -238,10 +238,13 @@ def _block_pairs(pct: int, every: bool) -> Callable:
             end = np.searchsorted(n, _PCT * n // pct, "right")
             best = np.full(len(cls), 1 << 40)
             at = np.full(len(cls), -1)
-            for lo in range(0, len(cls), 64):
-                hi = min(lo + 64, len(cls))
+            length = np.array([len(x) for x in bm])
+            lo = 0
+            while lo < len(cls):
+                # rows come by set size, so later bitmaps are as large or larger: a strip's rows have equal ones
+                hi = min(lo + 64, int(np.searchsorted(length, length[lo], "right")))
                 top = int(end[hi - 1])
-                if len(bm[lo]) != size:  # rows come by set size, so later bitmaps are as large or larger
+                if len(bm[lo]) != size:
                     size, start = len(bm[lo]), lo
                     folded = np.stack([_fold(x, size) for x in bm[lo:]])
                 x = _far(folded[lo - start:hi - start], folded[lo - start:top - start])
@@ -268,6 +271,7 @@ def _block_pairs(pct: int, every: bool) -> Callable:
                     m = d < best[lo:top]
                     best[lo:top][m] = d[m]
                     at[lo:top][m] = k[m] + lo
+                lo = hi
             if not every:
                 m = np.flatnonzero(at >= 0)
                 u, v = cls[m], cls[at[m]]
