@@ -219,7 +219,9 @@ def _block_pairs(pct: int, every: bool) -> Callable:
     """Pairs of the blocks of long posting lists that the bounds let pass.
 
     ``every`` false: each member's nearest smaller partner.  ``every`` true:
-    all pairs of different components.
+    all pairs of different components, but for those that share the list
+    before this one, or the one before that, in the order of the grams: they
+    were compared there.  So a pair of many common grams is sent once or a few times.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +234,7 @@ def _block_pairs(pct: int, every: bool) -> Callable:
                 continue
             o = np.lexsort((cls, n))
             cls, n, comp, blk = cls[o], n[o], comp[o], blk[o]
+            last = [[np.asarray(t[f"p{k}"].fill_null(0))[o], np.asarray(t[f"p{k}"].is_valid())[o]] for k in (1, 2)] if every else []
             bits = t["bits"].to_pylist()
             bm = [np.frombuffer(bits[x], np.uint64) for x in o]
             size, folded, start = 0, None, 0
@@ -255,7 +258,12 @@ def _block_pairs(pct: int, every: bool) -> Callable:
                     ok &= blk[lo:hi, None] != blk[None, lo:top]
                 if every:
                     u, v = np.nonzero(ok & (comp[lo:hi, None] != comp[None, lo:top]))
-                    u, v = cls[u + lo], cls[v + lo]
+                    u, v = u + lo, v + lo
+                    met = np.zeros(len(u), bool)
+                    for g, known in last:
+                        for h, there in last:
+                            met |= known[u] & there[v] & (g[u] == h[v])
+                    u, v = cls[u[~met]], cls[v[~met]]
                     new = [(a, b) for a, b in zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True)
                            if (a, b) not in sent]
                     if len(sent) > SEEN:
@@ -404,9 +412,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 75) -> tuple[DataFrame,
         if every:
             x = x.withColumn("lo", F.min("comp").over(by_gram)).withColumn("hi", F.max("comp").over(by_gram)).where("lo < hi").drop("lo", "hi")
         x = x.join(classes.select("cls", "bits"), "cls")
+        last = []
+        if every:  # the class's lists before this one, on the join's partitioning
+            own = Window.partitionBy("cls").orderBy("gram")
+            last = ["p1", "p2"]
+            x = x.withColumn("p1", F.lag("gram", 1).over(own)).withColumn("p2", F.lag("gram", 2).over(own))
         blocks = F.expr(f"cast(ceil(len / {BLOCK}) as int)")
         x = x.withColumn("blk", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        x = x.select("gram", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cls", "n", "comp", "blk", "bits")
+        x = x.select("gram", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cls", "n", "comp", "blk", "bits", *last)
         return x.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(_block_pairs(pct, every), "a long, b long")
 
     def near_enough(pairs: DataFrame, name: str) -> DataFrame:
