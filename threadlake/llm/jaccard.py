@@ -40,6 +40,8 @@ ORDER_GRAMS = 1 << 16
 FREQUENT = 3
 #: Fewest and most bits of a set's bitmap; between them it has one to two bits for each n-gram.
 LEAST_BITS, MOST_BITS = 256, 1 << 14
+#: Bytes of the folded bitmap that goes into the blocks of long posting lists with every member.
+BLOCK_BYTES = 128
 #: Posting lists up to this length emit their pairs at once.
 SHORT_LIST = 8
 #: Members of one block of a longer posting list.
@@ -92,6 +94,11 @@ def _fold(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
+def small_bitmap(bits: bytes) -> bytes | None:
+    """The bitmap folded to BLOCK_BYTES; None if it is not larger."""
+    return _fold(np.frombuffer(bits, np.uint64), BLOCK_BYTES // 8).tobytes() if len(bits) > BLOCK_BYTES else None
+
+
 def _frequent(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,7 +129,7 @@ def _describe(k: int, pct: int, order) -> Callable:
         seen: set[bytes] = set()
         for b in batches:
             for lo, hi, buf, off in W.slices(b.column("text")):
-                out: dict[str, list] = {c: [] for c in ("n", "sig", "bits", "prefix")}
+                out: dict[str, list] = {c: [] for c in ("n", "sig", "bits", "small", "prefix")}
                 for s in gram_sets(buf, off, k):
                     n, sig = len(s), signature(s)
                     new = n and sig not in seen
@@ -130,12 +137,14 @@ def _describe(k: int, pct: int, order) -> Callable:
                     out["sig"].append(sig)
                     if not new:
                         out["bits"].append(None)
+                        out["small"].append(None)
                         out["prefix"].append(None)
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(sig)
                     out["bits"].append(parity(s))
+                    out["small"].append(small_bitmap(out["bits"][-1]))
                     p = n - int(need(np.int64(n), pct)) + 1
                     if len(often):
                         at = np.minimum(np.searchsorted(often, s), len(often) - 1)
@@ -150,8 +159,8 @@ def _describe(k: int, pct: int, order) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(lo, hi - lo), b.column("th").slice(lo, hi - lo), pa.array(out["n"], pa.int64()),
                      pa.array(out["sig"], pa.binary()), pa.array(out["bits"], pa.binary()),
-                     pa.array(out["prefix"], pa.list_(pa.int64()))],
-                    ["doc_id", "th", "n", "sig", "bits", "prefix"])
+                     pa.array(out["small"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64()))],
+                    ["doc_id", "th", "n", "sig", "bits", "small", "prefix"])
     return run
 
 
@@ -386,11 +395,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 75) -> tuple[DataFrame,
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text")).alias("th"))
     order = spark.sparkContext.broadcast(global_order(texts, k))
-    seen = (texts.mapInArrow(_describe(k, pct, order), "doc_id long, th long, n long, sig binary, bits binary, prefix array<long>")
+    seen = (texts.mapInArrow(_describe(k, pct, order), "doc_id long, th long, n long, sig binary, bits binary, small binary, prefix array<long>")
             .withColumn("uid", F.monotonically_increasing_id()))
     seen = scratch.keep(seen, "documents")
-    one = F.min(F.struct("uid", "n", "th", "bits")).alias("r")
-    classes = scratch.keep(seen.where("bits is not null").groupBy("sig").agg(one).select("sig", F.col("r.uid").alias("cls"), "r.n", "r.th", "r.bits"), "classes")
+    one = F.min(F.struct("uid", "n", "th", "bits", "small")).alias("r")
+    classes = scratch.keep(seen.where("bits is not null").groupBy("sig").agg(one).select("sig", F.col("r.uid").alias("cls"), "r.n", "r.th", "r.bits", "r.small"), "classes")
     member = seen.select("uid", "sig").join(classes.select("sig", "cls"), "sig")
 
     by_gram = Window.partitionBy("gram")
@@ -411,7 +420,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 75) -> tuple[DataFrame,
             x = x.join(label, x.cls == label.node, "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
         if every:
             x = x.withColumn("lo", F.min("comp").over(by_gram)).withColumn("hi", F.max("comp").over(by_gram)).where("lo < hi").drop("lo", "hi")
-        x = x.join(classes.select("cls", "bits"), "cls")
+        x = x.join(classes.select("cls", F.coalesce("small", "bits").alias("bits")), "cls")
         last = []
         if every:  # the class's lists before this one, on the join's partitioning
             own = Window.partitionBy("cls").orderBy("gram")
