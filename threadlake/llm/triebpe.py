@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from threadlake.llm import tokens
 
-#: Bounds of what a worker keeps between batches: trie nodes, bytes of remembered words, border decisions.
-MAX_NODES, MEMO_BYTES, MAX_BORDERS = 600_000, 96 << 20, 400_000
+#: Bounds of what a worker keeps between batches: trie nodes, bytes of remembered words and of remembered pieces, border decisions.
+MAX_NODES, MEMO_BYTES, PIECE_BYTES, MAX_BORDERS = 600_000, 96 << 20, 64 << 20, 400_000
 #: Longer pieces and words are encoded without being kept.
 KEPT_CHARS = 64
 _NEVER = 1 << 60
@@ -233,6 +233,8 @@ class Codec:
         self.trie = Trie(self.vocab)
         self.memo: dict[str, bytes] = {}
         self.kept = 0
+        self.known: dict[str, bytes] = {}
+        self.known_kept = 0
         self.chars = tokens._byte_chars()
 
     def _pieces(self, text: str) -> list[str]:
@@ -259,9 +261,26 @@ class Codec:
         return out
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of new words; their pieces that other words had go through the trie once."""
         cut = {w: self._cut(w) for w in words}
-        ids = self.trie.encode(list({p for ps in cut.values() for p in ps if isinstance(p, str)}))
-        return {w: array("I", [i for p in ps for i in ((p,) if isinstance(p, int) else ids[p])]).tobytes() for w, ps in cut.items()}
+        known = self.known
+        new = self.trie.encode(list({p for ps in cut.values() for p in ps if isinstance(p, str) and p not in known}))
+        fresh = {p: array("I", ids).tobytes() for p, ids in new.items()}
+
+        def coded(p: str | int) -> bytes:
+            if isinstance(p, int):
+                return array("I", (p,)).tobytes()
+            return fresh[p] if p in fresh else known[p]
+
+        out = {w: coded(ps[0]) if len(ps) == 1 else b"".join([coded(p) for p in ps]) for w, ps in cut.items()}
+        for p, ids in fresh.items():
+            if len(p) <= KEPT_CHARS:
+                if self.known_kept > PIECE_BYTES:
+                    known.clear()
+                    self.known_kept = 0
+                known[p] = ids
+                self.known_kept += 150 + len(p) + len(ids)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
