@@ -1,8 +1,10 @@
 """Vectorised words and word hashes over Arrow string columns.
 
 The word classes used in this subpackage split only at ASCII bytes, so words
-can be cut on the UTF-8 bytes themselves.  A 64-bit polynomial hash stands for
-a word: two given different words collide with a probability of about 2^-62.
+can be cut on the UTF-8 bytes themselves.  A 64-bit hash stands for a word: its
+pieces of 8 bytes are mixed, each with its place, and summed, so words of at
+most 8 bytes differ in their hashes unless their lengths make up for it, and
+two given longer words collide with a probability of about 2^-64, regular or not.
 Long columns are worked through in slices of bounded bytes, so a task's memory
 does not follow the size of its partition (one single text is never cut).
 """
@@ -10,14 +12,12 @@ does not follow the size of its partition (one single text is never cut).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C13  # odd, 3 mod 8
-_MASK = (1 << 64) - 1
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 #: ASCII white space: space and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -31,19 +31,6 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     h = h ^ (h >> np.uint64(30))
@@ -95,14 +82,24 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash for each word."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(SLICE_BYTES.bit_length(), int(len(buf)).bit_length())
-    power, inverse = _powers(size)
-    x = _TABLE[buf]
-    x *= power[:len(buf)]
-    x = np.append(x, np.uint64(0))
-    edges = np.empty(2 * len(starts), np.int64)
-    edges[0::2], edges[1::2] = starts, ends
-    return mix(np.add.reduceat(x, edges)[0::2] * inverse[starts])
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each byte on
+
+    def piece(at: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+        bits = np.uint64(64) - np.uint64(8) * np.minimum(size, 8).astype(np.uint64)
+        x = (eight[at] << bits) >> bits
+        return mix(mix(x) + mix((place.astype(np.uint64) + np.uint64(1)) * _PLACE))
+
+    size = ends - starts
+    out = piece(starts, size, np.zeros(1, np.int64))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3  # pieces after the first
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at = np.repeat(starts[long], more) + 8 * place
+        out[long] += np.add.reduceat(piece(at, np.repeat(ends[long], more) - at, place), first)
+    return mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
