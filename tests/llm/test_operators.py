@@ -150,6 +150,22 @@ def test_secrets(docs, empty, rows, spark):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_of_a_text_of_many(spark):
+    rng = random.Random(8)
+    part = lambda: rng.choice(["f" * 31, "%032x" % rng.getrandbits(128), "AKIA" + "Z" * 12, "token=" + "%016x" % rng.getrandbits(64), "é", "/usr/local/lib/python/site-packages"])
+    rows = [(1, " ".join("%032x" % rng.getrandbits(128) for _ in range(100_000))), (2, " ".join(part() for _ in range(60_000))), (3, "none")]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in found) == [(d, *brute.secrets(t)) for d, t in rows]
+
+
+def test_candidates_that_touch_a_base_span_go(spark):
+    piece = "uid long, kind int, pos int, gap int, len int, kept boolean, p double"
+    base = [(1, 0, 0, 5, 10, True, None), (1, 1, 0, 12, 20, True, None), (1, 2, 0, 50, 5, False, None), (1, 2, 1, 3, 4, True, None)]  # 5-15, 12-32, (50-55), 58-62
+    runs = [(1, 3, 0, 0, 5, True, 0.5), (1, 3, 1, 9, 2, True, 0.5), (1, 3, 2, 16, 18, True, 0.5), (1, 3, 3, 0, 8, True, 0.5), (1, 3, 4, 4, 1, True, None), (2, 3, 0, 1, 2, True, 0.5)]
+    got = secrets.place(spark.createDataFrame(base + runs, piece)).where("kind = 3").collect()
+    assert sorted((r["uid"], r["start"], r["end"]) for r in got) == [(1, 0, 5), (1, 32, 50), (1, 50, 58), (2, 1, 3)]
+
+
 def test_secret_scan_has_no_python(spark, docs):
     plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -415,6 +431,32 @@ def test_proximity(spark):
     assert phrases.contamination(x, it).where("n_hit > 0").count() == 0
 
 
+@pytest.fixture(scope="module")
+def regular():
+    """Pairs of long different words that sums of powers modulo 2^64 can't tell apart."""
+    out = []
+    for n in (1024, 2048, 4096):
+        w = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        out.append((w, w.translate(str.maketrans("ab", "ba"))))
+    return out
+
+
+def test_regular_words_are_told_apart(spark, regular):
+    rows, items = [], []
+    for i, (v, w) in enumerate(regular):
+        tail = " ".join(f"t{i}x{j}" for j in range(12))
+        rows += [(2 * i, f"{v} {tail}\n{w}\n{v} q w e r\n{w} q w e r"), (2 * i + 1, f"{w} {tail}"), (100 + 2 * i, v), (101 + 2 * i, w)]
+        items.append((f"i{i}", f"{v} {tail}"))
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rules.quality(x, marks(spark, [])).collect()}
+    assert got == {d: brute.counts(t) for d, t in rows}
+    members = jaccard.near_groups(x).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in members) == sorted(brute.groups(rows))
+    it = spark.createDataFrame(items, "item_id string, text string")
+    hits = phrases.contamination(x, it).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in hits) == sorted(brute.contamination(rows, items))
+
+
 def test_word_hashes_follow_words():
     import pyarrow as pa
 

@@ -36,26 +36,38 @@ BINS = 1000
 
 _ALPHABET = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
              "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-_SPAN = "array<struct<start:int,end:int,kind:int,s:string>>"
+_PIECE = "array<struct<kind:int,pos:int,gap:int,len:int,kept:boolean,p:double>>"
 
 
-def find_spans(text: Column, pattern: str, kind: int, value: int | None = None, least: int = 0) -> Column:
-    """Leftmost non-overlapping matches with their code-point spans; those whose group ``value`` is shorter than ``least`` are dropped."""
-    p = F.lit(pattern)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    inner = F.regexp_extract_all(text, p, F.lit(value)) if value is not None else found
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("s"), inner.alias("v"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPAN).alias("out"))
+def find_pieces(text: Column, pattern: str, kind: int, value: int | None = None, least: int = 0, p=None) -> Column:
+    """Leftmost non-overlapping matches in their order: code points since the match before, and of the match.
 
-    def step(acc: Column, r: Column) -> Column:
-        start = acc["at"] + F.length(r["gap"])
-        end = start + F.coalesce(F.length(r["s"]), F.lit(0))
-        one = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), r["s"].alias("s"))
-        old = F.coalesce(acc["out"], F.array().cast(_SPAN))
-        keep = r["s"].isNotNull() & (F.length(r["v"]) >= least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(old, F.array(one))).otherwise(old).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+    Not ``kept`` are those whose group ``value`` is shorter than ``least``; ``p`` is worked out from a match's characters.
+    """
+    regex = F.lit(pattern)
+    found = F.regexp_extract_all(text, regex, F.lit(0))
+    inner = F.regexp_extract_all(text, regex, F.lit(value)) if value is not None else found
+    rows = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("s"), inner.alias("v")), lambda r: r["s"].isNotNull())
+    out = F.transform(rows, lambda r, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("pos"), F.length(r["gap"]).alias("gap"), F.length(r["s"]).alias("len"),
+        (F.length(r["v"]) >= least).alias("kept"), (p(r["s"]) if p else F.lit(None)).cast("double").alias("p")))
+    return F.when(text.rlike(pattern), out).otherwise(F.array()).cast(_PIECE)
+
+
+def place(pieces: DataFrame) -> DataFrame:
+    """Spans (uid, kind, start, end, p) of pieces (uid, kind, pos, gap, len, kept, p); candidates that touch a base span go.
+
+    Positions are running sums, and a candidate looks at the furthest end of the
+    base spans that start before it ends, so the work follows the matches of a
+    text, however many there are.
+    """
+    along = Window.partitionBy("uid", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    x = pieces.repartition("uid").withColumn("end", F.sum(F.col("gap") + F.col("len")).over(along)).withColumn("start", F.col("end") - F.col("len"))
+    base = F.col("kind") < 3
+    x = x.where(F.col("kept") & (base | F.col("p").isNotNull()))
+    before = Window.partitionBy("uid").orderBy(F.when(base, F.col("start")).otherwise(F.col("end")), base).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("reach", F.max(F.when(base, F.col("end"))).over(before))
+    return x.where(base | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).select("uid", "kind", "start", "end", "p")
 
 
 def upper_tail(z: Column) -> Column:
@@ -141,10 +153,11 @@ def cuts(tested: DataFrame) -> list[float]:
     return out
 
 
-def _text(spans: Column) -> Column:
+def _text(kinds: Column) -> Column:
+    """``kind:start:end`` of a row's spans of these kinds, by start and then kind, joined by commas."""
     names = F.array(*(F.lit(k) for k in KINDS))
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+    spans = F.array_sort(F.collect_list(F.when(kinds, F.struct("start", "kind", "end"))))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -155,24 +168,22 @@ def scan(docs: DataFrame) -> DataFrame:
     and spans (base spans and strings that pass the battery, kind ``random``,
     where they touch no base span).
 
-    A null or empty text has no spans.  Repeated rows give a row each.  Other
-    columns are ignored.  An empty table, or one without candidates, has no
-    random spans.
+    A null or empty text has no spans.  A text's matches are rows of their own,
+    so a long text with very many takes time in proportion.  Repeated rows give
+    a row each.  Other columns are ignored.  An empty table, or one without
+    candidates, has no random spans.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "secrets")
-    t = F.col("text")
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    x = x.select("doc_id", find_spans(t, ASSIGN, 0, 1, ASSIGN_VALUE).alias("assign"), find_spans(t, ACCESS, 1).alias("access"),
-                 find_spans(t, HEX, 2).alias("hex"), find_spans(t, CANDIDATE, 3).alias("runs"))
-    base = F.concat("assign", "access", "hex")
-    x = x.withColumn("base", F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    x = x.withColumn("runs", F.filter("runs", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
-    tested = F.transform("runs", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), battery(c["s"]).alias("p")))
-    x = x.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), "base", F.filter(tested, lambda c: c["p"].isNotNull()).alias("runs"))
-    x = scratch.keep(x, "spans")
-    runs = x.select(F.explode("runs").alias("r")).select(length_class(F.col("r.end") - F.col("r.start")).alias("cls"), F.col("r.p").alias("p"))
-    limit = F.array(*(F.lit(c) for c in cuts(runs)))
-    more = F.filter("runs", lambda c: c["p"] >= F.element_at(limit, length_class(c["end"] - c["start"]) + 1))
-    more = F.transform(more, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return x.select("doc_id", *(f"n_{k}" for k in KINDS[:3]), F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.concat("base", more)).alias("spans"))
+    scratch = Scratch(docs.sparkSession, "secrets")
+    t, kind = F.col("text"), F.col("kind")
+    x = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = F.concat(find_pieces(t, ASSIGN, 0, 1, ASSIGN_VALUE), find_pieces(t, ACCESS, 1), find_pieces(t, HEX, 2), find_pieces(t, CANDIDATE, 3, p=battery))
+    x = scratch.keep(x.select("uid", "doc_id", found.alias("pieces")), "pieces")
+    spans = scratch.keep(place(x.select("uid", F.inline("pieces"))), "spans")
+    cls = length_class(F.col("end") - F.col("start"))
+    limit = F.array(*(F.lit(c) for c in cuts(spans.where(kind == 3).select(cls.alias("cls"), "p"))))
+    spans = spans.where((kind < 3) | (F.col("p") >= F.element_at(limit, cls + 1)))
+    spans = spans.groupBy("uid").agg(*(F.count_if(kind == i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])), _text(kind < 3).alias("base"), _text(kind <= 3).alias("spans"))
+    none = F.lit("")
+    return x.select("uid", "doc_id").join(spans, "uid", "left").select(
+        "doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
+        F.sha2(F.coalesce("base", none), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans"))
