@@ -8,7 +8,7 @@ UTF-8 bytes (byte fallback).
 
 No piece continues over a blank or contains a line end, so the parts of a text
 between them are counted on their own, and each different part once per worker
-(up to MEMO_PARTS).
+(up to MEMO_PARTS parts of at most MEMO_CHARS characters).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the tokenizer: the mark of a blank, and what an unknown character costs beyond the lowest score.
 BLANK, UNKNOWN = "▁", 10.0
-MEMO_PARTS = 300_000
+MEMO_PARTS, MEMO_CHARS = 300_000, 64
 
 _PARTS = re.compile(" +[^ ]*")
 
@@ -92,9 +92,11 @@ class Counter:
             w = " " + w if plain else w
             n = memo.get(w)
             if n is None:
-                if len(memo) >= MEMO_PARTS:
-                    memo.clear()
-                n = memo[w] = self.part(w)
+                n = self.part(w)
+                if len(w) <= MEMO_CHARS:
+                    if len(memo) >= MEMO_PARTS:
+                        memo.clear()
+                    memo[w] = n
             total += n
         return total
 

@@ -33,8 +33,8 @@ from threadlake.llm.scratch import Scratch
 
 MAGIC = b"TLIDS\x00\x00\x01"
 BLOCK_IDS = 1 << 16
-#: Words whose ids a worker remembers.
-MEMO_WORDS = 500_000
+#: Words whose ids a worker remembers, and the characters of the longest of them.
+MEMO_WORDS, MEMO_CHARS = 500_000, 64
 #: Characters encoded at once.
 STEP_CHARS = 1 << 20
 
@@ -167,7 +167,8 @@ class Encoder:
     """Ids of whole texts with the tokenizers library, as uint32 arrays.
 
     Where the vocabulary file encodes words between blanks on their own, each
-    distinct word is encoded once and remembered (up to MEMO_WORDS).
+    distinct word is encoded once and remembered (up to MEMO_WORDS of at most
+    MEMO_CHARS characters).
     """
 
     def __init__(self, path: str) -> None:
@@ -188,7 +189,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         rest, tokenize, end_of = [], self.model.tokenize, self.end
         for w in words:
-            if m := _LETTERS.fullmatch(w):
+            if len(w) <= MEMO_CHARS and (m := _LETTERS.fullmatch(w)):
                 word, end = m.groups()
                 if end not in end_of:
                     if len(end_of) > MEMO_WORDS:
@@ -211,7 +212,11 @@ class Encoder:
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
         self._learn(list(new))
-        return [np.frombuffer(b"".join([memo[w] if p is None else p for w, p in zip(t, ps, strict=True)]), "<u4") for t, ps in zip(words, parts, strict=True)]
+        out = [np.frombuffer(b"".join([memo[w] if p is None else p for w, p in zip(t, ps, strict=True)]), "<u4") for t, ps in zip(words, parts, strict=True)]
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del memo[w]
+        return out
 
 
 @lru_cache(2)
