@@ -175,7 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], scratch: Sc
     sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     sample = scratch.keep(sample, "sample")
     ids = spark.sparkContext.broadcast(np.asarray(sample.select("doc_id").toArrow()["doc_id"]).astype(np.int64))
-    words = docs.select("doc_id", "text").mapInArrow(_sample_words(ids), "doc_id long, words array<long>, vals array<float>").dropDuplicates(["doc_id"]).join(sample, "doc_id")
+    words = docs.select("doc_id", "text").mapInArrow(_sample_words(ids), "doc_id long, words array<long>, vals array<float>")
+    # of different texts of one document the same one in each run
+    words = words.groupBy("doc_id").agg(F.min(F.struct("words", "vals")).alias("first")).select("doc_id", "first.*").join(sample, "doc_id")
     words = scratch.keep(words, "words")
     y_sum = [F.sum(c).alias(c) for c in categories]
     total = words.agg(F.count(F.lit(1)).alias("n"), *y_sum).collect()[0]
@@ -265,7 +267,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     calibrated threshold).  A null or empty text has no words and gets the
     models' base probability.  Labels without an id or with a null category
     count for nothing; of several labels of a document the worst counts.
-    Without labels of both kinds nothing is rejected.  Repeated rows give a row
+    Without labels of both kinds nothing is rejected.  Of
+    different texts of a labelled doc_id one trains, the same in each run, and
+    all are calibrated on.  Repeated rows give a row
     each; documents without an id are scored too.  Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
