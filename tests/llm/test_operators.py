@@ -270,6 +270,67 @@ def test_mix(spark, docs, empty, rows):
     assert abs(n["x"] / (n["x"] + n["y"]) - 0.5) < 0.02 and n["y"] == 4000
 
 
+def plain_shares(cells, temper):
+    """Cells (source, lang, topic -> tokens) raked one marginal after the other until nothing changes: probability per cell."""
+    p = {c: float(n > 0) for c, n in cells.items()}
+    want = []
+    for k, name in enumerate(mixing.MARGINALS):
+        share = {}
+        for c, n in cells.items():
+            share[c[k]] = share.get(c[k], 0) + n
+        t = {v: n ** temper[name] if n else 0.0 for v, n in share.items()}
+        want.append({v: x / sum(t.values()) for v, x in t.items()})
+    total = sum(cells.values())
+    for _ in range(400):
+        for k in range(3):
+            have = {}
+            for c, n in cells.items():
+                have[c[k]] = have.get(c[k], 0.0) + n / total * p[c]
+            p = {c: x * (want[k][c[k]] / have[c[k]] if have[c[k]] else 0.0) for c, x in p.items()}
+    return {c: x / max(p.values()) for c, x in p.items()}
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_probabilities_equal_the_plain_version(spark, monkeypatch, most):
+    """On the driver, and as a table where there are more cells than it takes."""
+    rng = random.Random(4)
+    cells = {(s, g, t): 0 if (s, g, t) == ("b", "de", "legal") else rng.choice([5, 40, 900]) for s in "abc" for g in ("de", "en") for t in ("legal", "prose")}
+    x = spark.createDataFrame([(*c, part) for c, n in cells.items() for part in (n // 2, n - n // 2)], "source string, lang string, topic string, n_tokens long")
+    monkeypatch.setattr(mixing, "MAX_CELLS", most)
+    got = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in mixing.cell_probabilities(x, mixing.TEMPER, {}).collect()}
+    want = plain_shares(cells, mixing.TEMPER)
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-7 for c in want)
+    if most == 3:
+        return
+    given = {"lang": {"de": 0.25, "en": 0.75, "fr": 0.5}}
+    half = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in mixing.cell_probabilities(x, mixing.TEMPER, given).collect()}
+    de, en = (sum(n * half[c] for c, n in cells.items() if c[1] == g) for g in ("de", "en"))
+    assert abs(en / de - 3) < 1e-6
+    assert mixing.cell_probabilities(x.limit(0), mixing.TEMPER, {}).count() == 0
+    assert {r["probability"] for r in mixing.cell_probabilities(x.withColumn("n_tokens", x.n_tokens * 0), mixing.TEMPER, {}).collect()} == {0.0}
+
+
+def test_targets_that_cannot_be_met_are_told():
+    with pytest.warns(RuntimeWarning, match="off its target"):
+        mixing.rake(np.array([1.0, 1.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([0.5, 0.5]), np.array([0.2, 0.8])], steps=20)
+
+
+def test_sample_with_a_clashing_column(spark, docs):
+    x = docs.select("*", *(docs.n.alias(c) for c in ("_mix_p", "_mix_source")))
+    kept = mixing.sample(x)
+    assert kept.columns == x.columns and kept.count() == mixing.sample(docs).count()
+
+
+def test_long_words_are_not_remembered():
+    e = tokens.Encoder(queries.vocabulary())
+    texts = ["x" * 100 + " short ab!" + "?" * 200, "A" * 70_000 + " short " + "z" * 65, "short\n" + "é" * 64]
+    want = [np.array(e.tok.encode(t, add_special_tokens=False).ids, "<u4").tolist() for t in texts]
+    assert [x.tolist() for x in e.encode(texts)] == want == [x.tolist() for x in e.encode(texts)]
+    assert e.memo and max(map(len, e.memo)) <= tokens.MEMO_CHARS and max(map(len, e.end)) <= tokens.MEMO_CHARS
+    c = counts.Counter(counts.pieces(queries.vocabulary(queries.PIECES)))
+    assert c.text("y" * 5000 + " word") == c.text("y" * 5000) + c.text("word") and max(map(len, c.memo)) <= counts.MEMO_CHARS
+
+
 def test_jaccard_join(docs, empty, rows):
     same(jaccard.near_groups(docs), ("doc_id", "n_shingles", "component_id"), brute.groups(rows))
     assert jaccard.near_groups(empty).count() == 0
@@ -295,7 +356,21 @@ def test_one_per_group(docs, rows):
     assert kept.columns == docs.columns
     want = {c for d, _, c in brute.groups(rows) if d is not None and c is not None}
     ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    assert sorted(ids) == sorted(want) and kept.where("doc_id is null").count() == 2
+    assert sorted(ids) == sorted(want) and kept.where("doc_id is null").count() == 1  # (None, None); "a b c d" is there with an id
+
+
+def test_rows_go_by_their_own_texts(spark):
+    """Ids that are null or stand for several texts, and a column with the name of a helper column."""
+    rng = random.Random(21)
+    a, b, c = (" ".join(prose(rng, 40)) for _ in range(3))
+    rows = [(1, a, 0), (1, b, 1), (1, b, 1), (2, a, 2), (None, b, 3), (None, c, 4), (None, c, 5), (3, "", 6), (3, "", 7), (None, None, 8), (1, a, 9)]
+    x = spark.createDataFrame(rows, "doc_id long, text string, _key int")
+    kept = jaccard.one_per_group(x)
+    assert kept.columns == x.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, a), (1, b), (None, c), (3, ""), (3, ""), (None, None)], key=repr)
+    assert jaccard.one_per_group(x.limit(0)).count() == 0
+    it = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert sorted(r["_key"] for r in phrases.decontaminate(x, it).collect()) == [1, 1, 3, 4, 5, 6, 7, 8]
 
 
 def test_components(spark):
@@ -407,9 +482,8 @@ def test_contamination(docs, empty, rows, spark):
     want = brute.contamination(rows, [i for i in items if i[0] is not None])
     same(phrases.contamination(docs, it), cols, want)
     assert any(r[-1] for r in want)
-    bad = {r[0] for r in want if r[-1] and r[0] is not None}
     kept = phrases.decontaminate(docs, it)
-    assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((d for d, _ in rows if d not in bad), key=repr)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((r[0] for r in want if not r[-1]), key=repr)
     same(phrases.contamination(docs, it.limit(0)), cols, brute.contamination(rows, []))
     assert phrases.contamination(empty, it).count() == 0
 

@@ -466,13 +466,23 @@ def near_groups(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
 def one_per_group(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     """``docs`` with one document of each group of linked ones: that with the smallest doc_id.
 
-    Documents without words stand alone and stay, and so do documents without
-    an id.  Of repeated rows of one doc_id that stays, one stays.  All columns
-    of ``docs`` come through, whatever their names.
+    Rows are judged by their own texts, which their hashes stand for.  Rows
+    without words stand alone and stay.  A row without an id stays only if its
+    group has no id at all (ties: the smallest hash of the text), and of
+    repeated rows with the same id and text one stays.  All columns of ``docs``
+    come through, whatever their names.
     """
-    m = near_groups(docs, k, pct).where("doc_id is not null")
-    lead = m.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays")).where("stays")
-    both = docs.alias("d").join(lead.alias("l"), F.col("d.doc_id") == F.col("l.doc_id"))
+    key = lambda side: F.xxhash64(F.col(f"{side}text").cast("string"))
+    m = near_groups(docs.select(key("").alias("doc_id"), "text"), k, pct).where("n_shingles > 0")
+    m = m.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("comp"))
+    pairs = docs.groupBy(F.col("doc_id").alias("id"), key("").alias("key")).agg(F.count(F.lit(1)).alias("rows")).join(m, "key")
+    first = F.struct(F.col("id").isNull(), "id", "key")
+    lead = pairs.groupBy("comp").agg(F.min_by(F.struct("id", "key", "rows"), first).alias("l")).select("l.*").alias("l")
+    fresh = "_key"
+    while fresh in docs.columns:
+        fresh += "_"
+    both = docs.alias("d").join(lead, (key("d.") == F.col("l.key")) & F.col("d.doc_id").eqNullSafe(F.col("l.id")))
     single = both.where("l.rows = 1").select("d.*")
-    repeated = both.where("l.rows > 1").select("d.*").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    repeated = both.where("l.rows > 1").select("d.*", F.col("l.key").alias(fresh)).dropDuplicates(["doc_id", fresh]).drop(fresh)
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return single.unionByName(repeated).unionByName(docs.where(~worded))

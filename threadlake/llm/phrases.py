@@ -263,6 +263,12 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 13, share: in
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = 13, share: int = 20) -> DataFrame:
-    """``docs`` without the contaminated ones (by doc_id; documents without an id stay).  All columns come through."""
-    bad = contamination(docs, items, length, share).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("id")).distinct().alias("bad")
-    return docs.alias("d").join(bad, F.col("d.doc_id") == F.col("bad.id"), "left_anti").select("d.*")
+    """``docs`` without the contaminated ones.  All columns come through.
+
+    Rows are judged by their own texts, which their hashes stand for: rows
+    without an id can go, and a row stays if another one of its doc_id goes.
+    """
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+    bad = contamination(keyed, items, length, share).where("contaminated").select(F.col("doc_id").alias("key")).distinct().alias("bad")
+    return docs.alias("d").join(bad, F.xxhash64(F.col("d.text").cast("string")) == F.col("bad.key"), "left_anti").select("d.*")
