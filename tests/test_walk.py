@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from threadlake.operators import walk as W
+from threadlake.operators.pages import parse_list_pages
 
 ROWS = "gallery_id string, page_no long, row_pos int, id long, error string, title string"
 
@@ -103,3 +104,18 @@ def test_walk_has_one_exchange_of_rows(spark):
     rows, marks = tables(spark, {"g": ({1: [5, 4]}, 3)})
     p = W.page_walk(rows, marks)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in p and p.count("Exchange hashpartitioning(gallery_id") <= 2  # the rows' and the marks'
+
+
+def test_tallies_of_parsed_pages_have_a_small_plan(spark):
+    # ids that were read from a page by many steps: joining on them used to grow the plan until the driver's memory ended
+    def row(n):
+        return (f'<tr class="us-post"><td class="gall_num">{n}</td><td class="gall_tit"><a href="x">t</a></td><td class="gall_writer" data-nick="n"></td>'
+                f'<td class="gall_date" title="2024-01-01 00:00:00"></td><td class="gall_count">1</td><td class="gall_recommend">1</td></tr>')
+
+    pages = spark.createDataFrame([("g", 1, f"<table>{row(9)}{row(8)}{row('x')}</table>")], "gallery_id string, page_no long, html string")
+    marks = spark.createDataFrame([("g", 5)], "gallery_id string, mark long")
+    bad = spark.createDataFrame([("g", 8, "body")], "gallery_id string, document_id long, error string")
+    crawled = spark.createDataFrame([("g", 1)], "gallery_id string, worker_part int")
+    found = W.outcomes(W.page_walk(parse_list_pages(pages).select("gallery_id", "page_no", "row_pos", "id", "error"), marks), bad)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert {tuple(r) for r in W.level_tallies(found, crawled).collect()} == {(1, 1, 0, 1, 1, 1, 1), (None, 1, 0, 1, 1, 1, 1)}

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.session import cut_lineage
+
 # Fixed value that must equal the reference's behaviour: the last page of a walk.
 MAX_PAGE = 999
 
@@ -66,8 +68,13 @@ def outcomes(walked: DataFrame, feed_errors: DataFrame | None = None) -> DataFra
     failed gallery).  ``feed_errors``: gallery_id, document_id, error of
     documents whose comments could not be read; such a document counts as a
     failed comment feed and not as a document.
+
+    The walk is written once (``session.cut_lineage``): it is read for each
+    level, and as a part of the plan its ids, which the feeds are joined on,
+    would be followed through every step that read them from a page, in
+    expressions that double with each step.
     """
-    w = walked.select("gallery_id", F.col("id").alias("document_id"), "error", F.col("row_pos").isNull().alias("_page"))
+    w = cut_lineage(walked).select("gallery_id", F.col("id").alias("document_id"), "error", F.col("row_pos").isNull().alias("_page"))
     if feed_errors is not None:
         f = feed_errors.groupBy("gallery_id", "document_id").agg(F.min("error").alias("_feed"))
         w = w.join(f, ["gallery_id", "document_id"], "left")
