@@ -168,6 +168,32 @@ def test_dedupe_stream(spark):
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
 
 
+def test_dedupe_writes_few_small_files(spark):
+    df = spark.range(400).repartition(8).select(F.col("id").alias("event_id"), (F.lit(T0) + F.make_dt_interval((F.col("id") % 10).cast("int"))).cast("timestamp_ntz").alias("ts"))
+    src, out, ck = _tmp(), _tmp(), _tmp()
+    for stream in _arrivals(spark, src, df):
+        ST.dedupe(stream, ["event_id"], "ts", out, ck, available_now=True).awaitTermination()
+    for path in (out, f"{out}-keys"):
+        sizes = [os.path.getsize(f"{d}/{f}") for d, _, files in os.walk(path) for f in files if f.endswith(".parquet")]
+        assert len(sizes) <= 20 and max(sizes) < 100_000  # a file for each of 10 dates, its filter as large as its keys need
+    assert spark.read.parquet(out).count() == 400
+
+
+def test_store_stream_keeps_no_batch_in_memory(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    kept = []
+    keep = DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: kept.append(1) or keep(self, *a))
+    docs = spark.sql("SELECT named_struct('id', 'g', 'name', 'n', 'kind', 'major') AS gallery, 'g' AS gallery_id, id, 't' AS title, 's' AS subject, 'nick' AS author_nickname, 'u' AS author_id, '' AS author_ip, "
+                     "1L AS comment_count, 1L AS like_count, 1L AS view_count, 'text' AS kind, false AS is_recommend, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS created_at, "
+                     "array(named_struct('id', id, 'contents', 'c', 'author', named_struct('nickname', 'n', 'id', 'u', 'ip', ''), 'created_at', TIMESTAMP_NTZ '2024-01-01 00:00:00')) AS comments FROM range(3)")
+    src, root, ck = _tmp(), _tmp(), _tmp()
+    for stream in _arrivals(spark, src, docs, docs):
+        ST.stream_store(stream, root, ck, available_now=True).awaitTermination()
+    assert not kept and [spark.read.parquet(f"{root}/{name}").count() for name in ("gallery", "document", "comment")] == [1, 3, 3]
+
+
 def test_dedupe_without_times_and_keys(spark):
     rows = [(1, T0, "a"), (2, None, "b"), (None, T0, "c"), (None, None, "d"), (2, None, "b")]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, x string")

@@ -150,7 +150,9 @@ def dedupe(stream: DataFrame, keys: list[str], event_time: str, target_path: str
             fresh = new_rows(have, dated, ["event_date", *keys], [event_time]).withColumn("batch", F.lit(me)).persist()
             try:
                 for table, path in ((fresh, target_path), (fresh.select(*names, "event_date", "batch"), keys_path)):
-                    w = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch")
+                    # a date's rows lie together, large dates in several tasks, or every task would write a file for each date
+                    w = table.hint("rebalance", "event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch")
+                    w = w.option("parquet.bloom.filter.adaptive.enabled", "true")  # of a size that fits the keys of a file
                     for k in keys:
                         w = w.option(f"parquet.bloom.filter.enabled#{k}", "true")
                     w.parquet(path)
@@ -172,20 +174,20 @@ def stream_store(stream: DataFrame, root: str, checkpoint: str, available_now: b
     batch is written.  A batch that is run again after it broke off skips the
     marked tables, and writes the others against the keys they hold, so
     nothing stands there twice.  One query per store.
+
+    Each table reads the batch from its source, the columns it needs: kept in
+    memory, nested documents are several times their size in the source's
+    files, and a task would read that much.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, me = batch.sparkSession, _batch_key(batch, batch_id)
         marks = Marks(spark, f"{root.rstrip('/')}/_marks")
-        batch = batch.persist()
-        try:
-            for (name, (keys, order)), rows in zip(STORE_KEYS.items(), store_tables(batch), strict=True):
-                if not marks.has(f"{name}-{me}"):
-                    path = f"{root.rstrip('/')}/{name}"
-                    order = order or [c for c in rows.columns if c not in keys]
-                    new_rows(present_keys(rows, path, keys), rows, keys, order).write.mode("append").parquet(path)
-                    marks.set(f"{name}-{me}")
-        finally:
-            batch.unpersist()
+        for (name, (keys, order)), rows in zip(STORE_KEYS.items(), store_tables(batch), strict=True):
+            if not marks.has(f"{name}-{me}"):
+                path = f"{root.rstrip('/')}/{name}"
+                order = order or [c for c in rows.columns if c not in keys]
+                new_rows(present_keys(rows, path, keys), rows, keys, order).write.mode("append").parquet(path)
+                marks.set(f"{name}-{me}")
 
     return _trigger(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now, processing_time).start()
 
