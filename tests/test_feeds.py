@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
 from threadlake.operators import feeds as FD
 
 AS_OF = dt.datetime(2021, 1, 21)
@@ -133,3 +135,12 @@ def test_max_page_query_keeps_broken_pages(spark, monkeypatch):
     feeds = spark.createDataFrame([("mg", 1, i, b[0]) for i, b in enumerate(BODIES)], "gallery_id string, document_id long, page int, body string")
     monkeypatch.setattr(q_feeds, "v_feed", lambda *_: feeds)
     assert {r.page: r.max_page for r in q_feeds.agg_max_page(spark, "").collect()} == {i: b[1] for i, b in enumerate(BODIES)}
+
+
+def test_usual_comments_are_seen_to_be_good(spark):
+    odd = [dict(ROWS[0], more=1, other="x"), {k: v for k, v in ROWS[1].items() if k not in ("ip", "reg_date")}, dict(ROWS[1], comment_date="01.02 00:44:58")]
+    bad = [dict(ROWS[0], no="12x"), dict(ROWS[0], no=-1), dict(ROWS[0], depth=-1), dict(ROWS[0], depth="0"), dict(ROWS[0], user_id=None), dict(ROWS[0], memo=3), dict(ROWS[0], no=1.5), {"no": 1}]
+    rows = [(json.dumps(c), good) for x, good in ((ROWS + odd, True), (bad, False)) for c in x]
+    df = spark.createDataFrame(rows, "body string, good boolean").select("good", F.parse_json("body").alias("c"))
+    df = df.select("good", FD._comment_error(F.col("c")).isNull().alias("slow"), F.coalesce(FD._good_comment(F.col("c"), F.try_variant_get("c", "$", FD.COMMENT_TYPE)), F.lit(False)).alias("seen"))
+    assert all(r.good == r.slow == r.seen for r in df.collect())
