@@ -166,3 +166,22 @@ def test_title_search_looks_up_the_longest_grams_only(spark):
     plan = E.queries()["search_title"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "EqualTo(gram,tion)" in plan
     assert Q.title_index(spark, "/root/testdata/sf0.001").inputFiles() == Q.title_index(spark, "/root/testdata/sf0.001").inputFiles()
+
+
+def test_postings_of_a_document_are_made_without_a_grouping_of_tokens(spark):
+    from threadlake.operators import textindex as X
+    rows = [("g1", 1, "aAa b@c"), ("g1", 1, "a"), ("g2", 1, "@@"), ("g2", 2, None), (None, 3, "가 B"), ("g3", None, ""), ("g3", 4, "abcdefghijklmn\U0001f600a\0c")]
+    t = spark.createDataFrame(rows, "gallery_id string, id long, title string")
+    for lower in (True, False):
+        want: dict = {}
+        for g, d, title in rows:
+            for i in range(len(title or "")):
+                for j in range(i + 1, min(i + 10, len(title)) + 1):
+                    gram = "".join(c for c in title[i:j] if c not in "@\0\U0001f600")
+                    if gram:
+                        want.setdefault((gram.lower() if lower else gram, g, d), []).append(i + 1)
+        p = X.build_postings(t, lower=lower)
+        assert {(r.gram, r.gallery_id, r.doc_id): (r.tf, r.positions) for r in p.collect()} == {k: (len(v), sorted(v)) for k, v in want.items()}
+        plan = p._jdf.queryExecution().executedPlan().toString()
+        groupings = [ln for ln in plan.split("\n") if "Aggregate(" in ln]
+        assert groupings and all("gram" not in ln for ln in groupings)

@@ -5,69 +5,69 @@ holds all that lie within it.  The rarest list comes first, so that the others
 meet few documents.
 
 The postings table ``(gram, gallery_id, doc_id, tf, positions)`` is built
-with one explode and one grouping; written partitioned/sorted by ``gram`` it
-is the inverted index, and a lookup is a pushed ``gram IN (...)`` filter.
-Grams per title are bounded by ~10x its length; a very common gram only
-makes more rows for the same partial aggregation (the grouping key
-includes the document), never one oversized group.
+from one sorted array of tokens per document; written partitioned/sorted by
+``gram`` it is the inverted index, and a lookup is a pushed ``gram IN (...)``
+filter.  Grams per title are bounded by ~10x its length, and no group holds
+more than a document's tokens, however common a gram is.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions.grams import NGRAM_CLEAN_RE, NGRAM_MAX, NGRAM_MIN
 from threadlake.operators.search import TITLE_PAGE, keyset_page, with_gallery
 
 
-def gram_tokens(docs: DataFrame, field: str = "title", lower: bool = True, min_gram: int = NGRAM_MIN,
-                max_gram: int = NGRAM_MAX, drop_empty: bool = True, by_document: bool = False) -> DataFrame:
-    """One row per token: ``gallery_id, doc_id, pos, gram``.
+def _title_tokens(text: Column) -> Column:
+    """array<struct<gram, pos>>: the tokens of ``functions.grams.ngram_tokens``, of a title whose removed characters are NUL.
 
-    Same tokens as ``functions.grams.ngram_tokens``, generated with two
-    explodes (start position, then length) so each gram is a plain row
-    expression inside whole-stage codegen rather than a lambda over an array.
-
-    With ``by_document`` the compact input ``(gallery_id, doc_id, text)`` is
-    hash-partitioned by document first: token generation runs on every
-    partition whatever the input file layout, and a later grouping whose key
-    contains the document needs no shuffle of the (~10x larger) tokens.  The
-    partition count is fixed (``spark.sql.shuffle.partitions``) rather than
-    coalesced by AQE: coalescing would size the partitions by the compact
-    titles, while the stage after the exchange emits ~10x more tokens.
+    The tokens at a place are cut from the NGRAM_MAX characters there, not from the whole title.
     """
-    t = docs.select("gallery_id", F.col("id").alias("doc_id"), F.col(field).alias("_t"))
-    if by_document:
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        t = t.repartition(n, "gallery_id", "doc_id")
-    n = F.length("_t")
-    t = t.select("*", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("pos"))
-    t = t.select("*", F.explode(F.sequence(F.lit(min_gram), F.least(F.lit(max_gram), n - F.col("pos") + 1)))
-                 .alias("_len"))
-    g = F.regexp_replace(F.col("_t").substr(F.col("pos"), F.col("_len")), NGRAM_CLEAN_RE, "")
-    if lower:
-        g = F.lower(g)
-    out = t.select("gallery_id", "doc_id", "pos", g.alias("gram"))
-    return out.filter(F.length("gram") > 0) if drop_empty else out
+    def at(i: Column) -> Column:
+        return F.transform(F.array(F.substring(text, i, F.lit(NGRAM_MAX))), of_window(i))[0]
+
+    def of_window(i: Column):
+        def cut(w: Column) -> Column:
+            return F.transform(F.sequence(F.lit(NGRAM_MIN), F.length(w)), lambda k: F.struct(F.replace(F.substring(w, F.lit(1), k), F.lit("\0"), F.lit("")).alias("gram"), i.alias("pos")))
+        return cut
+
+    n = F.length(text)
+    toks = F.flatten(F.transform(F.sequence(F.lit(1), n), at))
+    return F.when(n > 0, F.filter(toks, lambda t: t["gram"] != "")).otherwise(F.array().cast("array<struct<gram:string,pos:int>>"))
 
 
 def build_postings(docs: DataFrame, field: str = "title", lower: bool = True) -> DataFrame:
     """Per gram and document: term frequency and sorted positions.
 
-    Documents are partitioned once (by gallery and document); the tokens
-    are generated and grouped inside those partitions, so the token volume
-    is never shuffled.  Tokens left empty by the character filter are
-    grouped and dropped afterwards (one check per group, not per token).
+    Titles are partitioned once (by gallery and document).  The tokens of a
+    document are sorted as one array and cut where the gram changes, so the
+    token volume is neither shuffled nor hashed row by row.  Characters are
+    filtered once per title: a removed one is held as NUL, which is no kept
+    character, so that places stay as they are.  The partition count is fixed
+    (``spark.sql.shuffle.partitions``) rather than coalesced by AQE:
+    coalescing would size the partitions by the compact titles, while this
+    stage emits ~10x more tokens.
     """
-    toks = gram_tokens(docs, field, lower, drop_empty=False, by_document=True)
-    post = toks.groupBy("gram", "gallery_id", "doc_id").agg(
-        F.count(F.lit(1)).alias("tf"),
-        F.array_sort(F.collect_list("pos")).alias("positions"),
-    )
-    return post.filter(F.col("gram") != "")
+    keys = ["gallery_id", "doc_id"]
+    kept = F.regexp_replace(F.col(field), NGRAM_CLEAN_RE, "\0")
+    t = docs.select("gallery_id", F.col("id").alias("doc_id"), (F.lower(kept) if lower else kept).alias("_t"))
+    t = t.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    t = t.groupBy(*keys).agg(F.collect_list("_t").alias("_t"))  # repeated documents are one
+    # each step's arrays are made once and read by the next; a filter on their sizes would make them anew for each look
+    s, first = F.col("_s"), F.col("_first")
+    t = t.select(*keys, F.sort_array(F.flatten(F.transform("_t", _title_tokens))).alias("_s"))
+    t = t.select(*keys, "_s", F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i)["gram"] != F.get(s, i - 1)["gram"])).alias("_first"))
+
+    def posting(b: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(first, k + 1), F.size(s))
+        return F.struct(F.get(s, b)["gram"].alias("gram"), F.transform(F.slice(s, b + 1, end - b), lambda x: x["pos"]).alias("positions"))
+
+    t = t.select(*keys, F.explode(F.transform(first, posting)).alias("_p"))
+    return t.select("_p.gram", *keys, F.size("_p.positions").cast("long").alias("tf"), "_p.positions")
 
 
 def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
