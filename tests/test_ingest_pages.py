@@ -144,3 +144,19 @@ def test_expired_directories_are_dropped_without_reading(spark):
     left = set(os.listdir(root))
     assert {f"date=2021-01-{d:02d}" for d in range(4, 11)} < left and len(left) == 11
     assert I.drop_expired(spark, root, dt.datetime(2021, 1, 11, 5), 7) == []
+
+
+def test_list_pages_are_parsed_in_a_fixed_count_of_tasks(spark):
+    import __spark_entry__ as E
+    df = E.queries()["job_extract_list_pages"](spark, "/root/testdata/sf0.001")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert df.rdd.getNumPartitions() == n  # AQE would make one task of these few bytes
+
+
+def test_classes_are_read_from_opening_tags_in_any_case(spark):
+    from pyspark.sql import functions as F
+
+    from threadlake.functions import html as H
+    page = '<td CLASS="a b">x</td class="c"><p>class="d"<i id=1>'
+    got = spark.range(1).select(H.class_lines(H.elements(F.lit(page))).alias("c")).first().c
+    assert [x.split() for x in got.split("\n")] == [["a", "b"], [], [], []]

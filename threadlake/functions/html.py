@@ -68,7 +68,9 @@ def elements(page) -> Column:
     attribute.  The ``raw`` parts joined are the page.
     """
     def named(t: Column) -> Column:
-        classes = F.when(F.instr(F.lower(t), "class") > 0, F.regexp_extract(t, rf"{_BEFORE}(?i:class)\s*+=\s*+{_VALUE}", 1))
+        # closing tags have none; a text is lower-cased only if it doesn't show the word as it is mostly written
+        has = ~t.startswith("</") & ((F.instr(t, "class") > 0) | (F.instr(F.lower(t), "class") > 0))
+        classes = F.when(has, F.regexp_extract(t, rf"{_BEFORE}(?i:class)\s*+=\s*+{_VALUE}", 1))
         return F.struct(t.alias("raw"), F.lower(F.regexp_extract(t, _NAME, 1)).alias("name"), classes.alias("classes"))
 
     def entry(e: Column) -> Column:
