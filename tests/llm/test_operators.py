@@ -336,6 +336,23 @@ def test_jaccard_join(docs, empty, rows):
     assert jaccard.near_groups(empty).count() == 0
 
 
+def test_jaccard_classes_come_from_the_sets_alone(spark):
+    # rows need no shuffle to learn their class: it is the same among other rows, in another order and split
+    rng = random.Random(88)
+    texts = [" ".join(prose(rng, 30)) for _ in range(20)] + ["", "two words"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t.replace(" ", " \n")) for i, t in enumerate(texts)]
+
+    def classes(rows, parts):
+        x = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        return {r["doc_id"]: r["class_id"] for r in jaccard.near_groups(x).collect()}
+
+    found = classes(rows, 3)
+    assert all(found[i] == found[100 + i] for i in range(len(texts))) and len(set(found.values())) == len(texts)
+    assert found[20] == found[120] == -1 and min(found.values()) == -1
+    few = classes(rows[:2:-3], 2)
+    assert few == {d: found[d] for d in few}
+
+
 def test_jaccard_join_long_lists(spark, monkeypatch):
     """One large group of near copies whose links form chains, over several blocks."""
     rng = random.Random(8)
