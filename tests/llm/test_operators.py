@@ -485,6 +485,50 @@ def test_passages_of_frequent_lines_against_brute_force(spark):
     assert {d: w - found.get(d, set()) for d, w in want.items() if w - found.get(d, set())} == {}
 
 
+def test_fuzzy_passages_of_frequent_lines_between_middle_rows(spark):
+    rng = random.Random(90)
+
+    def other(n: int) -> list[str]:
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    lines = [other(30) for _ in range(4)]
+    apart = [[w for x in rng.sample(lines, 4) for w in x + other(60)] for _ in range(4)]
+    a, b, c, d = lines
+    # words replaced, and words put in, between two lines that the first and last rows have apart
+    middle = [other(20) + a[:24] + other(3) + b[:24] + other(20), other(35) + a[:24] + other(3) + b[:24] + other(20),
+              other(20) + c + d + other(20), other(9) + c + other(2) + d + other(20), other(120)]
+    texts = apart[:2] + middle + apart[2:]
+    x = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["spans"], r["other_ids"]) for r in passages.shared_passages(x).collect()}
+    assert found == {2: ("20:71", [3]), 3: ("35:86", [2]), 4: ("20:80", [5]), 5: ("9:71", [4])}
+
+
+def test_contexts_in_blocks_against_plain(spark, monkeypatch):
+    rng = np.random.default_rng(91)
+    x, y = (rng.integers(0, 3, (n, passages.WIDE)).astype(np.int32) for n in (40, 60))
+    y[:30] = np.where(rng.random((30, passages.WIDE)) < 0.85, x[:30], y[:30])
+    x[rng.random(40) < 0.3, 25:] = -1
+    y[rng.random(60) < 0.3, 40:] = -2
+    key = passages._grown(x, y)
+    size, _ = passages._sizes(key, np.zeros_like(key))
+    for i, j in np.ndindex(key.shape):
+        s = np.cumsum(np.where(x[i] == y[j], 1, -2))
+        assert size[i, j] - passages.K == (s.argmax() + 1 if s.max() > 0 else 0)
+    none = np.zeros(30, np.int16)
+    assert (passages._tail(x[:30], y[:30], 0, none, none) == key[np.arange(30), np.arange(30)]).all()
+    # the same passages, however the contexts of a seed are cut
+    r = random.Random(92)
+    line = [f"l{i}" for i in range(30)]
+    texts = [[f"u{r.randrange(10**9)}" for _ in range(40)] + line + [f"u{r.randrange(10**9)}" for _ in range(40)] for _ in range(30)]
+    for k in (7, 11, 19):
+        texts[k][70:95] = [f"v{i}" if i != k else "changed" for i in range(25)]
+    t = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    whole = sorted(passages.shared_passages(t).collect())
+    assert [w["doc_id"] for w in whole] == [7, 11, 19]
+    monkeypatch.setattr(passages, "BLOCK", 4)
+    assert sorted(passages.shared_passages(t).collect()) == whole
+
+
 def test_chain_prefers_collinear_anchors():
     best = passages.chain(np.array([0, 8, 16, 16, 24]), np.array([100, 108, 116, 3, 124]))[0]
     assert best[0].tolist() == [0, 8, 16, 24] and best[1].tolist() == [100, 108, 116, 124]
