@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
@@ -503,6 +504,23 @@ def test_fuzzy_passages_of_frequent_lines_between_middle_rows(spark):
     assert found == {2: ("20:71", [3]), 3: ("35:86", [2]), 4: ("20:80", [5]), 5: ("9:71", [4])}
 
 
+def test_passages_are_aligned_and_merged_in_slices():
+    words = np.arange(60, dtype="<u2").tobytes()
+    n = 2 * passages.SLICE + 5
+    one = pa.array([[0]] * n, pa.list_(pa.int32()))
+    b = pa.RecordBatch.from_pydict({
+        "uid": pa.array(range(n), pa.int64()), "doc_id": pa.array(range(n), pa.int64()), "other": pa.array(range(1, n + 1), pa.int64()), "other_id": pa.array(range(1, n + 1), pa.int64()),
+        "p": one, "q": one, "len": pa.array([[8]] * n, pa.list_(pa.int32())),
+        "base": pa.array([0] * n, pa.int32()), "obase": pa.array([0] * n, pa.int32()),
+        "codes": pa.array([words] * n, pa.binary()), "ocodes": pa.array([words if i % 3 else words[:40] for i in range(n)], pa.binary())})
+    out = list(passages._aligned(iter([b])))
+    assert max(x.num_rows for x in out) <= passages.SLICE
+    assert [(r["uid"], r["start"], r["end"]) for x in out for r in x.to_pylist()] == [(i, 0, 60) for i in range(n) if i % 3]
+    chains = [[{"other_id": 7, "start": 3, "end": 63, "first": True}]] * n
+    out = list(passages._merged(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n), pa.int64()), "chains": pa.array(chains)})])))
+    assert max(x.num_rows for x in out) <= passages.SLICE and [r["doc_id"] for x in out for r in x.to_pylist()] == list(range(n))
+
+
 def test_contexts_in_blocks_against_plain(spark, monkeypatch):
     rng = np.random.default_rng(91)
     x, y = (rng.integers(0, 3, (n, passages.WIDE)).astype(np.int32) for n in (40, 60))
