@@ -547,6 +547,49 @@ def test_contexts_in_blocks_against_plain(spark, monkeypatch):
     assert sorted(passages.shared_passages(t).collect()) == whole
 
 
+def test_aligned_at_once_against_one_by_one():
+    rng = np.random.default_rng(93)
+    rows = []
+    for k in range(400):
+        x = rng.integers(0, 1 << 16 if k % 3 else 5, 700).astype("<u2")
+        y = x.copy()
+        at = rng.random(700) < (0, 0.05, 0.15, 0.25)[k % 4]
+        y[at] = rng.integers(0, 1 << 16, int(at.sum()))
+        cut, m = int(rng.integers(300, 400)), int(rng.integers(0, 30))
+        y = np.concatenate([y[:cut], rng.integers(0, 1 << 16, m).astype("<u2"), y[cut + int(rng.integers(0, 30)):]])
+        far = int(rng.integers(0, 200))
+        p = [150, cut + 60] if k % 2 else [150]
+        rows.append((x[far:], y[far:], [v - far for v in p if v >= far], [v - far + (m if v > cut else 0) for v in p if v >= far]))
+    rows = [r for r in rows if r[2] and r[3][-1] + 8 < len(r[1])]
+    n = len(rows)
+    ints = pa.list_(pa.int32())
+    b = pa.RecordBatch.from_pydict({
+        "uid": pa.array(range(n), pa.int64()), "doc_id": pa.array(range(n), pa.int64()), "other": pa.array(range(n, 0, -1), pa.int64()), "other_id": pa.array(range(n, 0, -1), pa.int64()),
+        "p": pa.array([r[2] for r in rows], ints), "q": pa.array([r[3] for r in rows], ints), "len": pa.array([[8] * len(r[2]) for r in rows], ints),
+        "base": pa.array([0] * n, pa.int32()), "obase": pa.array([0] * n, pa.int32()), "codes": pa.array([r[0].tobytes() for r in rows], pa.binary()), "ocodes": pa.array([r[1].tobytes() for r in rows], pa.binary())})
+    able = passages._long_enough(b)
+    want = {(i, s, e) for i, (x, y, p, q) in enumerate(rows) if able[i]
+            for s, e, *_ in passages.align(x, y, np.array(p), np.array(q), np.full(len(p), 8)) if e - s >= passages.MIN_PASSAGE}
+    assert {(r["uid"], r["start"], r["end"]) for z in passages._aligned(iter([b])) for r in z.to_pylist()} == want and len(want) > 100
+    left, right = passages._ends(b)
+    assert passages._straight(b, left, right)[0].sum() > 50  # most are told without a loop over the chains
+
+
+def test_places_of_a_text_that_repeats_itself():
+    # every place of a run meets every place of the other: the best for each WINDOW words, found a segment at a time
+    rng = np.random.default_rng(94)
+    worth = np.where(rng.random((20, 50)) < 0.5, rng.integers(25, 80, (20, 50)), 0)
+    at, to = np.sort(rng.integers(0, 300, 20)), np.sort(rng.integers(0, 300, 50))
+    first = np.array([0, 7, 8, 30])
+    u, v, rank = passages._best(worth, at, to, first)
+    want = []
+    for i in range(20):
+        for lo, hi in zip(first, [*first[1:], 50], strict=True):
+            if pairs := [(abs(int(to[j] - at[i])) - (int(worth[i, j]) << 32), i, j) for j in range(lo, hi) if worth[i, j]]:
+                want.append(min(pairs))
+    assert list(zip(rank.tolist(), u.tolist(), v.tolist(), strict=True)) == want
+
+
 def test_chain_prefers_collinear_anchors():
     best = passages.chain(np.array([0, 8, 16, 16, 24]), np.array([100, 108, 116, 3, 124]))[0]
     assert best[0].tolist() == [0, 8, 16, 24] and best[1].tolist() == [100, 108, 116, 124]
