@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
@@ -547,6 +548,51 @@ def test_contexts_in_blocks_against_plain(spark, monkeypatch):
     assert sorted(passages.shared_passages(t).collect()) == whole
 
 
+def test_passages_in_rounds_are_those_of_one(spark, monkeypatch):
+    r = random.Random(93)
+
+    def other(n: int) -> list[str]:
+        return [f"u{r.randrange(10**9)}" for _ in range(n)]
+
+    # rows that hold a line more than once, alike and not, and rows that share one of these places word by word
+    line = [f"l{i}" for i in range(60)]
+    wide = [other(70) + line + other(70) for _ in range(6)]
+    texts = [[w for x in r.sample(wide, 3) for w in x] for _ in range(12)] + [other(40) + line[k:k + 55] + other(40) + line[:50] for k in range(6)] + [other(200) for _ in range(4)]
+    for t in texts[3:9]:
+        for k in r.sample(range(len(t)), 8):
+            t[k] = f"changed{k}"
+    x = spark.createDataFrame([(i % 20, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    one = sorted(passages.shared_passages(x).collect(), key=str)
+    assert len(one) == 18
+    met: list[tuple] = []
+    real = passages._by_blocks
+
+    def spy(classes, codes, groups, g, h, *rest):
+        met.append((g, h))
+        return real(classes, codes, groups, g, h, *rest)
+
+    monkeypatch.setattr(passages, "_groups_for", lambda classes, budget: 3)
+    monkeypatch.setattr(passages, "_by_blocks", spy)
+    monkeypatch.setattr(passages, "PACKED", 2e-3)  # and several slices of a round
+    monkeypatch.setattr(passages, "FEW", 4)
+    assert sorted(passages.shared_passages(x).collect(), key=str) == one
+    assert met == [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]
+
+
+def test_passages_drop_tables_that_are_read_no_more(docs, monkeypatch):
+    left: dict[str, set] = {}
+
+    class Watched(passages.Scratch):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            left.setdefault(name, set(os.listdir(self.path)))
+            return out
+
+    monkeypatch.setattr(passages, "Scratch", Watched)
+    passages.shared_passages(docs)
+    assert left["alike"] == {"codes", "ends", "contexts", "alike"} and left["chains"] == left["alike"] | {"chains"}
+
+
 def test_aligned_at_once_against_one_by_one():
     rng = np.random.default_rng(93)
     rows = []
