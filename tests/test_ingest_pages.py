@@ -160,3 +160,23 @@ def test_classes_are_read_from_opening_tags_in_any_case(spark):
     page = '<td CLASS="a b">x</td class="c"><p>class="d"<i id=1>'
     got = spark.range(1).select(H.class_lines(H.elements(F.lit(page))).alias("c")).first().c
     assert [x.split() for x in got.split("\n")] == [["a", "b"], [], [], []]
+
+
+def test_list_pages_are_dealt_out_before_their_markup_is_made(spark):
+    from threadlake.plans import adapters as A
+    for pages in (A.v_list_page(spark, "/root/testdata/sf0.001"), A.v_walk_page(spark, "/root/testdata/sf0.001")):
+        plan = pages._jdf.queryExecution().optimizedPlan().toString()
+        dealt = plan.index("RepartitionByExpression [gallery_id")
+        assert "us-post" in plan[:dealt] and "us-post" not in plan[dealt:]
+
+
+def test_rows_begin_at_their_tags_and_classes_are_found_whole(spark):
+    from pyspark.sql import functions as F
+
+    from threadlake.functions import html as H
+    page = 'a <p class="us-post x">1</p> us-post <i title="a < b>" CLASS=us-post>2</i><p class="us-posts">3'
+    df = spark.createDataFrame([(page,), ("no row <",), ("",), (None,)], "page string").select(H.split_at_class("page", "us-post").alias("p"))
+    assert [r.p for r in df.collect()] == [['<p class="us-post x">1</p> us-post ', '<i title="a < b>" CLASS=us-post>2</i><p class="us-posts">3'], [], [], None]
+    lines = spark.createDataFrame([("  \n é a \n b a \n  ",), ("  ",), (None,)], "c string")
+    assert [tuple(r) for r in lines.select(*(H.first_of_class("c", k) for k in ("a", "b", "é", "x"))).collect()] == [(2, 3, 2, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+    assert spark.range(1).select(H.first_of_class(F.lit(" a "), "a")).first()[0] == 1

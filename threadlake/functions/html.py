@@ -45,19 +45,20 @@ def attribute(tag, name: str) -> Column:
     t = as_col(tag)
     value = F.nullif(F.regexp_extract(t, rf"{_BEFORE}(?i:{name})\s*+=\s*+{_VALUE}", 1), F.lit(""))
     empty = F.when(t.rlike(rf"{_BEFORE}(?i:{name})(?=[\s/>=])"), F.lit(""))
-    return F.when(F.instr(F.lower(t), name.lower()) > 0, F.coalesce(value, empty))
+    # a text is lower-cased only if it doesn't show the name as it is mostly written
+    return F.when(t.contains(name.lower()) | F.lower(t).contains(name.lower()), F.coalesce(value, empty))
 
 
 def split_at_class(page, cls: str) -> Column:
     """The parts of a page that begin with an opening tag of the class, as an array; what stands before the first is left out."""
     value = rf"""(?:"(?:[^"]*\s)?{cls}(?=[\s"])|'(?:[^']*\s)?{cls}(?=[\s'])|{cls}(?=[\s>]))"""
-    exact = rf"(?={_BEFORE[1:]}(?i:class)\s*+=\s*+{value})"
+    exact = rf"(?={_BEFORE[2:]}(?i:class)\s*+=\s*+{value})"
     # comments and scripts hold no elements
     p = F.regexp_replace(as_col(page), rf"<(?:!--(?:[^-]++|-(?!->))*+(?:-->|\z)|{_RAW}(?=[\s/>]){_IN_TAG}>(?:[^<]++|<(?!/{_RAW}\b))*+(?:</{_RAW}[^>]*+>|\z))", "")
     p = F.concat(F.lit(" "), p)
     # a tag without angle brackets in its quotes shows the class before its end: few tags need the exact look
-    parts = F.when(p.rlike(_QUOTED_ANGLE), F.split(p, exact)).otherwise(F.split(p, rf"(?=<[a-zA-Z][^<>]*{cls}){exact}"))
-    return F.filter(parts, lambda _, i: i > 0)
+    parts = F.when(p.rlike(_QUOTED_ANGLE), F.split(p, rf"<{exact}")).otherwise(F.split(p, rf"<(?=[a-zA-Z][^<>]*{cls}){exact}"))
+    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.concat(F.lit("<"), x))
 
 
 def elements(page) -> Column:
@@ -69,7 +70,7 @@ def elements(page) -> Column:
     """
     def named(t: Column) -> Column:
         # closing tags have none; a text is lower-cased only if it doesn't show the word as it is mostly written
-        has = ~t.startswith("</") & ((F.instr(t, "class") > 0) | (F.instr(F.lower(t), "class") > 0))
+        has = ~t.startswith("</") & (t.contains("class") | F.lower(t).contains("class"))
         classes = F.when(has, F.regexp_extract(t, rf"{_BEFORE}(?i:class)\s*+=\s*+{_VALUE}", 1))
         return F.struct(t.alias("raw"), F.lower(F.regexp_extract(t, _NAME, 1)).alias("name"), classes.alias("classes"))
 
@@ -110,8 +111,9 @@ def _line_at(lines: Column, at: Column) -> Column:
 def first_of_class(lines, cls: str) -> Column:
     """Position (from 1) of the first element of the class, by the :func:`class_lines`; 0 without one."""
     lines = as_col(lines)
-    at = F.instr(lines, f" {cls} ")
-    return F.when(at > 0, _line_at(lines, at)).otherwise(0)
+    before = F.substring_index(lines, f" {cls} ", 1)  # all of the lines without one; looked for once, as every use of it is unconditional
+    line = F.octet_length(before) - F.octet_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    return F.coalesce((F.octet_length(before) < F.octet_length(lines)).cast("int") * line, F.lit(0))
 
 
 def first_lines(lines, n: Column, sep: str = "\n") -> Column:
@@ -145,7 +147,7 @@ def line_end(name, rest, els, n: Column, at: Column) -> Column:
     """
     name, rest = as_col(name), as_col(rest)
     close, again = F.instr(rest, F.concat(F.lit(" /"), name, F.lit(" "))), F.instr(rest, F.concat(F.lit(" "), name, F.lit(" ")))
-    return (F.when(name == "", at).when(close == 0, n + 1).when((again == 0) | (again > close), at + _line_at(rest, close))
+    return (F.when(name == "", at).when(F.startswith(rest, F.concat(F.lit(" /"), name, F.lit(" "))), at + 1).when(close == 0, n + 1).when((again == 0) | (again > close), at + _line_at(rest, close))
             .otherwise(F.least(end_of(els, at), n + 1)))
 
 

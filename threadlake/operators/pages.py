@@ -132,7 +132,10 @@ def parse_list_pages(pages: DataFrame, html: str = "html", keys: tuple[str, ...]
     pieces = at.select(*base, *((c(f"{v}_at") > 0).alias(f"has_{v}") for v in [*_TEXTS.values(), *_OTHERS.values(), "a"]), *texts, tag("writer").alias("wtag"), tag("date").alias("dtag"))
     coded = {f"{v}_txt": c(f"{v}_txt") for v in [*_TEXTS.values(), "a"]} | {
         "nick": H.attribute("wtag", "data-nick"), "uid": H.attribute("wtag", "data-uid"), "ip": H.attribute("wtag", "data-ip"), "dtitle": H.attribute("dtag", "title")}
-    pieces = pieces.select(*base, *(k for k in pieces.columns if k.startswith("has_")), F.transform(F.array(*coded.values()), H.decode_entities).alias("_d"))
+    pieces = pieces.select(*base, *(k for k in pieces.columns if k.startswith("has_")), *(v.alias(k) for k, v in coded.items()))
+    # few rows have references at all
+    decoded = F.when(F.concat_ws("", *coded).contains("&"), F.transform(F.array(*coded), H.decode_entities)).otherwise(F.array(*coded))
+    pieces = pieces.select(*base, *(k for k in pieces.columns if k.startswith("has_")), decoded.alias("_d"))
     pieces = pieces.select("*", *(c("_d")[i].alias(k) for i, k in enumerate(coded)))
     pieces = pieces.select("*", strict_int(c("rec_txt")).alias("likes"), strict_int(c("cnt_txt")).alias("views"))
     pieces = pieces.withColumn("created", parse_kst(c("dtitle")))
